@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from functools import lru_cache
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +18,19 @@ WS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\f\r"
 
 
+@lru_cache(maxsize=8)
+def _ship(context: SparkContext) -> None:
+    top = Path(__file__).resolve().parents[2]
+    at = Path(tempfile.mkdtemp(prefix="ledgerloom-")) / "ledgerloom_tasks.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted((top / "ledgerloom").rglob("*.py")):
+            z.write(f, f.relative_to(top))
+    context.addPyFile(str(at))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; the package goes to the executors with it, for the tasks that run Python."""
+    _ship(spark.sparkContext)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import bpe, chat, line_dedup, ngram_join, quality
 from .common import table
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -19,11 +19,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = f"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_LETTERS}), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_LETTERS}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[]
-    ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 2, 2)), i -> array_to_string(ws[i:i + 3], ' '))) END AS sh
+    ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 2, 2)), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh
   FROM w),
 e AS (SELECT doc_id, unnest(sh) AS g FROM s),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
@@ -36,13 +36,116 @@ FROM s JOIN reach ON reach.a = s.doc_id GROUP BY 1, 2
 """
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests, read back from the output, of every conversation and of conversation -7."""
+    fixed = spark.sql("SELECT -7L AS conv_id, stack(2, 0L, 'user', 1L, 'assistant') AS (turn, role), '</s>[INST] ok [/INST]' AS text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
+    return chat.digest(chat.format_conversations(rows))
+
+
+OP3_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, coalesce(role = lag(role) OVER w, false) AS joined,
+    length(text) + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\])')) AS text_chars,
+    length(role) + len(regexp_extract_all(role, '[<\[]\\*(\||/?s>|/?INST\])')) AS role_chars
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(text_chars + CASE WHEN joined THEN 8 ELSE 8 + role_chars + 8 + 7 END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every whole document, encoded and decoded again."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every document."""
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def _sql_words(x: str) -> str:
+    return rf"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
+
+
+OP8_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (
+  SELECT doc_id, x AS line, {_sql_words("x")} AS ws,
+    length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS syms
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+f AS (
+  SELECT doc_id, line, length(line) AS n,
+    100 * len(list_filter(ws, lambda w: regexp_matches(w, '[#*$%&<>|~^=_!?]{{2,}}$'))) >= 30 * len(ws) OR 100 * syms > 10 * length(line)
+    OR 100 * len(list_filter(ws, lambda w: w IN ('|', '>', '»', '•', '·', '/'))) >= 20 * len(ws)
+    OR regexp_matches(line, '{quality.MENU}') OR regexp_matches(line, '{quality.NOTICE}') AS failed
+  FROM l),
+lost AS (
+  SELECT doc_id, sum(n) AS chars, coalesce(sum(n) FILTER (failed), 0) AS lost, count(*) - count(DISTINCT line) AS n_dup_lines FROM f GROUP BY doc_id),
+w AS (SELECT doc_id, text, {_sql_words("text")} AS ws FROM d),
+p AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM p) WHERE n > 1),
+rw AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY doc_id),
+s AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(rw.n, 0)::BIGINT AS n_repeat_words, coalesce(chars, 0) AS chars, coalesce(lost, 0) AS lost
+  FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN rw USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * chars AS kept
+FROM s
+"""
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document: its lines, how many leave as boilerplate on 10 sources or more, digest of the rest."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), least_sites=10)
+
+
+OP9_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, i, list_extract(string_split(text, chr(10)), i) AS x
+  FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
+t AS (SELECT *, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+bad AS (SELECT line FROM t WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+m AS (SELECT t.*, bad.line IS NOT NULL AS cut FROM t LEFT JOIN bad USING (line)),
+a AS (
+  SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (cut) AS n_removed,
+    coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT cut), '') AS rest
+  FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS text_sha256
+FROM documents LEFT JOIN a USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_chat_formatting": op3_chat_formatting,
+        "op4_bpe": op4_bpe,
+        "op8_quality_rules": op8_quality_rules,
+        "op9_line_dedup": op9_line_dedup,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_chat_formatting": OP3_SQL,
+        "op8_quality_rules": OP8_SQL,
+        "op9_line_dedup": OP9_SQL,
         "op10_ngram_jaccard_join": OP10_SQL,
     }
