@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, ngram_join, quality
+from . import bpe, chat, line_dedup, ngram_join, pii, quality, topk
 from .common import table
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -67,11 +68,34 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers, dates and addresses under keyed pseudonyms."""
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="ledgerloom-demo-key")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every whole document, encoded and decoded again."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all other vectors for every vector whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.v, v.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.v) = len(v.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     return quality.judge(table(spark, sf_dir, "documents"))
@@ -134,8 +158,10 @@ FROM documents LEFT JOIN a USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii": op2_pii,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_bpe": op4_bpe,
+        "op5_exact_top_k": op5_exact_top_k,
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
@@ -145,6 +171,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_formatting": OP3_SQL,
+        "op5_exact_top_k": OP5_SQL,
         "op8_quality_rules": OP8_SQL,
         "op9_line_dedup": OP9_SQL,
         "op10_ngram_jaccard_join": OP10_SQL,
