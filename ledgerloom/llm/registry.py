@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, ngram_join, pii, quality, topk
+from . import bpe, chat, line_dedup, ngram_join, pii, quality, token_shards, topk
 from .common import table
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -96,6 +96,11 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of the shards that hold every document's sequences in training order."""
+    return token_shards.write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), key="epoch-0")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     return quality.judge(table(spark, sf_dir, "documents"))
@@ -162,6 +167,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_formatting": op3_chat_formatting,
         "op4_bpe": op4_bpe,
         "op5_exact_top_k": op5_exact_top_k,
+        "op6_token_shards": op6_token_shards,
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
