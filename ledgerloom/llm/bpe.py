@@ -248,24 +248,29 @@ def _content(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", verify: bool = False) -> DataFrame:
     """docs with ids (array<int>) and n_tokens (long) for each whole text.
 
     As the tokenizers library encodes without added special tokens; a special token's own string in a
     text is that token. Null or empty text: no ids. Columns named ids or n_tokens are replaced, all
-    others stay; repeated rows are encoded alike.
+    others stay; repeated rows are encoded alike. verify adds `exact`: do the ids decode to the text?
     """
     content = _content(path)
-    schema = _replaced(docs.schema, [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
-    keep = [f.name for f in schema.fields[:-2]]
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), *([T.StructField("exact", T.BooleanType())] * verify)]
+    schema = _replaced(docs.schema, fields)
+    keep = [f.name for f in schema.fields[: -len(fields)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(content)
         for batch in batches:
             for part in slices(batch, "_text"):
-                ids, offs = c.encode(*raw(part.column("_text")))
-                lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), lists, pa.array(np.diff(offs))], [*keep, "ids", "n_tokens"])
+                data, at = raw(part.column("_text"))
+                ids, offs = c.encode(data, at)
+                new = [pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids)), pa.array(np.diff(offs))]
+                if verify:
+                    back, back_at = c.decode(ids, offs)
+                    new.append(pa.array([data[a:b].tobytes() == back[x:y].tobytes() for a, b, x, y in zip(at[:-1], at[1:], back_at[:-1], back_at[1:], strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *new], schema.names)
 
     return docs.select(*[F.col(f"`{k}`") for k in keep], F.col(text).alias("_text")).mapInArrow(run, schema)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, ngram_join, pii, quality, token_shards, topk
+from . import bpe, chat, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, token_shards, topk
 from .common import table
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -68,6 +68,22 @@ FROM e GROUP BY conv_id
 """
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that occur again, in every document."""
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + 50], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM g) WHERE n > 1),
+b AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM b)
+SELECT doc_id, min(i)::INTEGER AS start_word, (max(i) + 50)::INTEGER AS end_word, (max(i) + 50 - min(i))::INTEGER AS n_words
+FROM s GROUP BY doc_id, span
+"""
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal numbers, dates and addresses under keyed pseudonyms."""
     return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="ledgerloom-demo-key")
@@ -101,6 +117,21 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), key="epoch-0")
 
 
+#: Shares of all tokens that the mixture should have.
+SHARES = {"good": 0.9, "good_toxic": 0.02, "low": 0.07, "low_toxic": 0.01}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, posterior and fitted rate of every document."""
+    return mixing.rate_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), SHARES)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     return quality.judge(table(spark, sf_dir, "documents"))
@@ -163,19 +194,23 @@ FROM documents LEFT JOIN a USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op2_pii": op2_pii,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_bpe": op4_bpe,
         "op5_exact_top_k": op5_exact_top_k,
         "op6_token_shards": op6_token_shards,
+        "op7_mixing": op7_mixing,
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_array_dedup": OP1_SQL,
         "op3_chat_formatting": OP3_SQL,
         "op5_exact_top_k": OP5_SQL,
         "op8_quality_rules": OP8_SQL,
