@@ -6,7 +6,7 @@ document are dropped, since they add to no overlap. The rest, ordered from rare
 together by document. Size-derived bounds then discard work before any pair exists: a document with
 n n-grams needs an overlap of at least ceil(t * n), so one with fewer shared columns has no partner,
 and of two linked documents one of the first r - ceil(t * n) + 1 of r shared columns is common. Pairs
-that meet there and pass the bounds on size get their overlap counted, as a product of their rows.
+that meet there and pass the bounds on size and on parity (see _bounded) get their overlap counted, as a product of their rows.
 
 Groups. Documents with equal sets collapse first, by a 64-bit sum over the set, so copies cost
 nothing. In a column with many documents each is first compared with one pivot; components of those
@@ -119,6 +119,9 @@ def _unpack(payload: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate(gs), np.concatenate(nodes), np.concatenate(ns)
 
 
+#: 64-bit words of a row's parity vector.
+PARITY = 8
+
 ENTRY = np.dtype([("node", np.int64), ("g", np.uint64), ("n", np.int32), ("rank", np.uint8)])
 
 
@@ -158,7 +161,10 @@ def _shared_entries(blocks: DataFrame, rows: int) -> DataFrame:
 
 
 def _candidate_rows(shared: DataFrame, percent: int) -> DataFrame:
-    """(node, n, prefix, items): rows that can reach the bound; items from rare to frequent."""
+    """(node, n, prefix, parity, items): rows that can reach the bound; items from rare to frequent.
+
+    parity: for each of 64 * PARITY hash buckets, is the number of the row's items in it odd?
+    """
 
     def run(tab: pa.Table) -> pa.Table:
         x = np.concatenate([np.frombuffer(p.as_buffer(), ENTRY) for p in tab.column("payload")])
@@ -169,17 +175,34 @@ def _candidate_rows(shared: DataFrame, percent: int) -> DataFrame:
         nodes, at, r = np.unique(x["node"], return_index=True, return_counts=True)
         n = x["n"][at].astype(np.int64)
         prefix = r - (-(-percent * n // 100)) + 1
+        bucket = np.repeat(np.arange(len(nodes)), r) * (64 * PARITY) + (mix(x["g"]) % U64(64 * PARITY)).astype(np.int64)
+        odd = np.bincount(bucket, minlength=len(nodes) * 64 * PARITY) & 1
+        parity = np.packbits(odd.astype(np.uint8)).view(np.int64)
+        parity = pa.FixedSizeListArray.from_arrays(pa.array(parity), PARITY).cast(pa.list_(pa.int64()))
         items = pa.ListArray.from_arrays(pa.array(np.append(at, len(x)), pa.int32()), pa.array(x["g"].view(np.int64)))
-        return pa.table({"node": pa.array(nodes), "n": pa.array(n), "prefix": pa.array(prefix.astype(np.int32)), "items": items})
+        return pa.table({"node": pa.array(nodes), "n": pa.array(n), "prefix": pa.array(prefix.astype(np.int32)), "parity": parity, "items": items})
 
-    return shared.groupBy("rows_block").applyInArrow(run, "node long, n long, prefix int, items array<long>")
+    return shared.groupBy("rows_block").applyInArrow(run, "node long, n long, prefix int, parity array<long>, items array<long>")
 
 
 def _bounded(percent: int):
-    """Keeps pairs whose sizes and places in the common column leave the overlap possible."""
+    """Keeps pairs whose sizes, places in the common column and parities leave the overlap possible.
+
+    Columns of one row only, and every odd difference of a parity bucket, are in one row and not the
+    other, so they bound the size of the symmetric difference from below.
+    """
     need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
     most = F.least(F.col("r_a") - F.col("pos_a"), F.col("r_b") - F.col("pos_b"))
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (most >= need)
+    apart = F.col("n_a") - F.col("r_a") + F.col("n_b") - F.col("r_b")
+    for i in range(PARITY):
+        apart = apart + F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i]))
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return sizes & (most >= need) & (apart <= F.col("n_a") + F.col("n_b") - 2 * need)
+
+
+def _side(side: str, *more: str) -> list:
+    names = {"node": side, **{c: f"{c}_{side}" for c in ("n", "r", "pos", "parity", *more)}}
+    return [F.col(c).alias(a) for c, a in names.items()]
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -200,14 +223,13 @@ def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80, blocks: int |
     spark = docs.sparkSession
     blocks = blocks or shuffle_partitions(spark)
     rows = materialize(_candidate_rows(_shared_entries(_column_blocks(docs, k, blocks), blocks), percent), "rows")
-    posts = rows.select("node", "n", F.size("items").alias("r"), F.posexplode(F.slice("items", 1, F.col("prefix"))).alias("pos", "g"))
+    posts = rows.select("node", "n", F.size("items").alias("r"), "parity", F.posexplode(F.slice("items", 1, F.col("prefix"))).alias("pos", "g"))
 
     # each document of a column against the column's pivot
-    pivot = posts.groupBy("g").agg(F.min_by(F.struct("node", "n", "r", "pos"), F.xxhash64("node", "g")).alias("p"), F.count("*").alias("docs")).where("docs > 1")
-    stars = posts.join(pivot, "g").where(F.col("node") != F.col("p.node")).select(
-        F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("r_a"), F.col("pos").alias("pos_a"),
-        F.col("p.node").alias("b"), F.col("p.n").alias("n_b"), F.col("p.r").alias("r_b"), F.col("p.pos").alias("pos_b"))
-    stars = stars.where(_bounded(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pivot = posts.groupBy("g").agg(F.min_by(F.struct("node", "n", "r", "pos", "parity"), F.xxhash64("node", "g")).alias("p"), F.count("*").alias("docs")).where("docs > 1")
+    pivot = pivot.select("g", "p.*").select("g", *_side("b"))
+    stars = posts.select("g", *_side("a")).join(pivot, "g").where((F.col("a") != F.col("b")) & _bounded(percent))
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = materialize(_linked(stars, rows, percent), "stars")
 
     # what is left: pairs of a column in different components
@@ -215,8 +237,7 @@ def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80, blocks: int |
     posts = posts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = posts.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("g")
     open_ = posts.join(mixed, "g")
-    left = open_.select("g", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("r_a"), F.col("pos").alias("pos_a"), F.col("comp").alias("comp_a"))
-    right = open_.select("g", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("r").alias("r_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"))
+    left, right = open_.select("g", *_side("a", "comp")), open_.select("g", *_side("b", "comp"))
     rest = left.join(right, "g").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _bounded(percent)).select("a", "b").distinct()
     second = materialize(_linked(rest, rows, percent), "rest")
     return materialize(set_signatures(docs, k), "members"), connected_components(first.unionByName(second))
