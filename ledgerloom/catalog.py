@@ -6,16 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-
+from ledgerloom.plans import base, rows, summaries
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (rows, summaries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v.replace("as string", "as varchar") for k, v in base.SQL.items()}
