@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import base, rows, summaries
+from ledgerloom.plans import base, rows, summaries, timelines
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (rows, summaries)
+MODULES = (rows, summaries, timelines)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base.QUERIES[timelines.FLAGSHIP](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -189,7 +189,7 @@ def ema_daily(df: DataFrame, date: str, col: str, span: int = 365, min_periods:
         return out[[*by, "day", "ema"]]
 
     schema = ", ".join(f"{b} {types[b]}" for b in by) + (", " if by else "") + "day date, ema double"
-    grouped = daily.groupBy(*by) if by else daily.groupBy(F.lit(1))
+    grouped = daily.groupBy(*by) if by else daily.withColumn("_all", F.lit(0)).groupBy("_all")
     got = grouped.applyInPandas(run, schema)
     return got.withColumn("ema", F.when(~F.isnan("ema"), F.col("ema")))
 
