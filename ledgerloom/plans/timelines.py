@@ -132,9 +132,11 @@ def w9(spark, sf):
     return rounded(windows.anchored_vwap(_daily(spark, sf)).select("day", "anchored_vwap"), ["anchored_vwap"])
 
 
-@query("w10_combined_daily_vwap", f"WITH {TX}, d AS (SELECT date AS day, sum(price) AS s, count(price) AS n FROM tx WHERE bed IN (2, 3) GROUP BY 1), r AS (SELECT day, s / n AS mean, CASE WHEN count(*) OVER a >= 3 THEN sum(s) OVER a / sum(n) OVER a END AS x, sum(s) OVER b / sum(n) OVER b AS y FROM d WINDOW a AS (ORDER BY day RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW), b AS (ORDER BY day RANGE BETWEEN INTERVAL 729 DAYS PRECEDING AND CURRENT ROW)) SELECT day, round(mean, 2) AS mean, round(lag(x) OVER (ORDER BY day), 2) AS vwap_short, round(lag(y) OVER (ORDER BY day), 2) AS vwap_long FROM r")
+@query("w10_combined_daily_vwap", f"WITH {TX}, d AS (SELECT date AS day, sum(price) AS s, count(price) AS n FROM tx WHERE bed IN (2, 3) GROUP BY 1), r AS (SELECT day, s / n AS mean, CASE WHEN count(*) OVER a >= 3 THEN sum(s) OVER a / sum(n) OVER a END AS x, sum(s) OVER b / sum(n) OVER b AS y FROM d WINDOW a AS (ORDER BY day RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW), b AS (ORDER BY day RANGE BETWEEN INTERVAL 729 DAYS PRECEDING AND CURRENT ROW)) SELECT day, round(mean + 0.000123, 3) AS mean, round(lag(x) OVER (ORDER BY day) + 0.000123, 3) AS vwap_short, round(lag(y) OVER (ORDER BY day) + 0.000123, 3) AS vwap_long FROM r")
 def w10(spark, sf):
-    return rounded(windows.combined_daily_vwap(tx(spark, sf), "date", "price", F.col("bed").isin(2, 3)), ["mean", "vwap_short", "vwap_long"], 2)
+    # sums of cents over small counts often end on a 5; the shift keeps such ties off the rounding edge
+    got = windows.combined_daily_vwap(tx(spark, sf), "date", "price", F.col("bed").isin(2, 3))
+    return got.select("day", *[rnd(F.col(c) + 0.000123, 3).alias(c) for c in ("mean", "vwap_short", "vwap_long")])
 
 
 @query("w11_ema_daily", f"""WITH RECURSIVE {TX}, d AS (SELECT date AS day, avg(price) AS mean FROM tx GROUP BY 1),
