@@ -73,16 +73,16 @@ def repeated_window_words(words: Column, k: int = 3) -> Column:
 
 
 def with_verdict(docs: DataFrame, most_lost: int = 50, least_words: int = 50) -> DataFrame:
-    """docs with a struct column `quality`: the counts, base_failed, kept, and the text that is left."""
+    """docs with a struct column `_verdict`: the counts, base_failed, kept, and the text that is left."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NONBLANK))
     judged = F.transform(lines, lambda x: F.struct(x.alias("line"), line_failure(x).alias("rule")))
     size = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + F.length(x["line"]))
-    out = docs.withColumn("quality", F.struct(split_words(text).alias("words"), judged.alias("judged")))
-    words, judged = F.col("quality.words"), F.col("quality.judged")
+    out = docs.withColumn("_verdict", F.struct(split_words(text).alias("words"), judged.alias("judged")))
+    words, judged = F.col("_verdict.words"), F.col("_verdict.judged")
     stay = F.filter(judged, lambda x: x["rule"].isNull())
     out = out.withColumn(
-        "quality",
+        "_verdict",
         F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.regexp_replace(text, WS + "+", "")).cast("long").alias("word_chars"),
@@ -94,16 +94,16 @@ def with_verdict(docs: DataFrame, most_lost: int = 50, least_words: int = 50) ->
             F.array_join(F.transform(stay, lambda x: x["line"]), "\n").alias("text_left"),
         ),
     )
-    q = F.col("quality")
+    q = F.col("_verdict")
     base = (q["n_words"] < least_words) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
     kept = ~base & (100 * (q["chars"] - q["chars_left"]) <= most_lost * q["chars"])
-    return out.withColumn("quality", F.struct("quality.*", base.alias("base_failed"), kept.alias("kept")))
+    return out.withColumn("_verdict", F.struct("_verdict.*", base.alias("base_failed"), kept.alias("kept")))
 
 
 def judge(docs: DataFrame, most_lost: int = 50) -> DataFrame:
     """One row for each row of docs: its counts, base_failed and kept."""
     got = with_verdict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), most_lost)
-    return got.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+    return got.select("doc_id", *[f"_verdict.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
 def clean(docs: DataFrame, most_lost: int = 50) -> DataFrame:
@@ -111,8 +111,7 @@ def clean(docs: DataFrame, most_lost: int = 50) -> DataFrame:
 
     n_chars, if docs has it, is set to the length of the text that is left.
     """
-    plain = docs.drop("quality") if "quality" in docs.columns else docs
-    got = with_verdict(plain, most_lost).where("quality.kept").withColumn("text", F.col("quality.text_left"))
+    got = with_verdict(docs, most_lost).where("_verdict.kept").withColumn("text", F.col("_verdict.text_left"))
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return got.select(*[F.col(f"`{c}`") for c in plain.columns])
+    return got.select(*[F.col(f"`{c}`") for c in docs.columns])
