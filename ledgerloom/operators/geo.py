@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import haversine_km
 
+from .storage import cut
+
 KM_PER_DEGREE = 111.19
 
 
@@ -45,22 +47,25 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, query_key: str, point
     """(query_key, *by, point_key, distance_km): the k nearest points of each query and group, exactly.
 
     Queries have lat, lon; points latitude, longitude. A search looks within r; a query with k points
-    there is done, the others go on with a radius four times as large, until r spans all points.
+    there is done, the others go on with a radius four times as large, until r spans all points. Each
+    round is written to the checkpoint folder.
     """
     across, _ = _box((queries, "lat", "lon"), (points, "latitude", "longitude"))
     q = queries.select(query_key, "lat", "lon", *by).distinct()
     p = points.select(point_key, "latitude", "longitude", *by)
     order = Window.partitionBy(query_key, *by).orderBy("distance_km", point_key)
-    r, done, left = start_km, None, q
+    r, done, left = start_km, None, cut(q)
     while True:
         last = r > 2.5 * across + 1
-        got = within_radius(left, p, r, by).withColumns({"_n": F.row_number().over(order)}).where(F.col("_n") <= k)
-        sized = got.withColumn("_size", F.count("*").over(Window.partitionBy(query_key, *by)))
-        full = (sized if last else sized.where(F.col("_size") >= k)).select(query_key, *by, point_key, "distance_km")
-        done = full if done is None else done.unionByName(full)
+        got = within_radius(left, p, r, by).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+        found = cut(got.withColumn("_size", F.count("*").over(Window.partitionBy(query_key, *by))).select(query_key, *by, point_key, "distance_km", "_size"))
+        full = found if last else found.where(F.col("_size") >= k)
+        done = full.drop("_size") if done is None else done.unionByName(full.drop("_size"))
         if last:
             return done
-        left = left.join(sized.where(F.col("_size") >= k).select(query_key, *by).distinct(), [query_key, *by], "left_anti")
+        left = cut(left.join(full.select(query_key, *by).distinct(), [query_key, *by], "left_anti"))
+        if left.isEmpty():
+            return done
         r *= 4
 
 
