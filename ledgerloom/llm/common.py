@@ -49,11 +49,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut, executors may be lost."""
+def materialize(df: DataFrame, label: str, level: int = 3) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage is cut, executors may be lost.
+
+    level is that of the zstd compression.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,11 +1,12 @@
 """Token-id shards in training order.
 
-Method. Documents become token ids, cut into sequences of a fixed number of ids. Every sequence has a
+Method. Documents become token ids, packed one after another into sequences of a fixed number of ids
+(an end id after each document, no padding but in a task's last sequence). Every sequence has a
 dense number; a keyed Feistel permutation over the next power of four, walked along its cycle until
 it falls below the number of sequences, gives it a slot of the training order. Sequences are range
 partitioned by slot and each shard is one file of fixed stride, so slot s is at byte
 (s % shard_sequences) * stride of shard s // shard_sequences: reads are sequential and can resume
-anywhere. The last sequence of a document is padded; the manifest has its true length.
+anywhere. The manifest has every sequence's documents and true length.
 
 Scale. Texts are tokenised once and the ids written to the shared folder; the dense numbers come from
 the files' own row counts (one offset for each written partition reaches the driver, nothing for
@@ -13,18 +14,18 @@ each row). The ids are shuffled once, by slot. A shard is written in the task th
 under a name that depends on the shard alone, by writing a temporary file and moving it: a task that
 runs twice gives the same file.
 
-Nulls and edges: a null or empty text has no sequence; null doc_ids and repeated rows are kept as
-sequences of their own; an empty table gives no shard. Extra columns are ignored.
+Nulls and edges: a null or empty text has no ids; null doc_ids stay as nulls in the lists; repeated
+rows are packed each; an empty table gives no shard. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,75 +58,89 @@ def slot_of(number: Column, total: int, key: str) -> Column:
     return F.when(walk < total, walk).otherwise(F.raise_error(F.lit("cycle walk too long: choose another key")))
 
 
-def tokenize(docs: DataFrame, path: str, dtype: str) -> DataFrame:
-    """(doc_id, tokens): the ids of every text that has some, as little-endian bytes."""
+def pack_sequences(docs: DataFrame, path: str, sequence: int, dtype: str, end: int) -> DataFrame:
+    """(doc_ids, tokens): full sequences of ids as little-endian bytes, and the documents in each.
+
+    A task's documents follow one another, each with the id `end` after it; only the task's last
+    sequence may be short. Texts without ids leave nothing.
+    """
     with open(path, "rb") as f:
         content = f.read()
+    width = np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(content, fast=True)
+        rest, rest_docs = np.zeros(0, dtype), np.zeros(0, np.int64)
+
+        def pack(flat: np.ndarray, owner: np.ndarray, n: int, names: np.ndarray) -> pa.RecordBatch:
+            """The first n sequences of flat; owner: index into names of the document of each id."""
+            cut = np.arange(n + 1) * sequence
+            cut[-1] = min(cut[-1], len(flat))
+            new = np.ones(cut[-1], bool)
+            new[1:] = owner[1 : cut[-1]] != owner[: cut[-1] - 1]
+            new[cut[:-1]] = True
+            at = np.flatnonzero(new)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, cut), pa.int32()), pa.array(names).take(pa.array(owner[at])))
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cut.astype(np.int64) * width), pa.py_buffer(np.ascontiguousarray(flat[: cut[-1]]))])
+            return pa.RecordBatch.from_arrays([lists, data.cast(pa.binary())], ["doc_ids", "tokens"])
+
+        names: list = []  # of the documents of rest
         for batch in batches:
             for part in slices(batch):
                 ids, offs = c.encode(*raw(part.column("text")))
                 if len(ids) and int(ids.max()) > np.iinfo(dtype).max:
                     raise ValueError(f"token ids don't fit {dtype}")
-                width = np.dtype(dtype).itemsize
-                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer((offs * width).astype(np.int64)), pa.py_buffer(ids.astype(dtype))])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), data.cast(pa.binary())], ["doc_id", "tokens"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, tokens binary").where(F.length("tokens") > 0)
-
-
-def numbered_sequences(tokens: DataFrame, width: int, sequence: int) -> tuple[DataFrame, int]:
-    """(doc_id, seq_no, number, tokens) and how many there are; number is dense from 0.
-
-    Each written row knows its partition and its place in it; sequences are numbered in that order.
+                lens = np.diff(offs)
+                some = np.flatnonzero(lens)
+                flat = np.insert(ids.astype(dtype), offs[1:][some], end)
+                owner = np.repeat(np.arange(len(some)), lens[some] + 1) + len(names)
+                names = names + [x.as_py() for x in part.column("doc_id").take(pa.array(some))]
+                flat, owner = np.concatenate([rest, flat]), np.concatenate([rest_docs, owner])
+                if n := len(flat) // sequence:
+                    yield pack(flat, owner, n, np.array(names, object))
+                rest, rest_docs = flat[n * sequence :], owner[n * sequence :]
+                low = int(rest_docs[0]) if len(rest_docs) else len(names)
+                rest_docs, names = rest_docs - low, names[low:]
+        if len(rest):
+            yield pack(rest, rest_docs, 1, np.array(names, object))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_ids array<long>, tokens binary")
+
+
+def numbered(sequences: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_ids, tokens, number), written to the shared folder, and how many; number is dense from 0.
+
+    Each written row knows its partition and its place in it; partitions follow one another.
     """
-    n = F.ceil(F.length("tokens") / (width * sequence)).cast("long")
     at = F.monotonically_increasing_id()
-    placed = tokens.select("doc_id", "tokens", F.shiftright(at, 33).cast("int").alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
-    stored = materialize(placed, "tokens")
-    sums = sorted(stored.groupBy("part").agg(F.sum(n).alias("n")).collect())  # a row for each task that wrote
+    placed = sequences.select("doc_ids", "tokens", F.shiftright(at, 33).cast("int").alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    stored = materialize(placed, "tokens", level=9)
     starts, total = [], 0
-    for part, count in sums:
+    for part, count in sorted(stored.groupBy("part").agg(F.count("*")).collect()):  # a row for each task that wrote
         starts.append((part, total))
         total += count
     if not total:
-        return stored.select("doc_id", F.lit(0).cast("long").alias("seq_no"), F.lit(0).cast("long").alias("number"), "tokens"), 0
-    return _number(stored, starts, n, width, sequence), total
-
-
-def _number(stored: DataFrame, starts: list, n: Column, width: int, sequence: int) -> DataFrame:
-    """Running sums of sequences inside each written partition, on light rows, joined by (part, row)."""
-    from pyspark.sql import Window
-
-    spark = stored.sparkSession
-    offsets = F.broadcast(spark.createDataFrame(starts, "part int, start long"))
-    w = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    light = stored.select("part", "row", n.alias("n")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    light = light.join(offsets, "part").select("part", "row", (F.col("start") + F.col("before")).alias("first"))
-    rows = stored.join(light, ["part", "row"])
-    cut = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.substring(F.col("tokens"), (i * width * sequence + 1).cast("int"), F.lit(width * sequence)))
-    out = rows.select("doc_id", "first", F.posexplode(cut).alias("seq_no", "tokens"))
-    return out.select("doc_id", F.col("seq_no").cast("long").alias("seq_no"), (F.col("first") + F.col("seq_no")).alias("number"), "tokens")
+        return stored.select("doc_ids", "tokens", F.lit(0).cast("long").alias("number")), 0
+    offsets = F.broadcast(stored.sparkSession.createDataFrame(starts, "part int, start long"))
+    return stored.join(offsets, "part").select("doc_ids", "tokens", (F.col("start") + F.col("row")).alias("number")), total
 
 
-def write_shards(docs: DataFrame, path: str, key: str, out: str | None = None, sequence: int = 1024, shard_sequences: int = 4096, dtype: str = "uint16", pad: int = 50256) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, key: str, out: str | None = None, sequence: int = 1024, shard_sequences: int = 4096, dtype: str = "uint16", end: int = 50256) -> DataFrame:
     """Write all shards and return the manifest.
 
-    Manifest: (slot, doc_id, seq_no, shard, byte_offset, n_tokens, sha256), one row for each sequence,
-    sha256 being that of its bytes without padding, as written. The files are <out>/shard-<number>.bin; out is a folder
+    Manifest: (slot, doc_ids, shard, byte_offset, n_tokens, checksum), one row for each sequence,
+    checksum being the 64-bit xxHash of its bytes without padding, as written. The files are <out>/shard-<number>.bin; out is a folder
     that all executors can reach (by default a new one in the shared folder).
     """
     spark = docs.sparkSession
     width = np.dtype(dtype).itemsize
     stride = width * sequence
     out = out or f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
-    rows, total = numbered_sequences(tokenize(docs, path, dtype), width, sequence)
-    rows = rows.select(slot_of(F.col("number"), max(total, 1), key).alias("slot"), "doc_id", "seq_no", "tokens")
+    rows, total = numbered(pack_sequences(docs, path, sequence, dtype, end))
+    rows = rows.select(slot_of(F.col("number"), max(total, 1), key).alias("slot"), "doc_ids", "tokens")
     shards = max(1, -(-total // shard_sequences))
     ordered = rows.withColumn("shard", F.floor(F.col("slot") / shard_sequences)).repartitionByRange(min(shards, 20_000), "shard").sortWithinPartitions("slot")
-    filler = np.full(sequence, pad, dtype).tobytes()
+    filler = np.full(sequence, end, dtype).tobytes()
 
     def store(files: fs.FileSystem, root: str, shard: int, parts: list[bytes]) -> None:
         files.create_dir(root, recursive=True)
@@ -153,16 +168,16 @@ def write_shards(docs: DataFrame, path: str, key: str, out: str | None = None, s
             slot = batch.column("slot").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("slot"), batch.column("doc_id"), batch.column("seq_no"), batch.column("shard"),
+                    batch.column("slot"), batch.column("doc_ids"), batch.column("shard"),
                     pa.array((slot % shard_sequences) * stride), pa.array(np.array([len(t) // width for t in got], np.int64)),
-                    pa.array([hashlib.sha256(t).hexdigest() for t in got]),
+                    pa.array([xxhash.xxh64_intdigest(t) for t in got], pa.uint64()).view(pa.int64()),
                 ],
-                ["slot", "doc_id", "seq_no", "shard", "byte_offset", "n_tokens", "sha256"],
+                ["slot", "doc_ids", "shard", "byte_offset", "n_tokens", "checksum"],
             )
         if parts:
             store(files, root, now, parts)
 
-    manifest = ordered.mapInArrow(run, "slot long, doc_id long, seq_no long, shard long, byte_offset long, n_tokens long, sha256 string")
+    manifest = ordered.mapInArrow(run, "slot long, doc_ids array<long>, shard long, byte_offset long, n_tokens long, checksum long")
     return materialize(manifest, "manifest")
 
 
