@@ -29,7 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CHARS, materialize
+from .common import WS, WS_CHARS, bind, materialize
 
 #: Domains by 2 * quality + toxic.
 DOMAINS = ("low", "low_toxic", "good", "good_toxic")
@@ -72,8 +72,9 @@ def posteriors(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LAB
         sure = seen[0]["c"] if seen else 0
         return out.select(*keep, F.col("_tokens").alias("tokens"), F.array(*[F.lit(float(i == sure)) for i in range(len(DOMAINS))]).alias("posterior"))
     model = fit_classifier(docs, labels, most_labelled)
-    p = vector_to_array("_p")
-    return model.transform(out).select(*keep, F.col("_tokens").alias("tokens"), F.transform(F.array(*[F.lit(i) for i in range(len(DOMAINS))]), lambda i: F.coalesce(F.get(p, i), F.lit(0.0))).alias("posterior"))
+    # one reference only: inside a lambda the whole chain from words to posterior would run again for each class
+    posterior = F.slice(F.concat(vector_to_array("_p"), F.array(*[F.lit(0.0)] * len(DOMAINS))), 1, len(DOMAINS))
+    return model.transform(out).select(*keep, F.col("_tokens").alias("tokens"), posterior.alias("posterior"))
 
 
 @dataclass
@@ -84,13 +85,25 @@ class Rates:
     totals: np.ndarray
     targets: np.ndarray
 
-    def rate(self, posterior: str = "posterior") -> Column:
+    def unrolled(self, p: list[Column]) -> Column:
+        """The rate as one arithmetic expression, compiled: for the passes of the fit."""
         r = F.lit(1.0)
         for u in self.steps:
-            dot = sum((F.col(posterior)[i] * F.lit(float(x)) for i, x in enumerate(u)), F.lit(0.0))
-            r = F.greatest(F.lit(0.0), r - dot)
+            r = F.greatest(F.lit(0.0), r - sum((x * F.lit(float(v)) for x, v in zip(p, u, strict=True)), F.lit(0.0)))
         return r
 
+    def rate(self, posterior: str = "posterior") -> Column:
+        """The rate as one small expression, whatever the number of steps: for a single pass."""
+        if not self.steps:
+            return F.lit(1.0)
+        steps = F.array(*[F.array(*[F.lit(float(x)) for x in u]) for u in self.steps])
+        p = F.col(posterior)
+
+        def step(r: Column, u: Column) -> Column:
+            return F.greatest(F.lit(0.0), r - sum((p[i] * u[i] for i in range(len(DOMAINS))), F.lit(0.0)))
+
+        return F.aggregate(steps, F.lit(1.0), step)
+
 
 def fit_rates(rows: DataFrame, factors: dict[str, float] | None = None, shares: dict[str, float] | None = None, iterations: int = 25, tolerance: float = 1e-5) -> Rates:
     """Rates for rows (tokens, posterior): totals meet shares of all tokens, or factors of the present totals."""
@@ -106,14 +119,16 @@ def fit_rates(rows: DataFrame, factors: dict[str, float] | None = None, shares:
     else:
         targets = np.array([(factors or {}).get(d, 1.0) for d in DOMAINS]) * present
     inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True) if present.sum() > 0 else np.zeros((k, k))
-    got = Rates([], present, targets)
+    got, last = Rates([], present, targets), np.inf
     for _ in range(iterations):
         miss = got.totals - targets
-        if np.abs(miss).sum() <= tolerance * max(1.0, targets.sum()):
+        size = np.abs(miss).sum()
+        if size <= tolerance * max(1.0, targets.sum()) or size > 0.99 * last:  # met, or as near as rates >= 0 come
             break
+        last = size
         got.steps.append(inverse @ miss)
-        r = got.rate()
-        got.totals = np.array([x or 0.0 for x in rows.agg(*[F.sum(r * t * x) for x in p]).first()])
+        rated = rows.select("tokens", "posterior", got.unrolled(p).alias("_rate"))
+        got.totals = np.array([x or 0.0 for x in rated.agg(*[F.sum(F.col("_rate") * t * x) for x in p]).first()])
     return got
 
 
@@ -134,9 +149,11 @@ def rate_table(docs: DataFrame, labels: DataFrame, shares: dict[str, float], mos
 def take_by_rate(rows: DataFrame, seed: str = "mix", slack: float = 0.1) -> DataFrame:
     """Each row as often as its rate says: rates within slack of a whole number are that number, of
     others the fraction is drawn by a keyed hash of doc_id. tokens, posterior and rate go."""
-    whole = F.round("rate")
-    unit = (F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)).cast("double")
-    drawn = F.floor("rate") + F.when(unit < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    times = F.when(F.abs(F.col("rate") - whole) <= slack, whole).otherwise(drawn).cast("int")
-    out = rows.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return out.drop("_times", "_copy", "tokens", "posterior", "rate")
+    unit = F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+
+    def times(r: Column) -> Column:
+        drawn = F.floor(r) + F.when(unit < r - F.floor(r), 1).otherwise(0)
+        return F.when(F.abs(r - F.round(r)) <= slack, F.round(r)).otherwise(drawn).cast("int")
+
+    out = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), bind(F.col("rate"), times))))
+    return out.drop("_copy", "tokens", "posterior", "rate")
