@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 
 def day_number(date: str) -> Column:
     return F.unix_date(F.col(date).cast("date"))
@@ -78,15 +80,17 @@ def sliding_medians(day: np.ndarray, value: np.ndarray, frames: list[tuple[int,
     return out
 
 
-def rolling_medians(df: DataFrame, by: list[str], date: str, key: str, value: str, frames: dict[str, tuple[int, str, int]], ties: str = "peers") -> DataFrame:
-    """df with a column for each frame {name: (days, closed, min_n)}: the exact median of `value`.
+#: Rows of one group's value bucket that a task of rolling_medians sorts.
+MEDIAN_ROWS = 20_000
+
+
+def _chunked_medians(df: DataFrame, by: list[str], date: str, key: str, value: str, frames: dict[str, tuple[int, str, int]]) -> DataFrame:
+    """rolling_medians where a window ends at the row itself: it depends on the row, not on the day alone.
 
-    A median does not decompose, so each group's time is cut into chunks as long as the longest
-    window; a chunk's task gets its rows and those of the chunk before as look-back. A task holds two
-    window lengths of one group at most, whatever the group's size. Null dates give nulls.
+    Each group's time is cut into chunks as long as the longest window; a task holds two chunks of one
+    group, so its rows grow with the rows of a day.
     """
     span = max(days for days, _, _ in frames.values())
-    by = list(by)
     rows = df.select(*by, F.col(key).alias("_key"), day_number(date).alias("_day"), F.col(value).cast("double").alias("_value")).where("_day is not null")
     chunk = F.floor(F.col("_day") / span)
     spread = rows.withColumn("_chunk", F.explode(F.array(chunk, chunk + 1))).withColumn("_own", F.col("_chunk") == chunk)
@@ -94,7 +98,7 @@ def rolling_medians(df: DataFrame, by: list[str], date: str, key: str, value: st
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_day", "_key"], kind="stable")
-        got = sliding_medians(pdf["_day"].to_numpy(), pdf["_value"].to_numpy(float), [frames[n] for n in names], ties)
+        got = sliding_medians(pdf["_day"].to_numpy(), pdf["_value"].to_numpy(float), [frames[n] for n in names], "row")
         out = pd.DataFrame({"_key": pdf["_key"]} | dict(zip(names, got, strict=True)))
         return out[pdf["_own"].to_numpy(bool)]
 
@@ -104,14 +108,108 @@ def rolling_medians(df: DataFrame, by: list[str], date: str, key: str, value: st
     return df.join(got, df[key] == got["_key"], "left").drop("_key")
 
 
+def _frame_days(days: int, closed: str) -> tuple[int, int]:
+    return (-days, -1) if closed == "left" else (-(days - 1), 0)
+
+
+def daily_medians(df: DataFrame, by: list[str], date: str, value: str, frames: dict[str, tuple[int, str, int]], task_rows: int = MEDIAN_ROWS) -> DataFrame:
+    """(_by0, _by1, ... for `by`, _day, a column for each frame): exact medians as of each day that a group has.
+
+    Values are counted by group and day. A group of more than task_rows counts is cut at quantiles of its
+    values into buckets of about task_rows; sums of the buckets' daily counts over each window tell which
+    bucket holds the median and at which place, and only there a task looks at the values. A value that
+    is very common is one count a day. So a task's rows do not grow with the group.
+    """
+    g = [f"_by{i}" for i in range(len(by))]
+    lower = [F.col(c).alias(n) for c, n in zip(by, g, strict=True)]
+    v = F.col(value).cast("double")
+    rows = df.select(*lower, day_number(date).alias("_day"), F.when(~F.isnan(v), v).alias("_v")).where("_day is not null")
+    counts = cut(rows.groupBy(*g, "_day", "_v").agg(F.count("*").alias("_c")))
+    held = counts.where("_v is not null")
+    group = F.struct(*[F.col(x) for x in g], F.lit(0))
+    sizes = held.groupBy(*g).agg(F.count("*").alias("_rows"))
+    most = sizes.agg(F.max("_rows")).first()[0] or 0
+    levels = -(-most // task_rows)
+    none = F.array().cast("array<double>")
+    cuts = lambda rows: rows.withColumn("_cuts", none)
+    if levels > 1:
+        big = F.ceil(F.col("_rows") / task_rows).cast("int")
+        marks = held.groupBy(*g).agg(F.count("*").alias("_rows"), F.percentile_approx("_v", [i / levels for i in range(1, levels)], max(10_000, 20 * levels)).alias("_q")).where(F.col("_rows") > task_rows)
+        picks = F.transform(F.sequence(F.lit(1), big - 1), lambda i: F.element_at("_q", F.greatest(F.lit(1), F.floor(i * levels / big).cast("int"))))
+        # one mark for task_rows rows, so this is small whatever the number of groups
+        marks = F.broadcast(cut(marks.select(group.alias("_g"), F.array_distinct(picks).alias("_q"))))
+        cuts = lambda rows: rows.withColumn("_g", group).join(marks, "_g", "left").withColumn("_cuts", F.coalesce("_q", none)).drop("_g", "_q")
+    placed = cut(cuts(held).select(*g, "_day", "_v", "_c", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))).alias("_b")))
+    days = counts.select(*g, "_day").distinct()
+    grid = cuts(days).select(*g, "_day", F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_b"), F.lit(0).cast("long").alias("_c"))
+    daily = placed.select(*g, "_day", "_b", "_c").unionByName(grid).groupBy(*g, "_day", "_b").agg(F.sum("_c").alias("_c"))
+    w = Window.partitionBy(*g, "_b").orderBy("_day")
+    names = list(frames)
+    seen = daily.select(*g, "_day", "_b", *[F.coalesce(F.sum("_c").over(w.rangeBetween(*_frame_days(*frames[n][:2]))), F.lit(0)).alias(f"n{i}") for i, n in enumerate(names)])
+    upto = Window.partitionBy(*g, "_day").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*g, "_day")
+    summed = seen.withColumns({f"e{i}": F.sum(f"n{i}").over(upto) for i in range(len(names))} | {f"t{i}": F.sum(f"n{i}").over(whole) for i in range(len(names))})
+    asked = [F.struct(F.lit(i).alias("f"), F.col(f"n{i}").alias("n"), F.col(f"e{i}").alias("end"), F.col(f"t{i}").alias("total"), F.lit(frames[n][2]).alias("least")) for i, n in enumerate(names)]
+    each = summed.select(*g, "_day", "_b", F.explode(F.array(*asked)).alias("_a")).select(*g, "_day", "_b", "_a.*").where("total >= greatest(least, 1)")
+    place = F.explode(F.array(F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2))).alias("_k")
+    wanted = each.select(*g, "_day", "_b", "f", (F.col("end") - F.col("n")).alias("_start"), "end", place.alias("_k")).where("_k >= _start and _k < end")
+    wanted = cut(wanted.select(*g, "_b", "_day", "f", (F.col("_k") - F.col("_start")).alias("_k")))
+    spans = [_frame_days(*frames[n][:2]) for n in names]
+
+    def find(key: tuple, events: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        events = events.sort_values("_v", kind="stable")
+        day, val, num = events["_day"].to_numpy(), events["_v"].to_numpy(float), events["_c"].to_numpy()
+        got = np.full(len(ask), np.nan)
+        for j, (d, f, k) in enumerate(zip(ask["_day"], ask["f"], ask["_k"], strict=True)):
+            a, b = spans[f]
+            inside = np.cumsum(np.where((day >= d + a) & (day <= d + b), num, 0))
+            got[j] = val[np.searchsorted(inside, k, side="right")]
+        return ask[[*g, "_day", "f"]].assign(m=got)
+
+    types = dict(wanted.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*g, "_day", "f"]) + ", m double"
+    found = placed.groupBy(*g, "_b").cogroup(wanted.groupBy(*g, "_b")).applyInPandas(find, schema)
+    return found.groupBy(*g, "_day").agg(*[F.avg(F.when(F.col("f") == i, F.col("m"))).alias(n) for i, n in enumerate(names)])
+
+
+def _of_day(df: DataFrame, daily: DataFrame, by: list[str], date: str) -> DataFrame:
+    """df with the columns of daily, by group and day; null groups meet."""
+    day = daily.withColumnRenamed("_day", "_of")
+    same = day_number(date).eqNullSafe(F.col("_of"))
+    for i, c in enumerate(by):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_by{i}"))
+    return df.join(day, same, "left").drop("_of", *[f"_by{i}" for i in range(len(by))])
+
+
+def rolling_medians(df: DataFrame, by: list[str], date: str, key: str, value: str, frames: dict[str, tuple[int, str, int]], ties: str = "peers") -> DataFrame:
+    """df with a column for each frame {name: (days, closed, min_n)}: the exact median of `value`.
+
+    closed is "left" or "right"; a window takes whole days, so the rows of a day share one median
+    (daily_medians). With ties "row" a right-closed window ends at the row. Null dates give nulls.
+    """
+    if ties == "row":
+        return _chunked_medians(df, list(by), date, key, value, frames)
+    return _of_day(df, daily_medians(df, list(by), date, value, frames), list(by), date)
+
+
 def rolling_median(df: DataFrame, by: list[str], date: str, key: str, value: str, days: int, min_n: int, ties: str = "peers", out: str = "median") -> DataFrame:
     """Right-closed median, taken at the row before in (date, key) order of the group."""
     got = rolling_medians(df, by, date, key, value, {"_m": (days, "right", min_n)}, ties)
-    return got.withColumn(out, lag_in_group(got, by, date, key, "_m")).drop("_m")
+    return previous_row(got, by, date, key, "_m", out).drop("_m")
 
 
-def lag_in_group(df: DataFrame, by: list[str], date: str, key: str, value: str) -> Column:
-    return F.lag(value).over(Window.partitionBy(*by).orderBy(date, key))
+def previous_row(df: DataFrame, by: list[str], date: str, key: str, value: str, out: str) -> DataFrame:
+    """df with the value of the row before in (date, key) order of the group: that of the same day, or for
+    a day's first row the last of the day before. Only rows of a day meet in a window."""
+    by = list(by)
+    work = df.withColumn("_d", day_number(date))
+    same = Window.partitionBy(*by, "_d").orderBy(key)
+    work = work.withColumns({"_in": F.lag(value).over(same), "_place": F.row_number().over(same), "_end": F.row_number().over(Window.partitionBy(*by, "_d").orderBy(F.col(key).desc()))})
+    g = [f"_by{i}" for i in range(len(by))]
+    last = work.where("_end = 1").select(*[F.col(c).alias(n) for c, n in zip(by, g, strict=True)], "_d", F.col(value).alias("_last"))
+    last = last.select(*g, F.col("_d").alias("_day"), F.lag("_last").over(Window.partitionBy(*g).orderBy("_d")).alias("_before"))
+    got = _of_day(work, last, by, date)
+    return got.withColumn(out, F.when(F.col("_place") == 1, F.col("_before")).otherwise(F.col("_in"))).drop("_d", "_in", "_place", "_end", "_before")
 
 
 def asof_group_medians(df: DataFrame, by: list[str], date: str, key: str, price: str, frames: dict[str, tuple[int, int]], train: Column | None = None, log_domain: bool = False) -> DataFrame:
@@ -120,7 +218,7 @@ def asof_group_medians(df: DataFrame, by: list[str], date: str, key: str, price:
     value = price_c if train is None else F.when(train, price_c)
     value = F.log1p(value) if log_domain else value
     work = df.withColumn("_v", value)
-    work = work.withColumn("_prev", lag_in_group(work, by, date, key, "_v"))
+    work = previous_row(work, by, date, key, "_v", "_prev")
     got = rolling_medians(work, by, date, key, "_prev", {n: (d, "left", m) for n, (d, m) in frames.items()}).drop("_v", "_prev")
     return got.withColumns({n: F.expm1(n) for n in frames}) if log_domain else got
 

@@ -90,3 +90,31 @@ def test_split_parts_make_the_whole(spark):
     assert kept.select("key").subtract(s.select("key")).count() == 0
     folds = splits.walk_forward_folds(df, "date", "key")
     assert splits.check_folds(splits.purge_groups(folds, df, "key", "key"), df, "date", "key", "key").where("not ok").count() == 0
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_value_buckets_give_the_same_medians(spark, by):
+    """Buckets of a few rows, a value that half the rows share, null groups, values and dates, repeated keys."""
+    pdf = table(7, 400, 90)
+    pdf.loc[::2, "price"] = 500.0
+    pdf.loc[::17, "price"] = np.nan
+    df = frame(spark, pdf).withColumns({"g": F.when(F.col("g") != 2, F.col("g")), "price": F.when(F.col("key") % 34 != 0, F.col("price")), "date": F.when(F.col("key") % 41 != 0, F.col("date"))})
+    frames = {"a": (20, "left", 3), "b": (45, "right", 1)}
+    got = windows.daily_medians(df, by, "date", "price", frames, task_rows=25).collect()
+    rows = [(r["g"] if by else None, r["date"], r["price"]) for r in df.collect() if r["date"]]
+    assert len(got) == len({r[:2] for r in rows})
+    for x in got:
+        day, g = x["_day"], x["_by0"] if by else None
+        for name, (days, closed, least) in frames.items():
+            first, last = (day - days, day - 1) if closed == "left" else (day - days + 1, day)
+            v = [p for h, d, p in rows if h == g and p is not None and p == p and first <= (d - pd.Timestamp("1970-01-01").date()).days <= last]
+            assert x[name] == (pytest.approx(np.median(v)) if len(v) >= least else None)
+
+
+def test_previous_row_equals_lag(spark):
+    from pyspark.sql import Window
+
+    df = frame(spark, table(8)).withColumns({"g": F.when(F.col("g") != 2, F.col("g")), "date": F.when(F.col("key") % 41 != 0, F.col("date"))})
+    for by in (["g"], []):
+        got = windows.previous_row(df, by, "date", "key", "price", "p").withColumn("q", F.lag("price").over(Window.partitionBy(*by).orderBy("date", "key")))
+        assert got.count() == df.count() and got.where("not (p <=> q)").count() == 0
