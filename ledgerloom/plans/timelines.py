@@ -58,6 +58,39 @@ def w3(spark, sf):
     return rounded(windows.rolling_median(v, ["bed"], "date", "key", "vwap", 30, 1).select("key", "median"), ["median"])
 
 
+# every row of tx counts in these; the two daily-maxima and per-bed forms above stay as they are registered
+
+
+@query("w2_rolling_median_bed_730d", f"WITH {TX}, m AS ({_median_sql('price', 'bed', 730, 1)} FROM tx) SELECT key, round(lag(m) OVER (PARTITION BY bed ORDER BY date, key), 4) AS median FROM m")
+def w2c(spark, sf):
+    got = windows.rolling_median(tx(spark, sf).select("key", "bed", "date", "price"), ["bed"], "date", "key", "price", 730, 1)
+    return rounded(got.select("key", "median"), ["median"])
+
+
+def _global_median(days):
+    def run(spark, sf):
+        return rounded(windows.rolling_median(tx(spark, sf).select("key", "date", "price"), [], "date", "key", "price", days, 1).select("key", "median"), ["median"])
+
+    return run
+
+
+for _days in (30, 730):
+    query(f"w2_rolling_median_all_rows_{_days}d", f"WITH {TX}, m AS ({_median_sql('price', '', _days, 1)} FROM tx) SELECT key, round(lag(m) OVER (ORDER BY date, key), 4) AS median FROM m")(_global_median(_days))
+
+
+def _global_vwap_median(days, least, over):
+    def run(spark, sf):
+        v = windows.vwap(tx(spark, sf).select("key", "date", "price"), [], "date", "key", "price", days, least, "equal")
+        return rounded(windows.rolling_medians(v, [], "date", "key", "vwap", {"median": (over, "right", 1)}).select("key", "median"), ["median"])
+
+    return run
+
+
+for _days, _least, _over in ((90, 3, 30), (730, 1, 730)):  # shifted by the average alone, as in the reference
+    _v = _vwap_sql("", _days, _least, "equal").replace(") SELECT key, round(lag(", "), v AS (SELECT key, date, lag(").replace(", 4) AS vwap FROM w", " AS vwap FROM w)")
+    query(f"w3_global_{_over}d_median_of_{_days}d_vwap", f"{_v}, m AS ({_median_sql('vwap', '', _over, 1)} FROM v) SELECT key, round(m, 4) AS median FROM m")(_global_vwap_median(_days, _least, _over))
+
+
 @query("w4_pct_spread", f"WITH {TXL} SELECT key, round(coalesce((price - capital_value) / nullif(capital_value, 0) * 100, 0), 6) AS spread FROM tx")
 def w4(spark, sf):
     return tx(spark, sf, True).select("key", rnd(windows.pct_spread(F.col("price"), F.col("capital_value")), 6).alias("spread"))
