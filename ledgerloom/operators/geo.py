@@ -43,16 +43,33 @@ def within_radius(left: DataFrame, right: DataFrame, radius_km: float, by: list[
     return a.join(b, [*by, "_i", "_j"]).withColumn("distance_km", d).where(F.col("distance_km") <= radius_km).drop("_i", "_j")
 
 
+def _start(points: DataFrame, by: list[str], start_km: float, most: int) -> float:
+    """start_km, or the largest quarter of a quarter of it whose cells all hold `most` points or fewer."""
+    for level in range(12):  # a cell of the last level is smaller than a metre
+        step = start_km / 4**level / KM_PER_DEGREE
+        cells = points.groupBy(*by, F.floor(F.col("latitude") / step), F.floor(F.col("longitude") / step)).count()
+        if (cells.agg(F.max("count")).first()[0] or 0) <= most:
+            break
+    return start_km / 4**level
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int, query_key: str, point_key: str, by: list[str] = (), start_km: float = 1.0) -> DataFrame:
     """(query_key, *by, point_key, distance_km): the k nearest points of each query and group, exactly.
 
     Queries have lat, lon; points latitude, longitude. A search looks within r; a query with k points
     there is done, the others go on with a radius four times as large, until r spans all points. Each
     round is written to the checkpoint folder.
+
+    Of a group's points at one place the k with the smallest keys are enough. Where the cells of start_km
+    are dense the search starts with smaller ones, so a query meets no more points than it needs; a query
+    at the edge of a cluster may still meet that cluster's points in a later round.
     """
     across, _ = _box((queries, "lat", "lon"), (points, "latitude", "longitude"))
     q = queries.select(query_key, "lat", "lon", *by).distinct()
-    p = points.select(point_key, "latitude", "longitude", *by)
+    p = points.select(point_key, "latitude", "longitude", *by).where("latitude is not null and longitude is not null")
+    place = Window.partitionBy(*by, "latitude", "longitude").orderBy(point_key)
+    p = cut(p.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k).drop("_n"))
+    start_km = _start(p, by, start_km, max(64, 16 * k))
     order = Window.partitionBy(query_key, *by).orderBy("distance_km", point_key)
     r, done, left = start_km, None, cut(q)
     while True:

@@ -275,6 +275,30 @@ def m11(spark, sf):
     return rounded(got.select("key", "mean_err_pct", "half_mean_pct", "half_q80_pct"), ["mean_err_pct", "half_mean_pct"], 6)
 
 
+# every request (key % 20 = 0), topped up from all beds; the two above stay as they are registered
+_ALL_COMPS = f"""q AS (SELECT key AS query_key, bed AS qbed, lat, lon FROM tx WHERE key % 20 = 0), h AS (SELECT key AS comp_key, bed, lat AS latitude, lon AS longitude, price AS comp_price FROM tx WHERE key % 20 <> 0),
+p AS (SELECT query_key, comp_key, qbed = bed AS same, {_KM} AS km FROM q, h), r AS (SELECT *, row_number() OVER (PARTITION BY query_key, same ORDER BY km, comp_key) AS n, row_number() OVER (PARTITION BY query_key ORDER BY km, comp_key) AS n_all, count(*) FILTER (same) OVER (PARTITION BY query_key) AS n_same FROM p),
+b AS (SELECT query_key, comp_key, same, km, row_number() OVER (PARTITION BY query_key ORDER BY km, comp_key) AS rank FROM r WHERE same AND n <= 5 OR n_same < 5 AND n_all <= 5), best AS (SELECT * FROM b WHERE rank <= 5)"""
+
+
+def _all_comps(spark, sf):
+    t = tx(spark, sf).select("key", "bed", "lat", "lon", "price")
+    return t, geo.knn_comparables(t.where("key % 20 = 0"), t.where("key % 20 != 0"), 5, "key")
+
+
+@query("j10_knn_comparables_all_requests", f"WITH {TX}, {_ALL_COMPS} SELECT query_key, rank::INTEGER AS rank, comp_key, round(km, 6) AS distance_km FROM best")
+def j10_all(spark, sf):
+    return _all_comps(spark, sf)[1].select("query_key", "rank", "comp_key", rnd("distance_km", 6).alias("distance_km"))
+
+
+@query("m11_comparable_interval_all_requests", _M11.replace(_COMPS, _ALL_COMPS))
+def m11_all(spark, sf):
+    t, comps = _all_comps(spark, sf)
+    err = comps.select(F.col("query_key").alias("key"), "comp_key", "distance_km", (F.col("same_first") == 1).alias("same"), (F.col("comp_key") % 21 - 10).cast("double").alias("err_pct"))
+    got = metrics.comparable_interval(t.select("key", F.col("price").alias("pred")), err, "key", "pred")
+    return rounded(got.select("key", "mean_err_pct", "half_mean_pct", "half_q80_pct"), ["mean_err_pct", "half_mean_pct"], 6)
+
+
 # splits and folds
 
 _MONTHS = "m AS (SELECT DISTINCT year(date) * 12 + month(date) AS m FROM tx), mr AS (SELECT m, row_number() OVER (ORDER BY m DESC) AS r FROM m)"
