@@ -146,6 +146,34 @@ def rate_table(docs: DataFrame, labels: DataFrame, shares: dict[str, float], mos
     return got.select("doc_id", "tokens", *[F.round(F.col("posterior")[i], 6).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.round("rate", 6).alias("rate"))
 
 
+def take_by_domain(rows: DataFrame, factors: dict[str, float], seed: str = "mix") -> tuple[DataFrame, list[dict]]:
+    """rows (with tokens and posterior) by their most likely domain, and a dict for each domain: present,
+    target and reached expected tokens.
+
+    Domains of factor 1 (and those not named) stay, each row once; domains of factor 0 go. Only rows of the
+    domains in between are drawn, by a keyed hash of doc_id, with one probability for each domain, solved so
+    that those domains' expected tokens meet factor x present as near as probabilities in 0..1 come.
+    """
+    k = len(DOMAINS)
+    f = np.array([min(1.0, max(0.0, factors.get(d, 1.0))) for d in DOMAINS])
+    p = F.col("posterior")
+    best = F.array_position(p, F.array_max(p)).cast("int") - 1
+    named = rows.withColumn("_best", best)
+    sums = np.zeros((k, k))  # expected tokens of domain j in the rows of most likely domain i
+    for r in named.groupBy("_best").agg(*[F.sum(F.col("tokens") * p[j]) for j in range(k)]).collect():  # 4 rows at most
+        sums[r[0]] = [x or 0.0 for x in r[1:]]
+    present, chance = sums.sum(axis=0), f.copy()
+    drawn = [i for i in range(k) if 0 < f[i] < 1 and sums[i].any()]
+    if drawn:
+        fixed = sum((f[i] * sums[i] for i in range(k) if i not in drawn), np.zeros(k))
+        miss = (f * present - fixed)[drawn]
+        chance[drawn] = np.clip(np.linalg.lstsq(sums[np.ix_(drawn, drawn)].T, miss, rcond=None)[0], 0.0, 1.0)
+    unit = F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    out = named.where(F.coalesce(unit, F.lit(0.0)) < F.get(F.array(*[F.lit(float(x)) for x in chance]), F.col("_best")))
+    totals = [{"domain": d, "present": present[i], "target": f[i] * present[i], "reached": float(chance @ sums[:, i])} for i, d in enumerate(DOMAINS)]
+    return out.drop("_best", "tokens", "posterior"), totals
+
+
 def take_by_rate(rows: DataFrame, seed: str = "mix", slack: float = 0.1) -> DataFrame:
     """Each row as often as its rate says: rates within slack of a whole number are that number, of
     others the fraction is drawn by a keyed hash of doc_id. tokens, posterior and rate go."""
