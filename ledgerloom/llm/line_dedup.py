@@ -16,6 +16,8 @@ Repeated rows are treated alike. Extra columns stay.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +32,19 @@ def _keys(text: str = "text") -> list:
     return [F.xxhash64(F.col(text)).alias("_k1"), F.xxhash64(F.lit("second"), F.col(text)).alias("_k2")]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(_k1, _k2, site, pos, h1, h2) for every non-blank line."""
+def _lines(docs: DataFrame, least_words: int = 0) -> DataFrame:
+    """(_k1, _k2, site, pos, h1, h2) for every non-blank line, of least_words words or more."""
     cut = F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(WS_CHARS)))
     rows = docs.where("text is not null").select(*_keys(), F.col("source").cast("string").alias("site"), F.posexplode(cut).alias("pos", "line"))
-    return rows.where("line != ''").select("_k1", "_k2", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
+    rows = rows.where("line != ''")
+    if least_words > 1:
+        rows = rows.where(F.regexp_count("line", F.lit(WS + "+")) >= least_words - 1)
+    return rows.select("_k1", "_k2", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
 
 
-def line_spread(docs: DataFrame, least_sites: int = 10, band: float = BAND) -> DataFrame:
+def line_spread(docs: DataFrame, least_sites: int = 10, band: float = BAND, least_words: int = 0) -> DataFrame:
     """(h1, h2, sites, exact): estimated distinct sites of every line, exact near the threshold."""
-    lines = _lines(docs).where("site is not null").select("h1", "h2", "site")
+    lines = _lines(docs, least_words).where("site is not null").select("h1", "h2", "site")
     sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
     far = (F.col("sites") < (1 - band) * least_sites) | (F.col("sites") > (1 + band) * least_sites)
     near = sketched.where(~far).select("h1", "h2")
@@ -47,26 +52,39 @@ def line_spread(docs: DataFrame, least_sites: int = 10, band: float = BAND) -> D
     return sketched.where(far).withColumn("exact", F.lit(False)).unionByName(counted.withColumn("exact", F.lit(True)))
 
 
-def boilerplate_lines(docs: DataFrame, least_sites: int = 10, band: float = BAND) -> DataFrame:
-    """(h1, h2) of the lines on at least least_sites sites."""
-    return line_spread(docs, least_sites, band).where(F.col("sites") >= least_sites).select("h1", "h2")
-
+def boilerplate_lines(docs: DataFrame, least_sites: int = 10, band: float = BAND, least_words: int = 0, site_share: float = 0.0, doc_share: float = 0.0) -> DataFrame:
+    """(h1, h2) of the lines on at least least_sites sites.
 
-def with_line_cuts(docs: DataFrame, least_sites: int = 10) -> DataFrame:
+    Besides, a line can be asked to have least_words words, to be on site_share of all sites, and in
+    doc_share of all documents, so that common short lines and chance repeats of a large table stay.
+    """
+    if site_share <= 0 and doc_share <= 0:
+        return line_spread(docs, least_sites, band, least_words).where(F.col("sites") >= least_sites).select("h1", "h2")
+    n, sites = docs.agg(F.count("*"), F.count_distinct("source")).first()
+    least_sites = max(least_sites, math.ceil(site_share * sites))
+    wide = line_spread(docs, least_sites, band, least_words).where(F.col("sites") >= least_sites).select("h1", "h2")
+    # a document counts once for a line, equal copies each
+    texts = docs.where("text is not null").groupBy(*_keys()).agg(F.count("*").alias("_rows"))
+    held = _lines(docs, least_words).join(wide, ["h1", "h2"], "left_semi").select("_k1", "_k2", "h1", "h2").distinct().join(texts, ["_k1", "_k2"])
+    return held.groupBy("h1", "h2").agg(F.sum("_rows").alias("_docs")).where(F.col("_docs") >= doc_share * n).select("h1", "h2")
+
+
+def with_line_cuts(docs: DataFrame, least_sites: int = 10, **rule) -> DataFrame:
     """docs with `_cut`, the line numbers (from 0) that are boilerplate; null if none."""
-    bad = boilerplate_lines(docs, least_sites)
+    bad = boilerplate_lines(docs, least_sites, **rule)
     hits = _lines(docs).select("_k1", "_k2", "pos", "h1", "h2").join(bad, ["h1", "h2"]).groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("_cut"))
     return docs.withColumns({"_k1": _keys()[0], "_k2": _keys()[1]}).join(hits, ["_k1", "_k2"], "left").drop("_k1", "_k2")
 
 
-def drop_boilerplate(docs: DataFrame, least_sites: int = 10) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, least_sites: int = 10, **rule) -> DataFrame:
     """docs, with the boilerplate lines gone from every text; a text may become empty.
 
+    rule: least_words, site_share and doc_share of boilerplate_lines.
     n_chars, if docs has it, follows the text. All rows and columns stay.
     """
     cut = F.col("_cut")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(cut, i)), "\n")
-    out = with_line_cuts(docs, least_sites).withColumn("text", F.when(cut.isNull(), F.col("text")).otherwise(left))
+    out = with_line_cuts(docs, least_sites, **rule).withColumn("text", F.when(cut.isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from ledgerloom.llm import mixing
+from ledgerloom.llm import line_dedup, mixing
 from ledgerloom.llm.common import table
 
 from test_operators import frame
@@ -45,6 +45,17 @@ def test_drawn_share_meets_its_target(spark):
     assert n[0] == 2000 and 520 <= n[1] <= 680
 
 
+@pytest.mark.parametrize("n", [200, 4000])
+def test_common_short_lines_stay_at_every_size(spark, n):
+    """A short line everywhere and a chance line on 12 of 20 sources stay; a footer in every tenth text goes."""
+    texts = [f"own words of text {i}\nOf." + ("\nRead more from this fine site." if i % 10 < 2 else "") for i in range(n)]
+    if n > 200:
+        texts = [t + ("\nA chance line of prose." if i < 12 else "") for i, t in enumerate(texts)]
+    df = frame(spark, texts, [f"s{i}" for i in range(20)]).withColumn("source", F.concat(F.lit("s"), ((F.col("doc_id") + F.floor(F.col("doc_id") / 10)) % 20).cast("string")))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(df, 10, least_words=4, site_share=0.5, doc_share=0.005).collect()}
+    assert got == {i: t.replace("\nRead more from this fine site.", "") for i, t in enumerate(texts)}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_pipeline_mixing_loses_no_clean_document(spark):
     docs = table(spark, SF, "documents")
