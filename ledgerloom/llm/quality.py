@@ -7,7 +7,7 @@ Line rules
 * punctuation: marks such as ### or !! end 30 % of its words or more, or more than 10 % of its
   characters are symbols of ``[#*$%&|<>]``;
 * navigation: 20 % of its words or more are bare separators, or the line is a menu label;
-* boilerplate: it holds a licence, cookie, script or rights notice.
+* boilerplate: it holds a licence, cookie, script or rights notice for each `NOTICE_WORDS` of its words.
 
 A document is rejected if more than `most_lost` percent of the characters of its lines fail, or by
 the base rules: fewer than 50 words, or more than half its words in repeated 3-word windows.
@@ -32,6 +32,10 @@ MENU = r"(?i)^[\x20\x09-\x0D]*(home|menu|next|previous|back to top|share|log ?in
 NOTICE = r"(?i)(all rights reserved|licensed under|released under the .{0,40}licen[sc]e|terms of (use|service)|privacy policy|(uses?|accept|enable) cookies|enable javascript|lorem ipsum|copyright (\(c\)|©))"
 
 
+#: A notice makes up a line of so many words; a longer line that mentions one is text.
+NOTICE_WORDS = 30
+
+
 def line_failure(line: Column) -> Column:
     """Name of the rule that a non-blank line fails, else null."""
     words = F.regexp_count(line, F.lit(WORD))
@@ -41,7 +45,7 @@ def line_failure(line: Column) -> Column:
     return (
         F.when((100 * marked >= 30 * words) | (100 * symbols > 10 * F.length(line)), F.lit("punctuation"))
         .when((100 * bare >= 20 * words) | line.rlike(MENU), F.lit("navigation"))
-        .when(line.rlike(NOTICE), F.lit("boilerplate"))
+        .when(line.rlike(NOTICE) & (words <= NOTICE_WORDS * F.regexp_count(line, F.lit(NOTICE))), F.lit("boilerplate"))
     )
 
 
@@ -75,12 +79,14 @@ def repeated_window_words(words: Column, k: int = 3) -> Column:
 def with_verdict(docs: DataFrame, most_lost: int = 50, least_words: int = 50) -> DataFrame:
     """docs with a struct column `_verdict`: the counts, base_failed, kept, and the text that is left."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NONBLANK))
-    judged = F.transform(lines, lambda x: F.struct(x.alias("line"), line_failure(x).alias("rule")))
+    lines = F.split(text, "\n", -1)
+    judged = F.transform(lines, lambda x: F.struct(x.alias("line"), F.when(~x.rlike(NONBLANK), F.lit("blank")).otherwise(line_failure(x)).alias("rule")))
     size = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + F.length(x["line"]))
     out = docs.withColumn("_verdict", F.struct(split_words(text).alias("words"), judged.alias("judged")))
-    words, judged = F.col("_verdict.words"), F.col("_verdict.judged")
+    words, whole = F.col("_verdict.words"), F.col("_verdict.judged")
+    judged = F.filter(whole, lambda x: F.coalesce(x["rule"], F.lit("")) != "blank")
     stay = F.filter(judged, lambda x: x["rule"].isNull())
+    left = F.filter(whole, lambda x: F.coalesce(x["rule"], F.lit("blank")) == "blank")
     out = out.withColumn(
         "_verdict",
         F.struct(
@@ -91,7 +97,7 @@ def with_verdict(docs: DataFrame, most_lost: int = 50, least_words: int = 50) ->
             repeated_window_words(words).alias("n_repeat_words"),
             size(judged).alias("chars"),
             size(stay).alias("chars_left"),
-            F.array_join(F.transform(stay, lambda x: x["line"]), "\n").alias("text_left"),
+            F.array_join(F.transform(left, lambda x: x["line"]), "\n").alias("text_left"),
         ),
     )
     q = F.col("_verdict")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from ledgerloom.llm import line_dedup, mixing
+from ledgerloom.llm import line_dedup, mixing, quality
 from ledgerloom.llm.common import table
 
 from test_operators import frame
@@ -56,6 +56,14 @@ def test_common_short_lines_stay_at_every_size(spark, n):
     assert got == {i: t.replace("\nRead more from this fine site.", "") for i, t in enumerate(texts)}
 
 
+def test_quality_keeps_a_long_line_that_mentions_a_policy(spark):
+    long = " ".join(f"Word{i}" for i in range(80))
+    one = long + " The privacy policy of the town was read aloud. " + long.replace("Word", "Other")
+    spaced = long + "\n\nAll rights reserved.\n \n" + long.replace("Word", "Third")
+    got = {r["doc_id"]: r["text"] for r in quality.clean(frame(spark, [one, spaced])).collect()}
+    assert got == {0: one, 1: spaced.replace("All rights reserved.\n", "")}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_pipeline_mixing_loses_no_clean_document(spark):
     docs = table(spark, SF, "documents")
