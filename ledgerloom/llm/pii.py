@@ -5,6 +5,9 @@ A valid value is permuted within its format by a keyed Feistel network over its
 or day number), tweaked by kind and length. Equal values get equal pseudonyms in every document and
 different ones of one format stay different; with the key the map can be undone.
 
+A run of digit groups that isn't a card as a whole (a card beside its CVV, expiry or another number) is
+searched for a card at its groups' borders; only that part is replaced (card_inside).
+
 Kinds: e-mail (letters and digits of the local part are permuted, the domain stays), IPv4, card
 numbers (the check digit is set anew), national ids ddd-dd-dddd, phone numbers (the country code
 stays), dates yyyy-mm-dd and dd/mm/yyyy or mm/dd/yyyy (a valid day in 1700-2099; a form that is valid
@@ -113,6 +116,43 @@ def _day_pseudonym(day: Column, key: str) -> Column:
     return bind(both, lambda x: F.date_add(F.to_date(F.lit(_DAY_0)), (x["l"] * _DAY_B + x["r"]).cast("int")))
 
 
+#: How cards are written, the likeliest first: 4-4-4-4, then one run, 4-6-5, 4-6-4 and 4-4-4-4-3.
+_CARD_FORMS = (r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}\z", r"^(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3})\z")
+
+
+def _luhn(digits: Column) -> Column:
+    return luhn_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)).cast("string") == F.substring(digits, F.length(digits), F.lit(1))
+
+
+def card_inside(m: Column, key: str) -> Column:
+    """m with the card inside a longer run of digit groups replaced, null if there is none.
+
+    Tried are runs of whole groups, 13 to 19 digits that pass Luhn: written forms first, then others of
+    groups of three digits or more; the longest and leftmost of a kind wins.
+    """
+
+    def within(parts: Column) -> Column:
+        n = F.size(parts)
+        starts = F.transform(parts, lambda x, i: i + 1 + F.length(F.array_join(F.slice(parts, F.lit(1), i), "")))
+        at = lambda i, j: F.substring(m, F.get(starts, i), F.get(starts, j) + F.length(F.get(parts, j)) - F.get(starts, i))
+
+        def rate(i: Column, s: Column) -> Column:
+            d = _only(s, "0-9")
+            form = F.when(s.rlike(_CARD_FORMS[0]), 0).when(s.rlike(_CARD_FORMS[1]), 1).when(~s.rlike(r"(?<![0-9])[0-9]{1,2}(?![0-9])"), 2)
+            good = F.when(F.length(d).between(13, 19), F.when(form.isNotNull(), F.when(_luhn(d), form)))
+            return F.struct(good.alias("form"), (-F.length(d)).alias("size"), F.get(starts, i).alias("start"), s.alias("s"))
+
+        runs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i, n - 1), lambda j: bind(at(i, j), lambda s: rate(i, s)))))
+        return F.array_min(F.filter(runs, lambda x: x["form"].isNotNull()))
+
+    def put(x: Column) -> Column:
+        d = _only(x["s"], "0-9")
+        new = bind(permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, F.lit("card")), lambda b: _refill(x["s"], F.concat(b, luhn_digit(b).cast("string")), "0-9"))
+        return F.when(x.isNotNull(), F.concat(F.substring(m, F.lit(1), x["start"] - 1), new, F.substring(m, x["start"] + F.length(x["s"]), F.length(m))))
+
+    return bind(bind(F.split(m, "[ -]"), within), put)
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """Pseudonym of a candidate, null if it isn't valid."""
     digits = _only(m, "0-9")
@@ -149,6 +189,7 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(m.rlike(full(NATIONAL)), national)
         .when(m.rlike(full(PHONE)), phone)
         .when(m.rlike(full(CARD)) & luhn, card)
+        .when(m.rlike(full(CARD)), card_inside(m, key))
     )
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from ledgerloom.llm import line_dedup, mixing, quality
+from ledgerloom.llm import line_dedup, mixing, pii, quality
 from ledgerloom.llm.common import table
 
 from test_operators import frame
@@ -64,6 +64,17 @@ def test_quality_keeps_a_long_line_that_mentions_a_policy(spark):
     assert got == {0: one, 1: spaced.replace("All rights reserved.\n", "")}
 
 
+def test_pii_finds_a_card_beside_other_digits(spark):
+    card = "4111 1111 1111 1111"
+    texts = [card, f"{card} 123", f"{card} 12/27", f"order 7 {card}", "7 4111-1111-1111-1111", "12 3782 822463 10005", "1234 5678 9012 3456 78"]
+    got = {r["doc_id"]: r for r in pii.pseudonymize(frame(spark, texts), "k").collect()}
+    new = got[0]["text"]
+    assert new != card
+    assert [got[i]["text"] for i in range(1, 5)] == [f"{new} 123", f"{new} 12/27", f"order 7 {new}", "7 " + new.replace(" ", "-")]
+    assert got[5]["text"].startswith("12 ") and "3782 822463 10005" not in got[5]["text"]
+    assert got[6]["text"] == texts[6] and [got[i]["n_replaced"] for i in range(7)] == [1] * 6 + [0]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_pipeline_mixing_loses_no_clean_document(spark):
     docs = table(spark, SF, "documents")
