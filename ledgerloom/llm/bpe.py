@@ -1,12 +1,16 @@
 """Byte-level BPE encoding and decoding by forced-boundary splitting.
 
 Method. A merge can only make a vocabulary token, so two neighbouring bytes that stand side by side in
-no token are never merged: a cut between them is certain. Cuts that also leave the pre-tokeniser's
-matches as they are (see cut_table) split a text into fragments that are encoded one by one and
-concatenated. All texts of an Arrow slice are cut at once with numpy; equal fragments are encoded
-once and their ids are kept in a bounded memo for each Python worker.
+no token are never merged: a cut between them is certain. Such a pair is a cut where it lies between two
+characters (of any script) and leaves the pre-tokeniser's matches as they are (see Codec.cuts); cuts
+split a text into fragments that are encoded one by one and concatenated. All texts of an Arrow slice are
+cut at once with numpy. Equal fragments of a slice are found by their bytes (a dictionary of the slice)
+and encoded once; short ones are remembered, bytes and all, in a memo of bounded size for each worker.
 
 The tokenizer file is a parameter; its bytes travel with the task (about 2 MB, a fixed size).
+
+Edges. Null and empty texts have no ids, an empty table gives an empty one, repeated rows are encoded
+alike. A text of any length is encoded whole: it is cut first, and a piece without cuts takes n log n steps.
 """
 
 from __future__ import annotations
@@ -14,22 +18,28 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textblocks import SPACE, U64, raw, slices, span_hash
+from .common import unused
+from .textblocks import raw, slices
 
 #: Fixed value: the byte-level pre-tokeniser's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _MATCH = regex.compile(PATTERN)
-MEMO_FRAGMENTS = 2_000_000
+#: Bytes of one generation of a worker's memo (two are kept), bytes of a remembered fragment, bytes that an entry takes besides.
+MEMO_BYTES, MEMO_LONGEST, MEMO_ENTRY = 40 << 20, 64, 200
+#: Kinds of characters as the pre-tokeniser sees them.
+OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,31 +49,25 @@ def byte_letters() -> dict[str, int]:
     return out | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
 
 
-def cut_table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For bytes a, b: may a text be cut between them, (if a is ASCII, if a ends a two-byte letter).
+@lru_cache(maxsize=1)
+def character_kinds() -> np.ndarray:
+    """Kind of every code point."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    kinds = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            kinds[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
+    return kinds
 
-    The pair must occur in no token, and the cut must not change a match of the pre-tokeniser: it is
-    where a match ends in any context (before white space, or between a word, a number and
-    punctuation) or inside a run of letters or of digits. After an apostrophe nothing is cut, nor
-    before one that follows white space, as a contraction might begin there.
-    """
+
+def joined_bytes(tokens: list[bytes]) -> np.ndarray:
+    """For bytes a * 256 + b: do they stand side by side in a token?"""
     joined = np.zeros((256, 256), bool)
     for t in tokens:
         joined[list(t[:-1]), list(t[1:])] = True
-    kind = np.full(256, "?")  # control characters and bytes above ASCII: never cut
-    for b in range(33, 127):
-        kind[b] = "L" if chr(b).isalpha() else "N" if chr(b).isdigit() else "P"
-    kind[SPACE] = "S"
-    a, b = kind[:, None], kind[None, :]
-    ok = np.isin(a, ["L", "N", "P"]) & (b == "S")
-    ok |= (a == "S") & np.isin(b, ["L", "N", "P"])
-    ok |= np.isin(a, ["L", "N"]) & np.isin(b, ["L", "N", "P"])
-    ok |= (a == "P") & np.isin(b, ["L", "N"])
-    ok[ord("'"), kind != "S"] = False
-    ok[SPACE, ord("'")] = False
-    two = np.zeros((256, 256), bool)
-    two[0x80:0xC0, SPACE] = True
-    return ok & ~joined, two & ~joined
+    for a, b in ("re", "ve", "ll"):  # of the contractions, which the pre-tokeniser keeps together
+        joined[ord(a), ord(b)] = True
+    return joined.ravel()
 
 
 class Codec:
@@ -82,7 +86,10 @@ class Codec:
         self.byte_id = [self.ids[bytes([b])] for b in range(256)]
         self.pair = {self.ids[x] << 20 | self.ids[y]: r for r, (x, y) in enumerate(merges)}
         self.made, self.no_rank = [self.ids[x + y] for x, y in merges], len(merges)
-        self.ascii_cut, self.two_cut = (t.ravel() for t in cut_table(list(self.ids)))
+        pairs = np.array(list(self.pair), np.int64)
+        self.order = np.argsort(pairs)
+        self.pairs, self.made_ids, self.byte_ids = pairs[self.order], np.array(self.made, np.int32), np.array(self.byte_id, np.int32)
+        self.joined = joined_bytes(list(self.ids))
         self._special = regex.compile(b"|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or b"(?!)")
         table = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         size = max(table) + 1
@@ -93,11 +100,7 @@ class Codec:
         digits = [str(i).encode() + b"," for i in range(size)]
         self.digit_len = np.array([len(d) for d in digits], np.int64)
         self.digits = np.frombuffer(b"".join(d.ljust(8) for d in digits), np.uint8).reshape(-1, 8)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys, self.slot = np.zeros(0, U64), np.zeros(0, np.int64)
-        self.flat, self.at, self.len = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new, self.old, self.held = {}, {}, 0
 
     def _merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: merges of the lowest rank first, the leftmost of those first."""
@@ -140,59 +143,151 @@ class Codec:
                 heapq.heappush(heap, (r, p, ids[p], ids[i]))
         return [i for i in ids if i >= 0]
 
-    def encode_fragment(self, piece: bytes, goes_on: bool) -> list[int]:
-        """goes_on: a character that is no white space follows, which the pre-tokeniser looks at."""
-        text = piece.decode()
-        found = _MATCH.findall(text + "x" if goes_on else text)
-        if goes_on:
-            found[-1] = found[-1][:-1]
-        return [i for w in found if w for i in self._merge(w.encode())]
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair of ids, no_rank if there is none (an id of -1 has none)."""
+        pair = left.astype(np.int64) << 20 | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == pair) & (right >= 0), self.order[at], self.no_rank).astype(np.int32)
+
+    def _merge_block(self, words: list[bytes], width: int) -> list[bytes]:
+        """Packed ids of pieces of `width` bytes or fewer, all merged at once: in a round each piece makes
+        its merge of the lowest rank, the leftmost of those."""
+        lens = np.array([len(w) for w in words])
+        ids = np.full((len(words), width), -1, np.int32)
+        ids[np.arange(width) < lens[:, None]] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        rank = self._ranks(ids[:, :-1], ids[:, 1:])
+        rows, j = np.arange(len(words)), np.arange(width)
+        while True:
+            best = rank[rows].argmin(axis=1)
+            r = rank[rows, best]
+            go = r < self.no_rank
+            rows, best, r = rows[go], best[go], r[go]
+            if not len(rows):
+                break
+            here = np.take_along_axis(ids[rows], np.minimum(j + (j > best[:, None]), width - 1), axis=1)
+            here[:, -1] = -1
+            k = np.arange(len(rows))
+            here[k, best] = self.made_ids[r]
+            near = np.take_along_axis(rank[rows], np.minimum(j[:-1] + (j[:-1] >= best[:, None]), width - 2), axis=1)
+            near[:, -1] = self.no_rank
+            some = best < width - 1
+            near[k[some], best[some]] = self._ranks(here[k[some], best[some]], here[k[some], best[some] + 1])
+            some = best > 0
+            near[k[some], best[some] - 1] = self._ranks(here[k[some], best[some] - 1], here[k[some], best[some]])
+            ids[rows], rank[rows] = here, near
+            lens[rows] -= 1
+        flat, ends = ids[j < lens[:, None]].tobytes(), np.cumsum(lens) * 4
+        return [flat[e - 4 * n : e] for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]
+
+    def _merge_all(self, words: list[bytes]) -> list[bytes]:
+        out: list = [None] * len(words)
+        sizes = np.array([len(w) for w in words])
+        for low, high in ((0, 8), (8, 16), (16, 32)):
+            chosen = np.flatnonzero((sizes > low) & (sizes <= high)).tolist()
+            if chosen:
+                for i, x in zip(chosen, self._merge_block([words[i] for i in chosen], high), strict=True):
+                    out[i] = x
+        return [array("i", self._merge(w)).tobytes() if x is None else x for w, x in zip(words, out, strict=True)]
+
+    def encode_fragments(self, fragments: list[tuple[bytes, bool]]) -> list[bytes]:
+        """Packed 32-bit ids of fragments (bytes, goes_on), from the memo where it has them. goes_on: a
+        character that is no white space follows, which the pre-tokeniser looks at."""
+        got: list = [None] * len(fragments)
+        words, missing = [], []
+        for i, (f, goes_on) in enumerate(fragments):
+            key = f + b"\x01" if goes_on else f + b"\x00"
+            x = self.new.get(key)
+            if x is None and (x := self.old.get(key)) is not None:
+                self._remember(key, x)
+            if x is None:
+                core = f[1:] if f[:1] == b" " else f
+                if not goes_on and core.isalpha():
+                    own = [f]
+                else:
+                    own = _MATCH.findall(f.decode() + "x" if goes_on else f.decode())
+                    if goes_on:
+                        own[-1] = own[-1][:-1]
+                    own = [w.encode() for w in own if w]
+                words += own
+                missing.append((i, key, len(own)))
+            got[i] = x
+        merged, at = self._merge_all(words), 0
+        for i, key, n in missing:
+            got[i] = b"".join(merged[at : at + n])
+            at += n
+            self._remember(key, got[i])
+        return got
+
+    def _remember(self, key: bytes, ids: bytes) -> None:
+        if len(key) <= MEMO_LONGEST:
+            if self.held > MEMO_BYTES:
+                self.new, self.old, self.held = {}, self.new, 0
+            self.new[key] = ids
+            self.held += len(key) + len(ids) + MEMO_ENTRY
+
+    def cuts(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(certain cuts, ends of characters that are white space), both by the byte they stand before.
+
+        The byte pair must occur in no token, and the cut must not change a match of the pre-tokeniser:
+        a match ends, in any context, between characters of different kinds and may be cut inside a run
+        of letters or of numbers. Runs of white space or of other characters are left whole, nothing is
+        cut after an apostrophe, nor before one that follows white space, as a contraction may begin there.
+        """
+        n = len(data)
+        cut, spaced = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        at = np.flatnonzero((data & 0xC0) != 0x80)
+        first = data[at]
+        kinds = character_kinds()
+        kind = kinds[:128][first & 0x7F]
+        if len(wide := np.flatnonzero(first >= 0x80)):
+            p, lead = at[wide], first[wide].astype(np.int32)
+            tail = [(data[np.minimum(p + i, n - 1)] & 0x3F).astype(np.int32) for i in (1, 2, 3)]
+            point = np.where(lead < 0xE0, (lead & 0x1F) << 6 | tail[0], np.where(lead < 0xF0, (lead & 0x0F) << 12 | tail[0] << 6 | tail[1], (lead & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]))
+            kind[wide] = kinds[np.minimum(point, 0x10FFFF)]
+        before, after = kind[:-1], kind[1:]
+        ok = (before != after) | (before == LETTER) | (before == NUMBER)
+        ok &= ~((first[:-1] == 39) & (after != SPACE)) & ~((before == SPACE) & (first[1:] == 39))
+        ok &= ~self.joined[data[at[1:] - 1].astype(np.int32) << 8 | first[1:]]
+        cut[at[1:][ok]] = True
+        spaced[np.append(at[1:], n)[kind == SPACE]] = True
+        return cut, spaced
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts data[offs[i]:offs[i + 1]]."""
         n = len(data)
         if not n:
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
-        cut, hard = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-        pair = data[:-1].astype(np.int32) << 8 | data[1:]
-        cut[1:n] = self.ascii_cut[pair]
-        cut[2:n] |= self.two_cut[pair[1:]] & (data[:-2] >= 0xC3) & (data[:-2] <= 0xDF)
+        data = np.ascontiguousarray(data)
+        cut, spaced = self.cuts(data)
+        hard = np.zeros(n + 1, bool)
         hard[offs] = True
-        specials: dict[int, int] = {}
+        specials: list[int] = []
         if self.special:
-            for m in self._special.finditer(data.tobytes()):
+            for m in self._special.finditer(data):
                 s, e = m.span()
                 if not hard[s + 1 : e].any():
                     cut[s + 1 : e] = False
                     hard[[s, e]] = True
-                    specials[s] = self.special[m[0]]
+                    specials.append(s)
         cut |= hard
         starts = np.flatnonzero(cut[:n])
         ends = np.append(starts[1:], n)
-        goes_on = SPACE[data[ends - 1]] & ~hard[ends]
-        h = span_hash(data.astype(U64) + U64(1), starts, ends) ^ (goes_on.astype(U64) * U64(0x5851F42D4C957F2D))
-        for s, i in specials.items():
-            h[np.searchsorted(starts, s)] = U64(0xF00D_0000_0000_0000 + i)
-        keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) > MEMO_FRAGMENTS:
-            self._forget()
-        place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == keys[inside]
-        if not known.all():
-            text, new = data.tobytes(), []
-            for f in first[~known].tolist():
-                s = int(starts[f])
-                new.append([specials[s]] if s in specials else self.encode_fragment(text[s : ends[f]], bool(goes_on[f])))
-            lens = np.array([len(x) for x in new], np.int64)
-            slot = np.arange(len(self.len), len(self.len) + len(new))
-            self.keys, self.slot = np.insert(self.keys, place[~known], keys[~known]), np.insert(self.slot, place[~known], slot)
-            self.at = np.append(self.at, len(self.flat) + np.cumsum(lens) - lens)
-            self.flat = np.append(self.flat, np.array([i for x in new for i in x], np.int32))
-            self.len = np.append(self.len, lens)
-        at = self.slot[np.searchsorted(self.keys, keys)][inverse]
-        ids, ends_of = _gather(self.flat, self.at[at], self.len[at])
+        # equal fragments by their bytes; a fragment's ids depend on the bytes and on its variant
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, n)), pa.py_buffer(data)])
+        coded = whole.dictionary_encode()
+        variant = (spaced[ends] & ~hard[ends]).astype(np.int64)
+        variant[np.searchsorted(starts, specials)] = 2
+        key = coded.indices.to_numpy().astype(np.int64) * 3 + variant
+        used = np.flatnonzero(np.bincount(key))
+        place = np.zeros(int(used[-1]) + 1, np.int64)
+        place[used] = np.arange(len(used))
+        found = coded.dictionary.take(pa.array(used // 3)).to_pylist()
+        plain = used % 3 < 2
+        texts = iter(self.encode_fragments([(f, v == 1) for f, v in zip(found, (used % 3).tolist(), strict=True) if v < 2]))
+        got = [next(texts) if p else array("i", [self.special[f]]).tobytes() for f, p in zip(found, plain.tolist(), strict=True)]
+        lens = np.array([len(x) >> 2 for x in got], np.int64)
+        slot = place[key]
+        ids, ends_of = _gather(np.frombuffer(b"".join(got), np.int32), (np.cumsum(lens) - lens)[slot], lens[slot])
         return ids, np.append(0, ends_of)[np.searchsorted(starts, offs)]
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,29 +308,10 @@ def _gather(flat: np.ndarray, at: np.ndarray, lens: np.ndarray) -> tuple[np.ndar
     return flat[np.repeat(at - (ends - lens), lens) + np.arange(total)], ends
 
 
-class RankCodec(Codec):
-    """The same cuts and memo, but fragments are merged by tiktoken's core over the file's own vocabulary.
-
-    For jobs that need speed more than the merge list's own order; it needs a vocabulary whose ids
-    follow the merges, which is checked.
-    """
-
-    def __init__(self, content: bytes) -> None:
-        import tiktoken
-
-        super().__init__(content)
-        if any(a >= b for a, b in zip(self.made, self.made[1:])) or max(self.byte_id) > self.made[0]:  # noqa: B905
-            raise ValueError("the ids of this vocabulary don't follow its merges")
-        self._core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={})._core_bpe
-
-    def _merge(self, piece: bytes) -> list[int]:
-        return self._core.encode_single_piece(piece)
-
-
-@lru_cache(maxsize=4)
-def codec(content: bytes, fast: bool = False) -> Codec:
+@lru_cache(maxsize=2)
+def codec(content: bytes) -> Codec:
     """One codec for each file and Python worker."""
-    return RankCodec(content) if fast else Codec(content)
+    return Codec(content)
 
 
 def _replaced(schema: T.StructType, fields: list[T.StructField]) -> T.StructType:
@@ -259,12 +335,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", verify: bool = False)
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), *([T.StructField("exact", T.BooleanType())] * verify)]
     schema = _replaced(docs.schema, fields)
     keep = [f.name for f in schema.fields[: -len(fields)]]
+    (own,) = unused(docs, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(content)
         for batch in batches:
-            for part in slices(batch, "_text"):
-                data, at = raw(part.column("_text"))
+            for part in slices(batch, own):
+                data, at = raw(part.column(own))
                 ids, offs = c.encode(data, at)
                 new = [pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids)), pa.array(np.diff(offs))]
                 if verify:
@@ -272,7 +349,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", verify: bool = False)
                     new.append(pa.array([data[a:b].tobytes() == back[x:y].tobytes() for a, b, x, y in zip(at[:-1], at[1:], back_at[:-1], back_at[1:], strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *new], schema.names)
 
-    return docs.select(*[F.col(f"`{k}`") for k in keep], F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias(own)).mapInArrow(run, schema)
+
+
+def _texts(data: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """Strings of a decoded block; where ids break a character, its bytes become replacement marks."""
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    try:
+        return whole.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.string())
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -280,18 +366,17 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "text") -
     content = _content(path)
     schema = _replaced(encoded.schema, [T.StructField(out, T.StringType())])
     keep = [f.name for f in schema.fields[:-1]]
+    (own,) = unused(encoded, "_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(content)
         for batch in batches:
-            col = batch.column("_ids")
-            texts = []
-            for x in col:
-                own = np.array(x.as_py() or [], np.int64)
-                texts.append(c.decode(own, np.array([0, len(own)]))[0].tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], [*keep, out])
-
-    return encoded.select(*[F.col(f"`{k}`") for k in keep], F.col(ids).alias("_ids")).mapInArrow(run, schema)
+            col = batch.column(own)
+            lens = np.asarray(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False), np.int64)
+            data, offs = c.decode(np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.int64), np.append(0, np.cumsum(lens)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), _texts(data, offs)], [*keep, out])
+
+    return encoded.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{ids}`").alias(own)).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

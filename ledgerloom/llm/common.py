@@ -37,12 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset (single machine, tests) a local folder is made and set.
+    Only where that is unset on a single machine (tests) a local folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if (known := spark.sparkContext.getCheckpointDir()) is not None:
             return known
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(f"file://{found}")
         found = spark.sparkContext.getCheckpointDir()
@@ -54,10 +56,31 @@ def materialize(df: DataFrame, label: str, level: int = 3) -> DataFrame:
 
     level is that of the zstd compression.
     """
+    return stored(df, label, level)[0]
+
+
+def stored(df: DataFrame, label: str, level: int = 3) -> tuple[DataFrame, str]:
+    """materialize(), and the path for discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of stored() that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df has it (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
