@@ -2,24 +2,28 @@
 
 Method. Documents become token ids, packed one after another into sequences of a fixed number of ids
 (an end id after each document, no padding but in a task's last sequence). Every sequence has a
-dense number; a keyed Feistel permutation over the next power of four, walked along its cycle until
-it falls below the number of sequences, gives it a slot of the training order. Sequences are range
+dense number; a keyed Feistel permutation over the smallest rectangle of that many cells, walked along
+its cycle until it falls below the number of sequences, gives it a slot of the training order. Sequences are range
 partitioned by slot and each shard is one file of fixed stride, so slot s is at byte
 (s % shard_sequences) * stride of shard s // shard_sequences: reads are sequential and can resume
 anywhere. The manifest has every sequence's documents and true length.
 
-Scale. Texts are tokenised once and the ids written to the shared folder; the dense numbers come from
-the files' own row counts (one offset for each written partition reaches the driver, nothing for
-each row). The ids are shuffled once, by slot. A shard is written in the task that holds its slots,
-under a name that depends on the shard alone, by writing a temporary file and moving it: a task that
-runs twice gives the same file.
+Scale. A first pass tokenises to count: it leaves one row for each task, (task, its sequences, checksum of
+its packing), from which the driver gives every task its first number. The second pass tokenises again
+and sends each sequence once, by shard, to the task that writes it. So no copy of the ids is kept on
+the way. The input has to give the same rows in the same tasks both times, as a table does; the second
+pass compares checksums and fails rather than write shards that miss a row. A shard is written in the
+task that holds its slots, under a name that depends on the shard alone, by writing a temporary file
+and moving it: a task that runs twice gives the same file.
 
 Nulls and edges: a null or empty text has no ids; null doc_ids stay as nulls in the lists; repeated
-rows are packed each; an empty table gives no shard. Extra columns are ignored.
+rows are packed each; a text of any length runs over as many sequences as it needs; an empty table gives
+no shard. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -27,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,137 +39,168 @@ from .bpe import codec
 from .common import materialize, shared_dir
 from .textblocks import raw, slices
 
-ROUNDS = 4
-
-
-def _mask(key: str, i: int, half: Column, bits: int) -> Column:
-    return F.xxhash64(F.lit(f"{key}:{i}"), half).bitwiseAND(F.lit((1 << bits) - 1))
+ROUNDS = 6
+#: Steps of the cycle walk. The rectangle has at most a third more cells than sequences (and about 1 / sqrt(n)
+#: more for n sequences), so a number that needs more is not met: 3 ** -64 is the chance at worst.
+WALK = 64
+#: Tasks that write shards, at most; each writes its shards one after another.
+WRITERS = 20_000
 
 
 def slot_of(number: Column, total: int, key: str) -> Column:
     """Slot of a sequence number below total: a keyed permutation of 0 .. total - 1."""
-    bits = max(1, (max(total - 1, 1).bit_length() + 1) // 2)
+    wide = max(1, math.isqrt(max(total, 1) - 1) + 1)
+    high = max(1, -(-total // wide))
 
     def once(x: Column) -> Column:
         def step(s: Column, i: Column) -> Column:
-            masks = F.get(F.array(*[_mask(key, r, s["r"], bits) for r in range(ROUNDS)]), i)
-            return F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(masks).alias("r"))
+            mask = lambda half, mod: F.pmod(F.xxhash64(F.lit(key), i, half), F.lit(mod))
+            even = F.struct(F.pmod(s["l"] + mask(s["r"], high), F.lit(high)).alias("l"), s["r"].alias("r"))
+            odd = F.struct(s["l"].alias("l"), F.pmod(s["r"] + mask(s["l"], wide), F.lit(wide)).alias("r"))
+            return F.when(i % 2 == 0, even).otherwise(odd)
 
-        start = F.struct(F.shiftright(x, bits).alias("l"), x.bitwiseAND(F.lit((1 << bits) - 1)).alias("r"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.shiftleft(s["l"], bits).bitwiseOR(s["r"]))
+        start = F.struct(F.call_function("div", x, F.lit(wide)).alias("l"), F.pmod(x, F.lit(wide)).alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s["l"] * wide + s["r"])
 
-    # the domain is less than four times as large as total, so 100 steps miss with a chance of 3e-13
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(100)), once(number), lambda x, _: F.when(x < total, x).otherwise(once(x)))
-    return F.when(walk < total, walk).otherwise(F.raise_error(F.lit("cycle walk too long: choose another key")))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(number.cast("long")), lambda x, _: F.when(x < total, x).otherwise(once(x)))
+    return F.when(walk < total, walk).otherwise(F.raise_error(F.lit("cycle walk too long")))
 
 
-def pack_sequences(docs: DataFrame, path: str, sequence: int, dtype: str, end: int) -> DataFrame:
-    """(doc_ids, tokens): full sequences of ids as little-endian bytes, and the documents in each.
+class Packer:
+    """Packs a task's documents into sequences of ids; only the task's last sequence may be short.
 
-    A task's documents follow one another, each with the id `end` after it; only the task's last
-    sequence may be short. Texts without ids leave nothing.
+    Documents follow one another, each with the id `end` after it. Texts without ids leave nothing.
     """
+
+    def __init__(self, content: bytes, sequence: int, dtype: str, end: int) -> None:
+        self.codec, self.sequence, self.dtype, self.end = codec(content), sequence, np.dtype(dtype), end
+        self.names: list = []  # of the documents of rest
+        self.rest, self.rest_docs = np.zeros(0, dtype), np.zeros(0, np.int64)
+        self.number, self.seen = 0, xxhash.xxh64()
+
+    def add(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list, int]:
+        """(ids, document of each, documents' names, full sequences) with this slice; a cut-off rest is kept."""
+        ids, offs = self.codec.encode(*raw(part.column("text")))
+        if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
+            raise ValueError(f"token ids don't fit {self.dtype}")
+        lens = np.diff(offs)
+        some = np.flatnonzero(lens)
+        flat = np.insert(ids.astype(self.dtype), offs[1:][some], self.end)
+        self.seen.update(lens.tobytes())
+        self.seen.update(flat.tobytes())
+        owner = np.repeat(np.arange(len(some)), lens[some] + 1) + len(self.names)
+        names = self.names + part.column("doc_id").take(pa.array(some)).to_pylist()
+        flat, owner = np.concatenate([self.rest, flat]), np.concatenate([self.rest_docs, owner])
+        n = len(flat) // self.sequence
+        low = int(owner[n * self.sequence]) if len(flat) > n * self.sequence else len(names)
+        self.rest, self.rest_docs, self.names = flat[n * self.sequence :], owner[n * self.sequence :] - low, names[low:]
+        return flat, owner, names, n
+
+    def rows(self, flat: np.ndarray, owner: np.ndarray, names: list, n: int) -> pa.RecordBatch:
+        """The first n sequences: their place in the task, documents and ids as little-endian bytes."""
+        cut = np.arange(n + 1) * self.sequence
+        cut[-1] = min(cut[-1], len(flat))
+        new = np.ones(cut[-1], bool)
+        new[1:] = owner[1 : cut[-1]] != owner[: cut[-1] - 1]
+        new[cut[:-1]] = True
+        at = np.flatnonzero(new)
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, cut), pa.int32()), pa.array(names, pa.int64()).take(pa.array(owner[at])))
+        data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cut.astype(np.int64) * self.dtype.itemsize), pa.py_buffer(np.ascontiguousarray(flat[: cut[-1]]))])
+        place = pa.array(np.arange(self.number, self.number + n))
+        self.number += n
+        return pa.RecordBatch.from_arrays([place, lists, data.cast(pa.binary())], ["number", "doc_ids", "tokens"])
+
+
+def _content(path: str) -> bytes:
     with open(path, "rb") as f:
-        content = f.read()
-    width = np.dtype(dtype).itemsize
+        return f.read()
+
+
+def task_counts(docs: DataFrame, path: str, sequence: int, dtype: str, end: int) -> DataFrame:
+    """(task, sequences, checksum) for every task that reads docs: how its documents would be packed."""
+    content = _content(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(content, fast=True)
-        rest, rest_docs = np.zeros(0, dtype), np.zeros(0, np.int64)
-
-        def pack(flat: np.ndarray, owner: np.ndarray, n: int, names: np.ndarray) -> pa.RecordBatch:
-            """The first n sequences of flat; owner: index into names of the document of each id."""
-            cut = np.arange(n + 1) * sequence
-            cut[-1] = min(cut[-1], len(flat))
-            new = np.ones(cut[-1], bool)
-            new[1:] = owner[1 : cut[-1]] != owner[: cut[-1] - 1]
-            new[cut[:-1]] = True
-            at = np.flatnonzero(new)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, cut), pa.int32()), pa.array(names).take(pa.array(owner[at])))
-            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cut.astype(np.int64) * width), pa.py_buffer(np.ascontiguousarray(flat[: cut[-1]]))])
-            return pa.RecordBatch.from_arrays([lists, data.cast(pa.binary())], ["doc_ids", "tokens"])
-
-        names: list = []  # of the documents of rest
+        p, n = Packer(content, sequence, dtype, end), 0
         for batch in batches:
             for part in slices(batch):
-                ids, offs = c.encode(*raw(part.column("text")))
-                if len(ids) and int(ids.max()) > np.iinfo(dtype).max:
-                    raise ValueError(f"token ids don't fit {dtype}")
-                lens = np.diff(offs)
-                some = np.flatnonzero(lens)
-                flat = np.insert(ids.astype(dtype), offs[1:][some], end)
-                owner = np.repeat(np.arange(len(some)), lens[some] + 1) + len(names)
-                names = names + [x.as_py() for x in part.column("doc_id").take(pa.array(some))]
-                flat, owner = np.concatenate([rest, flat]), np.concatenate([rest_docs, owner])
-                if n := len(flat) // sequence:
-                    yield pack(flat, owner, n, np.array(names, object))
-                rest, rest_docs = flat[n * sequence :], owner[n * sequence :]
-                low = int(rest_docs[0]) if len(rest_docs) else len(names)
-                rest_docs, names = rest_docs - low, names[low:]
-        if len(rest):
-            yield pack(rest, rest_docs, 1, np.array(names, object))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_ids array<long>, tokens binary")
-
-
-def numbered(sequences: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_ids, tokens, number), written to the shared folder, and how many; number is dense from 0.
-
-    Each written row knows its partition and its place in it; partitions follow one another.
+                n += p.add(part)[3]
+        n += bool(len(p.rest))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([p.seen.intdigest()], pa.uint64()).view(pa.int64())], ["task", "sequences", "checksum"])
+
+    return _texts(docs).mapInArrow(run, "task long, sequences long, checksum long")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def numbered(docs: DataFrame, path: str, sequence: int, dtype: str, end: int) -> tuple[DataFrame, int]:
+    """(number, doc_ids, tokens) of all sequences, number being dense from 0, and how many there are.
+
+    What reaches the driver is one short row for each task.
     """
-    at = F.monotonically_increasing_id()
-    placed = sequences.select("doc_ids", "tokens", F.shiftright(at, 33).cast("int").alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
-    stored = materialize(placed, "tokens", level=9)
-    starts, total = [], 0
-    for part, count in sorted(stored.groupBy("part").agg(F.count("*")).collect()):  # a row for each task that wrote
-        starts.append((part, total))
-        total += count
-    if not total:
-        return stored.select("doc_ids", "tokens", F.lit(0).cast("long").alias("number")), 0
-    offsets = F.broadcast(stored.sparkSession.createDataFrame(starts, "part int, start long"))
-    return stored.join(offsets, "part").select("doc_ids", "tokens", (F.col("start") + F.col("row")).alias("number")), total
+    content, first, total = _content(path), {}, 0
+    for r in sorted(task_counts(docs, path, sequence, dtype, end).collect()):  # a row for each task
+        first[r["task"]] = (total, r["checksum"])
+        total += r["sequences"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Packer(content, sequence, dtype, end)
+        p.number, checksum = first.get(TaskContext.get().partitionId(), (0, None))
+        for batch in batches:
+            for part in slices(batch):
+                *packed, n = p.add(part)
+                if n:
+                    yield p.rows(*packed, n)
+        if len(p.rest):
+            yield p.rows(p.rest, p.rest_docs, p.names, 1)
+        if p.seen.intdigest() != (checksum or 0) % (1 << 64) and not (checksum is None and p.number == 0):
+            raise RuntimeError("the documents came in another order than when they were counted: write them to a table first")
+
+    return _texts(docs).mapInArrow(run, "number long, doc_ids array<long>, tokens binary"), total
 
 
 def write_shards(docs: DataFrame, path: str, key: str, out: str | None = None, sequence: int = 1024, shard_sequences: int = 4096, dtype: str = "uint16", end: int = 50256) -> DataFrame:
     """Write all shards and return the manifest.
 
     Manifest: (slot, doc_ids, shard, byte_offset, n_tokens, checksum), one row for each sequence,
-    checksum being the 64-bit xxHash of its bytes without padding, as written. The files are <out>/shard-<number>.bin; out is a folder
-    that all executors can reach (by default a new one in the shared folder).
+    checksum being the 64-bit xxHash of its bytes without padding, as written. The files are <out>/shard-<number>.bin;
+    out is a folder that all executors can reach (by default a new one in the shared folder).
     """
     spark = docs.sparkSession
     width = np.dtype(dtype).itemsize
     stride = width * sequence
     out = out or f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
-    rows, total = numbered(pack_sequences(docs, path, sequence, dtype, end))
-    rows = rows.select(slot_of(F.col("number"), max(total, 1), key).alias("slot"), "doc_ids", "tokens")
+    rows, total = numbered(docs, path, sequence, dtype, end)
     shards = max(1, -(-total // shard_sequences))
-    ordered = rows.withColumn("shard", F.floor(F.col("slot") / shard_sequences)).repartitionByRange(min(shards, 20_000), "shard").sortWithinPartitions("slot")
+    each = -(-shards // WRITERS)  # consecutive shards of one task
+    rows = rows.select(slot_of(F.col("number"), max(total, 1), key).alias("slot"), "doc_ids", "tokens").withColumn("shard", F.call_function("div", F.col("slot"), F.lit(shard_sequences)))
+    # the ranges of slots are known, so nothing has to be sampled for them
+    ordered = rows.repartitionById(-(-shards // each), F.call_function("div", F.col("shard"), F.lit(each)).cast("int")).sortWithinPartitions("slot")
     filler = np.full(sequence, end, dtype).tobytes()
 
-    def store(files: fs.FileSystem, root: str, shard: int, parts: list[bytes]) -> None:
-        files.create_dir(root, recursive=True)
-        name, half = f"{root}/shard-{shard:08d}.bin", f"{root}/.{uuid.uuid4().hex}"
-        with files.open_output_stream(half) as f:
-            for p in parts:
-                f.write(p)
-                f.write(filler[len(p) :])
-        files.move(half, name)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(out)
-        now, parts = None, []
+        now, half, f = None, "", None
+
+        def close() -> None:
+            if f is not None:
+                f.close()
+                files.move(half, f"{root}/shard-{now:08d}.bin")
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             got = batch.column("tokens").to_pylist()
-            shard = batch.column("shard").to_pylist()
-            for s, t in zip(shard, got, strict=True):
+            for s, t in zip(batch.column("shard").to_pylist(), got, strict=True):
                 if s != now:
-                    if parts:
-                        store(files, root, now, parts)
-                    now, parts = s, []
-                parts.append(t)
+                    close()
+                    files.create_dir(root, recursive=True)
+                    now, half = s, f"{root}/.{uuid.uuid4().hex}"
+                    f = files.open_output_stream(half)
+                f.write(t)
+                f.write(filler[len(t) :])
             slot = batch.column("slot").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -174,8 +210,7 @@ def write_shards(docs: DataFrame, path: str, key: str, out: str | None = None, s
                 ],
                 ["slot", "doc_ids", "shard", "byte_offset", "n_tokens", "checksum"],
             )
-        if parts:
-            store(files, root, now, parts)
+        close()
 
     manifest = ordered.mapInArrow(run, "slot long, doc_ids array<long>, shard long, byte_offset long, n_tokens long, checksum long")
     return materialize(manifest, "manifest")
