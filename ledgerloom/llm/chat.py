@@ -1,7 +1,10 @@
 """Chat formatting with Spark expressions only.
 
-Method. The turns of a conversation are collected as structs and sorted; adjacent turns of one role
-merge by array aggregation; the blocks are concatenated. The output can be read back exactly.
+Method. Each turn knows from the turns beside it (a window in turn order) whether it starts or ends a
+block of one role, and how many code points of the output stand before its text. The turns of a
+conversation are collected as structs and sorted; adjacent turns of one role merge by array aggregation
+(the turns from one block start to the next); the blocks are concatenated. All of it is linear in a
+conversation's length. The output can be read back exactly.
 
 Template, for each block of one role::
 
@@ -12,15 +15,16 @@ starts with <| as well as <s>, </s>, [INST] and [/INST] - get a backslash after
 character (one more if there are some), so no text can fake a mark; unescape() takes it away again.
 Loss spans are (start, length) in code points of the output, one for each assistant turn's text.
 
-Nulls: a null role or text is empty; a null turn sorts first; rows of a null conv_id form one
-conversation. Repeated rows stay as turns; ties of turn are ordered by role, then text. A
-conversation is one output value, so it must fit a task; nothing else is collected. Extra columns
-are ignored.
+Nulls: a null role or text is empty; a null turn sorts first; a turn without a conv_id belongs to no
+conversation and stands alone, with a null conv_id in the result. Repeated rows stay as turns; ties of
+turn are ordered by role, then text. An empty table gives no conversation. A conversation is one output
+value, so it must fit a task, however long its texts; nothing else is collected. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bind
@@ -36,46 +40,36 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, rf"([<\[])\\(\\*){_CONTROL}", r"$1$2")
 
 
-def _merged(turns: Column) -> Column:
-    """Blocks (role, parts) of the sorted turns."""
-    none = F.array().cast("array<struct<role:string,parts:array<string>>>")
+_START, _TEXT, _PART, _END = "<|role|>", "<|text|>", "<|part|>", "<|end|>"
 
-    def step(blocks: Column, t: Column) -> Column:
-        last = F.try_element_at(blocks, F.lit(-1))
-        fresh = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("parts"))
-        grown = F.struct(t["role"].alias("role"), F.concat(last["parts"], F.array(t["text"])).alias("parts"))
-        joins = F.coalesce(last["role"] == t["role"], F.lit(False))
-        return F.when(joins, F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(grown))).otherwise(F.concat(blocks, F.array(fresh)))
 
-    return F.aggregate(turns, none, step)
+def _blocks(turns: Column) -> Column:
+    """Blocks of the sorted turns: the turns from each block start up to the next."""
+    starts = F.transform(F.filter(F.transform(turns, lambda t, i: F.struct(i.alias("i"), t["first"].alias("first"))), lambda x: x["first"]), lambda x: x["i"])
+    ends = lambda s, j: F.coalesce(F.get(s, j + 1), F.size(turns))
+    return bind(starts, lambda s: F.transform(s, lambda i, j: F.slice(turns, i + 1, ends(s, j) - i)))
 
 
 def format_conversations(turns: DataFrame, learn_from: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss_spans) for each conversation of (conv_id, turn, role, text)."""
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
-    rows = turns.select("conv_id", F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
-    sorted_ = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    blocks = sorted_.select("conv_id", _merged("turns").alias("blocks"))
-
-    # pieces: (string, is it learnt)
-    def pieces(b: Column) -> Column:
-        head = F.struct(F.concat(F.lit("<|role|>"), escape(b["role"]), F.lit("<|text|>")).alias("s"), F.lit(False).alias("learn"))
-        part = lambda p, i: F.array(F.struct(F.when(i == 0, "").otherwise("<|part|>").alias("s"), F.lit(False).alias("learn")), F.struct(escape(p).alias("s"), (b["role"] == learn_from).alias("learn")))
-        return F.concat(F.array(head), F.flatten(F.transform(b["parts"], part)), F.array(F.struct(F.lit("<|end|>").alias("s"), F.lit(False).alias("learn"))))
-
-    cut = blocks.select("conv_id", F.flatten(F.transform("blocks", pieces)).alias("pieces"))
-
-    def spans(p: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-        def step(a: Column, x: Column) -> Column:
-            n = F.length(x["s"]).cast("long")
-            more = F.array(F.struct(a["at"].alias("start"), n.alias("length")))
-            return F.struct((a["at"] + n).alias("at"), F.when(x["learn"], F.concat(a["spans"], more)).otherwise(a["spans"]).alias("spans"))
-
-        return F.aggregate(p, start, step, lambda a: a["spans"])
-
-    return cut.select("conv_id", F.array_join(F.transform("pieces", lambda x: x["s"]), "").alias("formatted"), spans("pieces").alias("loss_spans"))
+    rows = turns.select("conv_id", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone"), F.col("turn").alias("turn"), role.alias("role"), text.alias("text"))
+    rows = rows.select("*", escape(F.col("text")).alias("shown"), escape(F.col("role")).alias("name"))
+    order = Window.partitionBy("conv_id", "alone").orderBy("turn", "role", "text")
+    rows = rows.select("*", F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True)).alias("first"), F.coalesce(F.lead("role").over(order) != F.col("role"), F.lit(True)).alias("last"))
+    head = F.when(F.col("first"), F.length("name") + len(_START) + len(_TEXT)).otherwise(len(_PART)).cast("long")
+    size = head + F.length("shown") + F.when(F.col("last"), len(_END)).otherwise(0)
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    # `at` grows with the order of the turns, equal ones included, so it is what the structs are sorted by
+    turn = F.struct((before + head).alias("at"), "role", "first", "shown", "name")
+    sorted_ = rows.select("conv_id", "alone", turn.alias("t")).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    block = lambda b: F.concat(F.lit(_START), b[0]["name"], F.lit(_TEXT), F.array_join(F.transform(b, lambda t: t["shown"]), _PART), F.lit(_END))
+    learnt = F.filter("turns", lambda t: t["role"] == learn_from)
+    return sorted_.select(
+        "conv_id",
+        F.array_join(F.transform(_blocks(F.col("turns")), block), "").alias("formatted"),
+        F.transform(learnt, lambda t: F.struct(t["at"].alias("start"), F.length(t["shown"]).cast("long").alias("length"))).alias("loss_spans"),
+    )
 
 
 def read_back(formatted: Column) -> Column:
