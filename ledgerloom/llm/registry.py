@@ -143,23 +143,27 @@ def _sql_words(x: str) -> str:
 
 OP8_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+a AS (
+  SELECT doc_id, i, x AS line, len({_sql_words("x")}) AS n, {_sql_words("x")} AS ws, length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS syms
+  FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d))),
+s AS (SELECT *, coalesce(n BETWEEN 1 AND {quality.SHORT_WORDS} AND regexp_matches(line, '{quality.OPEN_END.replace("'", "''")}'), false) AS short FROM a),
 l AS (
-  SELECT doc_id, x AS line, {_sql_words("x")} AS ws,
-    length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS syms
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+  SELECT *, short AND (coalesce(lag(short) OVER w, false) AND (coalesce(lag(short, 2) OVER w, false) OR coalesce(lead(short) OVER w, false)) OR coalesce(lead(short) OVER w, false) AND coalesce(lead(short, 2) OVER w, false)) AS menu,
+    n >= {quality.REPEAT_WORDS} AND row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again
+  FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 f AS (
   SELECT doc_id, line, length(line) AS n,
-    100 * len(list_filter(ws, lambda w: regexp_matches(w, '[#*$%&<>|~^=_!?]{{2,}}$'))) >= 30 * len(ws) OR 100 * syms > 10 * length(line)
-    OR 100 * len(list_filter(ws, lambda w: w IN ('|', '>', '»', '•', '·', '/'))) >= 20 * len(ws)
-    OR regexp_matches(line, '{quality.MENU}') OR regexp_matches(line, '{quality.NOTICE}') AS failed
-  FROM l),
+    100 * len(list_filter(ws, lambda w: regexp_matches(w, '[#*$%&<>|~^=_!?]{{2,}}$'))) >= 30 * l.n OR 100 * syms > 10 * length(line)
+    OR 100 * len(list_filter(ws, lambda w: w IN ('|', '>', '»', '•', '·', '/'))) >= 20 * l.n OR menu OR again
+    OR regexp_matches(line, '{quality.NOTICE}') AND l.n <= {quality.NOTICE_WORDS} * len(regexp_extract_all(line, '{quality.NOTICE}')) AS failed
+  FROM l WHERE l.n > 0),
 lost AS (
   SELECT doc_id, sum(n) AS chars, coalesce(sum(n) FILTER (failed), 0) AS lost, count(*) - count(DISTINCT line) AS n_dup_lines FROM f GROUP BY doc_id),
 w AS (SELECT doc_id, text, {_sql_words("text")} AS ws FROM d),
 p AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM p) WHERE n > 1),
 rw AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY doc_id),
-s AS (
+t AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
     coalesce(rw.n, 0)::BIGINT AS n_repeat_words, coalesce(chars, 0) AS chars, coalesce(lost, 0) AS lost
@@ -167,7 +171,7 @@ s AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * chars AS kept
-FROM s
+FROM t
 """
 
 
