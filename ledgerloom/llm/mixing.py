@@ -29,7 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CHARS, bind, materialize
+from .common import WS, WS_CHARS, bind, discard, materialize, stored, unused
 
 #: Domains by 2 * quality + toxic.
 DOMAINS = ("low", "low_toxic", "good", "good_toxic")
@@ -41,40 +41,53 @@ def _words(text: Column) -> Column:
     return F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, WS + "+"))
 
 
-def featured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `_words`, `_tokens` and a few shares of characters."""
-    t = F.coalesce(F.col(text), F.lit(""))
+#: Working columns of the classifier.
+_FEATURES = ("words", "size", "marks", "capitals", "distinct")
+_ML = ("tf", "shares", "features", "raw", "probability", "class")
+
+
+def featured(docs: DataFrame, names: dict[str, str], text: str = "text") -> DataFrame:
+    """docs with words, their number, and a few shares of characters, under the given names."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     share = lambda chars: F.length(F.regexp_replace(t, f"[^{chars}]+", "")) / F.greatest(F.length(t), F.lit(1))
-    out = docs.withColumn("_words", _words(F.col(text)))
-    return out.withColumns({"_tokens": F.size("_words").cast("long"), "_marks": share("#*$%&|<>!"), "_capitals": share("A-Z"), "_distinct": F.size(F.array_distinct("_words")) / F.greatest(F.size("_words"), F.lit(1))})
+    words = names["words"]
+    out = docs.withColumn(words, _words(F.col(f"`{text}`")))
+    return out.withColumns({names["size"]: F.size(words).cast("long"), names["marks"]: share("#*$%&|<>!"), names["capitals"]: share("A-Z"), names["distinct"]: F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))})
+
+
+def _names(docs: DataFrame) -> dict[str, str]:
+    return dict(zip((*_FEATURES, *_ML), unused(docs, *(f"_{n}" for n in (*_FEATURES, *_ML))), strict=True))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED):
+def fit_classifier(docs: DataFrame, labels: DataFrame, names: dict[str, str], most_labelled: int = MOST_LABELLED):
     """A pipeline model over featured() rows; its classes are the places of DOMAINS."""
     known = labels.where("quality is not null and toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), (2 * F.col("quality") + F.col("toxic")).cast("double").alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most_labelled)
-    rows = featured(docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")))
+    rows = featured(docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")), names)
+    n = names
     steps = [
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=BUCKETS),
-        Normalizer(inputCol="_tf", outputCol="_share", p=1.0),
-        VectorAssembler(inputCols=["_share", "_marks", "_capitals", "_distinct"], outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_p", predictionCol="_class", rawPredictionCol="_raw", family="multinomial", maxIter=40, regParam=0.003, aggregationDepth=2),
+        HashingTF(inputCol=n["words"], outputCol=n["tf"], numFeatures=BUCKETS),
+        Normalizer(inputCol=n["tf"], outputCol=n["shares"], p=1.0),
+        VectorAssembler(inputCols=[n["shares"], n["marks"], n["capitals"], n["distinct"]], outputCol=n["features"]),
+        LogisticRegression(featuresCol=n["features"], labelCol="_label", probabilityCol=n["probability"], predictionCol=n["class"], rawPredictionCol=n["raw"], family="multinomial", maxIter=40, regParam=0.003, aggregationDepth=2),
     ]
-    return Pipeline(stages=steps).fit(materialize(rows.select("_words", "_marks", "_capitals", "_distinct", "_label"), "labelled"))
+    return Pipeline(stages=steps).fit(materialize(rows.select(n["words"], n["marks"], n["capitals"], n["distinct"], "_label"), "labelled"))
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """docs with `tokens` (words) and `posterior`, an array by DOMAINS."""
     seen = labels.where("quality is not null and toxic is not null").select((2 * F.col("quality") + F.col("toxic")).cast("int").alias("c")).distinct().collect()  # 4 rows at most
-    out = featured(docs.drop("tokens", "posterior"))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("tokens", "posterior")]
+    docs = docs.drop("tokens", "posterior")
+    names = _names(docs)
+    out = featured(docs, names)
+    keep = [F.col(f"`{c}`") for c in docs.columns]
     if len(seen) < 2:
         sure = seen[0]["c"] if seen else 0
-        return out.select(*keep, F.col("_tokens").alias("tokens"), F.array(*[F.lit(float(i == sure)) for i in range(len(DOMAINS))]).alias("posterior"))
-    model = fit_classifier(docs, labels, most_labelled)
+        return out.select(*keep, F.col(names["size"]).alias("tokens"), F.array(*[F.lit(float(i == sure)) for i in range(len(DOMAINS))]).alias("posterior"))
+    model = fit_classifier(docs, labels, names, most_labelled)
     # one reference only: inside a lambda the whole chain from words to posterior would run again for each class
-    posterior = F.slice(F.concat(vector_to_array("_p"), F.array(*[F.lit(0.0)] * len(DOMAINS))), 1, len(DOMAINS))
-    return model.transform(out).select(*keep, F.col("_tokens").alias("tokens"), posterior.alias("posterior"))
+    posterior = F.slice(F.concat(vector_to_array(names["probability"]), F.array(*[F.lit(0.0)] * len(DOMAINS))), 1, len(DOMAINS))
+    return model.transform(out).select(*keep, F.col(names["size"]).alias("tokens"), posterior.alias("posterior"))
 
 
 @dataclass
@@ -84,29 +97,45 @@ class Rates:
     steps: list[np.ndarray]
     totals: np.ndarray
     targets: np.ndarray
+    met: bool = False
+
+    @property
+    def missed(self) -> float:
+        """Sum of the totals' distances from their targets, as a share of all targets."""
+        return float(np.abs(self.totals - self.targets).sum() / max(1.0, self.targets.sum()))
+
+    def rate(self, posterior: str = "posterior", start: Column | None = None, since: int = 0) -> Column:
+        """The rate after all steps as one small expression, whatever their number; start: after step `since`."""
+        start = F.lit(1.0) if start is None else start
+        if not self.steps[since:]:
+            return start
+        steps = F.array(*[F.array(*[F.lit(float(x)) for x in u]) for u in self.steps[since:]])
+        p = F.col(posterior)
+
+        def step(r: Column, u: Column) -> Column:
+            return F.greatest(F.lit(0.0), r - sum((p[i] * u[i] for i in range(len(DOMAINS))), F.lit(0.0)))
 
-    def unrolled(self, p: list[Column]) -> Column:
-        """The rate as one arithmetic expression, compiled: for the passes of the fit."""
-        r = F.lit(1.0)
-        for u in self.steps:
+        return F.aggregate(steps, start, step)
+
+    def unrolled(self, p: list[Column], start: Column, since: int) -> Column:
+        """rate() as one arithmetic expression, compiled: for the passes of the fit."""
+        r = start
+        for u in self.steps[since:]:
             r = F.greatest(F.lit(0.0), r - sum((x * F.lit(float(v)) for x, v in zip(p, u, strict=True)), F.lit(0.0)))
         return r
 
-    def rate(self, posterior: str = "posterior") -> Column:
-        """The rate as one small expression, whatever the number of steps: for a single pass."""
-        if not self.steps:
-            return F.lit(1.0)
-        steps = F.array(*[F.array(*[F.lit(float(x)) for x in u]) for u in self.steps])
-        p = F.col(posterior)
 
-        def step(r: Column, u: Column) -> Column:
-            return F.greatest(F.lit(0.0), r - sum((p[i] * u[i] for i in range(len(DOMAINS))), F.lit(0.0)))
+#: Steps after which the fit writes its rates, so that its expressions stay short.
+WRITE_EVERY = 16
 
-        return F.aggregate(steps, F.lit(1.0), step)
 
+def fit_rates(rows: DataFrame, factors: dict[str, float] | None = None, shares: dict[str, float] | None = None, iterations: int = 200, tolerance: float = 1e-4, strict: bool = False) -> Rates:
+    """Rates for rows (tokens, posterior): totals meet shares of all tokens, or factors of the present totals.
 
-def fit_rates(rows: DataFrame, factors: dict[str, float] | None = None, shares: dict[str, float] | None = None, iterations: int = 25, tolerance: float = 1e-5) -> Rates:
-    """Rates for rows (tokens, posterior): totals meet shares of all tokens, or factors of the present totals."""
+    Ends when the totals are within tolerance of the targets (met), or when four steps in a row lower the
+    miss by less than 0.5 % each: then no nonnegative rates come nearer in sizeable steps, as where a
+    target is out of reach. strict makes that an error.
+    """
     k = len(DOMAINS)
     p = [F.col("posterior")[i] for i in range(k)]
     t = F.col("tokens").cast("double")
@@ -119,31 +148,43 @@ def fit_rates(rows: DataFrame, factors: dict[str, float] | None = None, shares:
     else:
         targets = np.array([(factors or {}).get(d, 1.0) for d in DOMAINS]) * present
     inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True) if present.sum() > 0 else np.zeros((k, k))
-    got, last = Rates([], present, targets), np.inf
+    got, last, slow = Rates([], present, targets), np.inf, 0
+    work, start, since, path = rows.select("tokens", "posterior"), F.lit(1.0), 0, None
     for _ in range(iterations):
-        miss = got.totals - targets
-        size = np.abs(miss).sum()
-        if size <= tolerance * max(1.0, targets.sum()) or size > 0.99 * last:  # met, or as near as rates >= 0 come
+        size = got.missed
+        slow = slow + 1 if size > 0.995 * last else 0
+        if size <= tolerance or slow == 4:
             break
         last = size
-        got.steps.append(inverse @ miss)
-        rated = rows.select("tokens", "posterior", got.unrolled(p).alias("_rate"))
-        got.totals = np.array([x or 0.0 for x in rated.agg(*[F.sum(F.col("_rate") * t * x) for x in p]).first()])
+        got.steps.append(inverse @ (got.totals - targets))
+        rated = work.select("tokens", "posterior", got.unrolled(p, start, since).alias("rate"))
+        if len(got.steps) - since == WRITE_EVERY:
+            rated, new = stored(rated, "rates")
+            if path:
+                discard(rows.sparkSession, path)
+            work, start, since, path = rated, F.col("rate"), len(got.steps), new
+        got.totals = np.array([x or 0.0 for x in rated.agg(*[F.sum(F.col("rate") * t * x) for x in p]).first()])
+    if path:
+        discard(rows.sparkSession, path)
+    got.met = got.missed <= tolerance
+    if strict and not got.met:
+        raise ValueError(f"the targets are missed by {got.missed:.2%} of their sum")
     return got
 
 
-def mixed(docs: DataFrame, labels: DataFrame, factors: dict[str, float] | None = None, shares: dict[str, float] | None = None, most_labelled: int = MOST_LABELLED) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, factors: dict[str, float] | None = None, shares: dict[str, float] | None = None, most_labelled: int = MOST_LABELLED, strict: bool = False) -> DataFrame:
     """docs with tokens, posterior and rate; only what the fit needs is written in between."""
-    rows = posteriors(docs, labels, most_labelled)
-    rows = materialize(rows, "posteriors")
-    fitted = fit_rates(rows.select("tokens", "posterior"), factors, shares)
+    rows = materialize(posteriors(docs.drop("rate"), labels, most_labelled), "posteriors")
+    fitted = fit_rates(rows, factors, shares, strict=strict)
     return rows.withColumn("rate", fitted.rate())
 
 
 def rate_table(docs: DataFrame, labels: DataFrame, shares: dict[str, float], most_labelled: int = MOST_LABELLED) -> DataFrame:
     """(doc_id, tokens, posterior by domain, rate) for every row of docs."""
-    got = mixed(docs.select("doc_id", "text"), labels, shares=shares, most_labelled=most_labelled)
-    return got.select("doc_id", "tokens", *[F.round(F.col("posterior")[i], 6).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.round("rate", 6).alias("rate"))
+    rows = posteriors(docs.select("doc_id", "text"), labels, most_labelled).select("doc_id", "tokens", "posterior")
+    rows = materialize(rows, "posteriors")  # without the texts
+    rows = rows.withColumn("rate", fit_rates(rows, shares=shares).rate())
+    return rows.select("doc_id", "tokens", *[F.round(F.col("posterior")[i], 6).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.round("rate", 6).alias("rate"))
 
 
 def take_by_domain(rows: DataFrame, factors: dict[str, float], seed: str = "mix") -> tuple[DataFrame, list[dict]]:
@@ -158,9 +199,10 @@ def take_by_domain(rows: DataFrame, factors: dict[str, float], seed: str = "mix"
     f = np.array([min(1.0, max(0.0, factors.get(d, 1.0))) for d in DOMAINS])
     p = F.col("posterior")
     best = F.array_position(p, F.array_max(p)).cast("int") - 1
-    named = rows.withColumn("_best", best)
+    (likely,) = unused(rows, "likely")
+    named = rows.withColumn(likely, best)
     sums = np.zeros((k, k))  # expected tokens of domain j in the rows of most likely domain i
-    for r in named.groupBy("_best").agg(*[F.sum(F.col("tokens") * p[j]) for j in range(k)]).collect():  # 4 rows at most
+    for r in named.groupBy(likely).agg(*[F.sum(F.col("tokens") * p[j]) for j in range(k)]).collect():  # 4 rows at most
         sums[r[0]] = [x or 0.0 for x in r[1:]]
     present, chance = sums.sum(axis=0), f.copy()
     drawn = [i for i in range(k) if 0 < f[i] < 1 and sums[i].any()]
@@ -169,19 +211,15 @@ def take_by_domain(rows: DataFrame, factors: dict[str, float], seed: str = "mix"
         miss = (f * present - fixed)[drawn]
         chance[drawn] = np.clip(np.linalg.lstsq(sums[np.ix_(drawn, drawn)].T, miss, rcond=None)[0], 0.0, 1.0)
     unit = F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    out = named.where(F.coalesce(unit, F.lit(0.0)) < F.get(F.array(*[F.lit(float(x)) for x in chance]), F.col("_best")))
+    out = named.where(F.coalesce(unit, F.lit(0.0)) < F.get(F.array(*[F.lit(float(x)) for x in chance]), F.col(likely)))
     totals = [{"domain": d, "present": present[i], "target": f[i] * present[i], "reached": float(chance @ sums[:, i])} for i, d in enumerate(DOMAINS)]
-    return out.drop("_best", "tokens", "posterior"), totals
+    return out.drop(likely, "tokens", "posterior"), totals
 
 
-def take_by_rate(rows: DataFrame, seed: str = "mix", slack: float = 0.1) -> DataFrame:
-    """Each row as often as its rate says: rates within slack of a whole number are that number, of
-    others the fraction is drawn by a keyed hash of doc_id. tokens, posterior and rate go."""
+def take_by_rate(rows: DataFrame, seed: str = "mix") -> DataFrame:
+    """Each row as often as its rate says: the whole part, and once more by a keyed hash of doc_id with the
+    chance of the fraction, so that expected totals are the fitted ones. tokens, posterior and rate go."""
     unit = F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-
-    def times(r: Column) -> Column:
-        drawn = F.floor(r) + F.when(unit < r - F.floor(r), 1).otherwise(0)
-        return F.when(F.abs(r - F.round(r)) <= slack, F.round(r)).otherwise(drawn).cast("int")
-
-    out = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), bind(F.col("rate"), times))))
-    return out.drop("_copy", "tokens", "posterior", "rate")
+    (copy,) = unused(rows, "copy")
+    times = lambda r: (F.floor(r) + F.when(unit < r - F.floor(r), 1).otherwise(0)).cast("int")
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), bind(F.col("rate"), times)))).drop(copy, "tokens", "posterior", "rate")
