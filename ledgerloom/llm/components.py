@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, stored
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -17,12 +17,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, comp) for every node of the edges (a, b): comp is the smallest node that links reach.
 
     Every round is a grouped minimum (partial aggregation, so a hub costs nothing) and an equi join
-    that adaptive execution can split; each round's edges go to the shared folder. The driver sees
+    that adaptive execution can split; each round's edges go to the shared folder in place of the last one's. The driver sees
     a count and a checksum only. An empty edge table gives an empty result; self-links and null
     ends are ignored.
     """
     e = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    e = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    e, path = stored(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     seen = _digest(e)
     for _ in range(most_rounds):
         if not seen[0]:
@@ -35,7 +35,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: neighbours below a node, and the node, link to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        e = materialize(small.select("x.a", "x.b").where("a != b").distinct(), "cc")
+        e, new = stored(small.select("x.a", "x.b").where("a != b").distinct(), "cc")
+        discard(edges.sparkSession, path)
+        path = new
         now = _digest(e)
         if now == seen:
             break
@@ -43,4 +45,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = e.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp")
-    return roots.unionByName(roots.select(F.col("comp").alias("node"), "comp").distinct())
+    out = materialize(roots.unionByName(roots.select(F.col("comp").alias("node"), "comp").distinct()), "components")
+    discard(edges.sparkSession, path)
+    return out

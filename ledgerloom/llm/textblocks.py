@@ -11,12 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 SLICE_BYTES = 3 << 20
-_MULT = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_MULT, -1, 1 << 64)
-
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -34,31 +32,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Powers:
-    """Powers of an odd multiplier and of its inverse modulo 2**64, grown when needed."""
-
-    def __init__(self) -> None:
-        self.up, self.down = np.ones(1, U64), np.ones(1, U64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            for name, m in (("up", _MULT), ("down", _INV)):
-                steps = np.full(size, m, U64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=U64))
-        return self.up, self.down
-
-
-POWERS = Powers()
-
-
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for every span: a polynomial over prefix sums, then mixed."""
-    up, down = POWERS.get(len(values) + 1)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values.astype(U64) * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+def chain(words: np.ndarray, starts: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """Hash of words[start:start + count] for every span of at most `most` words: each word is added to the
+    mixed hash of those before it, so a hash depends on the order of the words in no simple way."""
+    out = counts.astype(U64)
+    last = max(0, len(words) - 1)
+    for j in range(most):
+        more = counts > j
+        if more.all():
+            out = mix(out + words[starts + j])
+        elif more.any():
+            out = np.where(more, mix(out + words[np.minimum(starts + j, last)]), out)
+    return mix(out ^ U64(0x6A09E667F3BCC909))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -85,9 +70,10 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of a slice of texts: byte spans, 64-bit hashes, and where each text's words begin.
+    """Words of a slice of texts: byte spans, identities, and where each text's words begin.
 
-    A word is a run of bytes other than the six ASCII white-space characters.
+    A word is a run of bytes other than the six ASCII white-space characters. Inside the slice `codes` are
+    equal exactly where words are; across slices a word is known by its 128-bit hash, in two halves.
     """
 
     def __init__(self, column: pa.Array, lower: bool = False) -> None:
@@ -102,31 +88,45 @@ class Words:
         edge[offs] = True
         self.starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
         self.ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
-        self.hashes = span_hash(data.astype(U64) + U64(1), self.starts, self.ends)
         self.first = np.searchsorted(self.starts, offs)  # word index at which each text begins, with the end
         self.counts = np.diff(self.first)
+        packed, bounds = data[inside[1:-1]], np.append(0, np.cumsum(self.ends - self.starts))
+        array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(bounds), pa.py_buffer(packed)])
+        coded = array.dictionary_encode()
+        self.codes = coded.indices.to_numpy(zero_copy_only=False)
+        digests = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist()))
+        self.halves = np.frombuffer(digests, U64).reshape(-1, 2)
+
+    def half(self, i: int) -> np.ndarray:
+        """One half of every word's hash."""
+        return self.halves[self.codes, i] if len(self.codes) else np.zeros(0, U64)
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct k-word shingles: (document index, hash) sorted by both, and the number for each document.
+def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct k-word shingles: (document index, two halves of a 128-bit hash) sorted by all, and the number for each document.
 
     A text of 1 to k - 1 words has its whole word sequence as its one shingle; an empty one has none.
     """
-    n_docs, total = len(words.counts), len(words.hashes)
+    n_docs, total = len(words.counts), len(words.codes)
     doc = words.doc_of()
     at = np.arange(total)
     last = words.first[1:][doc] if total else at
     keep = (at + k <= last) | ((at == words.first[:-1][doc]) if total else False)
     s = at[keep] if total else at
     d = doc[keep] if total else doc
-    h = span_hash(words.hashes, s, np.minimum(s + k, last[keep] if total else s))
-    order = np.argsort(h)
+    counts = np.minimum(k, last[keep] - s) if total else s
+    high, low = (chain(words.half(i), s, counts, k) for i in (0, 1))
+    order = np.argsort(high)
     order = order[np.argsort(d[order].astype(np.uint16 if n_docs <= 65_536 else np.int64), kind="stable")]
-    d, h = d[order], h[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    d, h = d[fresh], h[fresh]
-    return d, h, np.bincount(d, minlength=n_docs).astype(np.int64)
+    d, high, low = d[order], high[order], low[order]
+    same = (high[1:] == high[:-1]) & (d[1:] == d[:-1])
+    if (low[1:][same] != low[:-1][same]).any():  # equal first halves of unequal shingles
+        order = np.lexsort((low, high, d))
+        d, high, low = d[order], high[order], low[order]
+        same = (high[1:] == high[:-1]) & (d[1:] == d[:-1]) & (low[1:] == low[:-1])
+    fresh = np.append(np.ones(min(1, len(d)), bool), ~same)
+    d, high, low = d[fresh], high[fresh], low[fresh]
+    return d, high, low, np.bincount(d, minlength=n_docs).astype(np.int64)
