@@ -36,8 +36,8 @@ from .textblocks import raw, slices
 #: Fixed value: the byte-level pre-tokeniser's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _MATCH = regex.compile(PATTERN)
-#: Bytes of one generation of a worker's memo (two are kept), bytes of a remembered fragment, bytes that an entry takes besides.
-MEMO_BYTES, MEMO_LONGEST, MEMO_ENTRY = 40 << 20, 64, 200
+#: Bytes that a worker's memo may take in keys and ids, and the longest fragment that it keeps.
+MEMO_BYTES, MEMO_LONGEST = 32 << 20, 64
 #: Kinds of characters as the pre-tokeniser sees them.
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
@@ -70,6 +70,25 @@ def joined_bytes(tokens: list[bytes]) -> np.ndarray:
     return joined.ravel()
 
 
+class Memo:
+    """Fragments by their bytes, with their ids. Begins anew when it is full."""
+
+    def __init__(self) -> None:
+        self.keys = pa.array([], pa.large_binary())
+        self.flat, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def find(self, fragments: pa.Array) -> np.ndarray:
+        """Place of each fragment, -1 if it isn't here."""
+        return np.asarray(pc.fill_null(pc.index_in(fragments, value_set=self.keys), -1).to_numpy(zero_copy_only=False), np.int64)
+
+    def add(self, fragments: pa.Array, flat: np.ndarray, lens: np.ndarray) -> None:
+        short = np.asarray(pc.binary_length(fragments).to_numpy()) <= MEMO_LONGEST
+        if self.keys.nbytes + self.flat.nbytes + self.lens.nbytes > MEMO_BYTES:
+            self.__init__()
+        self.keys = pa.concat_arrays([self.keys, fragments.filter(pa.array(short))])
+        self.flat, self.lens = np.append(self.flat, flat[np.repeat(short, lens)]), np.append(self.lens, lens[short])
+
+
 class Codec:
     """Encoder and decoder for one tokenizer file."""
 
@@ -100,7 +119,7 @@ class Codec:
         digits = [str(i).encode() + b"," for i in range(size)]
         self.digit_len = np.array([len(d) for d in digits], np.int64)
         self.digits = np.frombuffer(b"".join(d.ljust(8) for d in digits), np.uint8).reshape(-1, 8)
-        self.new, self.old, self.held = {}, {}, 0
+        self.memos = (Memo(), Memo())
 
     def _merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: merges of the lowest rank first, the leftmost of those first."""
@@ -189,41 +208,24 @@ class Codec:
                     out[i] = x
         return [array("i", self._merge(w)).tobytes() if x is None else x for w, x in zip(words, out, strict=True)]
 
-    def encode_fragments(self, fragments: list[tuple[bytes, bool]]) -> list[bytes]:
-        """Packed 32-bit ids of fragments (bytes, goes_on), from the memo where it has them. goes_on: a
-        character that is no white space follows, which the pre-tokeniser looks at."""
-        got: list = [None] * len(fragments)
-        words, missing = [], []
-        for i, (f, goes_on) in enumerate(fragments):
-            key = f + b"\x01" if goes_on else f + b"\x00"
-            x = self.new.get(key)
-            if x is None and (x := self.old.get(key)) is not None:
-                self._remember(key, x)
-            if x is None:
-                core = f[1:] if f[:1] == b" " else f
-                if not goes_on and core.isalpha():
-                    own = [f]
-                else:
-                    own = _MATCH.findall(f.decode() + "x" if goes_on else f.decode())
-                    if goes_on:
-                        own[-1] = own[-1][:-1]
-                    own = [w.encode() for w in own if w]
-                words += own
-                missing.append((i, key, len(own)))
-            got[i] = x
-        merged, at = self._merge_all(words), 0
-        for i, key, n in missing:
-            got[i] = b"".join(merged[at : at + n])
-            at += n
-            self._remember(key, got[i])
-        return got
-
-    def _remember(self, key: bytes, ids: bytes) -> None:
-        if len(key) <= MEMO_LONGEST:
-            if self.held > MEMO_BYTES:
-                self.new, self.old, self.held = {}, self.new, 0
-            self.new[key] = ids
-            self.held += len(key) + len(ids) + MEMO_ENTRY
+    def encode_fragments(self, fragments: list[bytes], goes_on: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number for each) of new fragments. goes_on: a character that is no white space follows,
+        which the pre-tokeniser looks at."""
+        words, counts = [], []
+        for f in fragments:
+            if not goes_on and (f[1:] if f[:1] == b" " else f).isalpha():
+                words.append(f)
+                counts.append(1)
+                continue
+            own = _MATCH.findall(f.decode() + "x" if goes_on else f.decode())
+            if goes_on:
+                own[-1] = own[-1][:-1]
+            own = [w.encode() for w in own if w]
+            words += own
+            counts.append(len(own))
+        merged = self._merge_all(words)
+        ends = np.append(0, np.cumsum([len(x) >> 2 for x in merged]))[np.cumsum(counts)] if fragments else np.zeros(0, np.int64)
+        return np.frombuffer(b"".join(merged), np.int32), np.diff(ends, prepend=0)
 
     def cuts(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(certain cuts, ends of characters that are white space), both by the byte they stand before.
@@ -281,13 +283,29 @@ class Codec:
         used = np.flatnonzero(np.bincount(key))
         place = np.zeros(int(used[-1]) + 1, np.int64)
         place[used] = np.arange(len(used))
-        found = coded.dictionary.take(pa.array(used // 3)).to_pylist()
-        plain = used % 3 < 2
-        texts = iter(self.encode_fragments([(f, v == 1) for f, v in zip(found, (used % 3).tolist(), strict=True) if v < 2]))
-        got = [next(texts) if p else array("i", [self.special[f]]).tobytes() for f, p in zip(found, plain.tolist(), strict=True)]
-        lens = np.array([len(x) >> 2 for x in got], np.int64)
+        found, kind = coded.dictionary.take(pa.array(used // 3)), used % 3
+        flats, at, lens, base = [], np.zeros(len(used), np.int64), np.zeros(len(used), np.int64), 0
+        for v, memo in enumerate(self.memos):
+            some = np.flatnonzero(kind == v)
+            own = found.take(pa.array(some))
+            where = memo.find(own)
+            hit, new = some[where >= 0], some[where < 0]
+            lens[hit] = memo.lens[where[where >= 0]]
+            at[hit] = base + (np.cumsum(memo.lens) - memo.lens)[where[where >= 0]]
+            base += len(memo.flat)
+            flats.append(memo.flat)
+            if len(new):
+                fresh = found.take(pa.array(new))
+                flat, lens[new] = self.encode_fragments(fresh.to_pylist(), bool(v))
+                at[new] = base + np.cumsum(lens[new]) - lens[new]
+                base += len(flat)
+                flats.append(flat)
+                memo.add(fresh, flat, lens[new])
+        if len(some := np.flatnonzero(kind == 2)):
+            flats.append(np.array([self.special[f] for f in found.take(pa.array(some)).to_pylist()], np.int32))
+            at[some], lens[some] = base + np.arange(len(some)), 1
         slot = place[key]
-        ids, ends_of = _gather(np.frombuffer(b"".join(got), np.int32), (np.cumsum(lens) - lens)[slot], lens[slot])
+        ids, ends_of = _gather(np.concatenate(flats), at[slot], lens[slot])
         return ids, np.append(0, ends_of)[np.searchsorted(starts, offs)]
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
