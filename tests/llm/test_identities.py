@@ -143,13 +143,13 @@ def test_rates_say_whether_targets_are_met(spark):
     df = spark.createDataFrame(rows, "tokens long, posterior array<double>")
     p, t = np.array([x[1] for x in rows]), np.array([x[0] for x in rows], float)
     for shares, reachable in (({"good": 0.4, "low": 0.3, "low_toxic": 0.2, "good_toxic": 0.1}, True), ({"good": 1.0}, False)):
-        fit = mixing.fit_rates(df, shares=shares)
+        fit = mixing.fit_rates(df, shares=shares, iterations=25)
         rates = np.array([x[0] for x in df.select(fit.rate()).collect()])
         np.testing.assert_allclose((rates * t) @ p, fit.totals, rtol=1e-6)
         assert (rates >= 0).all() and fit.met == reachable
         if not reachable:
             with pytest.raises(ValueError):
-                mixing.fit_rates(df, shares=shares, strict=True)
+                mixing.fit_rates(df, shares=shares, iterations=3, strict=True)
             target, g = np.array([shares.get(d, 0.0) for d in mixing.DOMAINS]) * t.sum(), np.linalg.inv((p * t[:, None]).T @ p)
             squared = lambda x: ((x * t) @ p - target) @ g @ ((x * t) @ p - target)  # noqa: E731, B023
             assert squared(rates) < 0.5 * squared(np.ones(len(t)))
