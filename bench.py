@@ -31,10 +31,13 @@ def main() -> None:
     queries, took = catalog.queries(), {}
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count().collect()
     for name in HEADLINE:
-        began = time.time()
-        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        took[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "headline queries, total wall time", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+        runs = []
+        for _ in range(3):  # the first compiles the query and starts Python workers
+            began = time.time()
+            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.time() - began)
+        took[name] = round(min(runs[1:]), 3)
+    print(json.dumps({"metric": "headline queries, total wall time (better of two warm runs each)", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()
 
 

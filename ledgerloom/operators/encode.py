@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import safe_name
 
+from .quantiles import medians, quantiles
+from .storage import cut
+
 
 def fit_winsor(df: DataFrame, cols: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
     """(feature, low, high)."""
-    wide = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(low), F.lit(high))).alias(c) for c in cols])
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)[0].alias("low"), F.col(c)[1].alias("high")) for c in cols])
+    wide = quantiles(df, [], {f"{s}{c}": (F.col(c), q) for c in cols for s, q in (("low_", low), ("high_", high))})
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"low_{c}").alias("low"), F.col(f"high_{c}").alias("high")) for c in cols])
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
@@ -29,10 +32,9 @@ def apply_winsor(df: DataFrame, params: DataFrame, cols: list[str]) -> DataFrame
 
 def fit_group_median_impute(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
     """(by, medians...); by null is the global row, missing medians there are 0."""
-    med = [F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols]
     kind = dict(df.dtypes)[by]
-    every = df.agg(*med).select(F.lit(None).cast(kind).alias(by), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols])
-    return df.where(F.col(by).isNotNull()).groupBy(by).agg(*med).unionByName(every)
+    every = medians(df, [], {c: F.col(c) for c in cols}).select(F.lit(None).cast(kind).alias(by), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols])
+    return medians(df.where(F.col(by).isNotNull()), [by], {c: F.col(c) for c in cols}).unionByName(every)
 
 
 def apply_group_median_impute(df: DataFrame, params: DataFrame, by: str, cols: list[str]) -> DataFrame:
@@ -141,17 +143,32 @@ def asof_mean_encode(requests: DataFrame, history: DataFrame, date: str, price:
     from .joins import asof_join
 
     hist = history.where(F.col(price).isNotNull()).select(suburb, F.month(date).alias("_month"), F.col(date).cast("date").alias("_day"), F.col(price).alias("_p")).withColumn("_one", F.lit(1))
-    got = requests.withColumns({"_month": F.month(date), "_one": F.lit(1), "_at": F.col(date).cast("date")})
+    asked = requests.select(F.col(suburb).alias(suburb), F.col(date).cast("date").alias("_at")).distinct().withColumns({"_month": F.month("_at"), "_one": F.lit(1)})
     names = {"_s": [suburb], "_sm": [suburb, "_month"], "_m": ["_month"], "_g": ["_one"]}
     for name, keys in names.items():
         daily = hist.groupBy(*keys, "_day").agg(F.sum("_p").alias("s"), F.count("_p").alias("n"))
         w = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         run = daily.select(*keys, "_day", (F.sum("s").over(w) / F.sum("n").over(w)).alias("_v"))
-        got = asof_join(got, run, keys, "_at", "_day", "_v", strict=True, out=name)
-    return got.withColumns({"mean_suburb": F.coalesce("_s", "_g"), "mean_suburb_month": F.coalesce("_sm", "_s", "_m", "_g")}).drop("_month", "_one", "_at", *names)
+        asked = cut(asof_join(asked, run, keys, "_at", "_day", "_v", strict=True, out=name))
+    got = asked.select(F.col(suburb).alias("_g0"), F.col("_at").alias("_d0"), F.coalesce("_s", "_g").alias("mean_suburb"), F.coalesce("_sm", "_s", "_m", "_g").alias("mean_suburb_month"))
+    same = F.col(suburb).eqNullSafe(F.col("_g0")) & F.col(date).cast("date").eqNullSafe(F.col("_d0"))
+    return requests.join(got, same, "left").drop("_g0", "_d0")
 
 
 def floor_to_group_median(df: DataFrame, floor: str, by: str, train: Column, out: str = "floor_ratio") -> DataFrame:
     """Floor size against the train median of the same group; missing gives 1."""
-    m = df.where(train & F.col(by).isNotNull()).groupBy(F.col(by).alias("_g")).agg(F.percentile(F.col(floor).cast("double"), 0.5).alias("_m"))
+    m = medians(df.where(train & F.col(by).isNotNull()), [by], {"_m": F.col(floor)}).withColumnRenamed(by, "_g")
     return df.join(m, F.col(by) == F.col("_g"), "left").withColumn(out, F.coalesce(F.try_divide(F.col(floor), F.when(F.col("_m") != 0, F.col("_m"))), F.lit(1.0))).drop("_g", "_m")
+
+
+def asof_floor_ratio(requests: DataFrame, history: DataFrame, floor: str, by: str, date: str, key: str, out: str = "floor_ratio") -> DataFrame:
+    """Floor size of requests against the median of the same group's history before the request's day; without
+    such history, against the group's whole; missing gives 1."""
+    from .windows import rolling_medians
+
+    both = history.select(by, date, key, floor).withColumn("_asked", F.lit(False)).unionByName(requests.select(by, date, key, F.lit(None).cast("double").alias(floor)).withColumn("_asked", F.lit(True)))
+    before = rolling_medians(both, [by], date, key, floor, {"_m": (1_000_000, "left", 1)}).where("_asked").select(F.col(key).alias("_k"), "_m")
+    every = medians(history, [by], {"_all": F.col(floor)}).withColumnRenamed(by, "_g")
+    work = requests.join(before, F.col(key) == F.col("_k"), "left").join(every, F.col(by) == F.col("_g"), "left")
+    m = F.coalesce("_m", "_all")
+    return work.withColumn(out, F.coalesce(F.try_divide(F.col(floor), F.when(m != 0, m)), F.lit(1.0))).drop("_k", "_m", "_g", "_all")

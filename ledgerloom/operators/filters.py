@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import all_of
 
+from .quantiles import medians, quantiles
+
 
 def domain_filter(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]], non_positive_missing: tuple[str, ...] = (), positive: tuple[str, ...] = ()) -> DataFrame:
     """Rows whose values are missing or in bounds. For non_positive_missing columns values <= 0 count
@@ -60,12 +62,19 @@ def mean_multiple_filter(df: DataFrame, col: str, k: float = 9) -> DataFrame:
 
 def group_median_filter(df: DataFrame, col: str, by: list[str], k: float = 5) -> DataFrame:
     """Rows whose value is at most k times their group's median (grouped first, then joined)."""
-    m = df.groupBy(*by).agg(F.percentile(col, 0.5).alias("_median"))
+    m = medians(df, by, {"_median": F.col(col)})
     return df.join(m, by).where(F.col(col) <= k * F.col("_median")).drop("_median")
 
 
 def qualify_groups(df: DataFrame, by: str, col: str, min_n: int = 3, frac: float = 0.5) -> DataFrame:
     """Rows of groups with more than min_n rows and a median of at least frac of the global one."""
-    total = df.agg(F.percentile(col, 0.5).alias("_all"))
-    good = df.groupBy(by).agg(F.count("*").alias("_n"), F.percentile(col, 0.5).alias("_median")).join(F.broadcast(total), F.col("_median") >= frac * F.col("_all"))
+    total = medians(df, [], {"_all": F.col(col)})
+    good = quantiles(df, [by], {"_median": (F.col(col), 0.5)}, {"_n": F.count("*")}).join(F.broadcast(total), F.col("_median") >= frac * F.col("_all"))
     return df.join(good.where(F.col("_n") > min_n).select(by), by, "left_semi")
+
+
+def dedup_latest(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """One row of each group, the last in the given order: a grouped maximum, so no group is gathered."""
+    rest = [c for c in df.columns if c not in by]
+    last = df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
+    return last.select(*[F.col(c) if c in by else F.col(f"_last.{c}") for c in df.columns])

@@ -9,12 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import medians, quantiles
+
 #: Pairwise aggregates in one pass.
 PAIRS_AT_ONCE = 400
 
 
 def median_by_group(df: DataFrame, by: list[str], col: str, out: str = "median") -> DataFrame:
-    return df.groupBy(*by).agg(F.percentile(F.col(col).cast("double"), 0.5).alias(out))
+    return medians(df, by, {out: F.col(col)})
 
 
 def monthly_average(df: DataFrame, date: str, col: str) -> DataFrame:
@@ -30,7 +32,7 @@ def cumulative_change(df: DataFrame, date: str, col: str) -> DataFrame:
 
 def quarterly_median_by_group(df: DataFrame, by: str, date: str, col: str, min_n: int = 10) -> DataFrame:
     big = df.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_n).select(by)
-    return df.join(big, by, "left_semi").groupBy(by, F.to_date(F.trunc(date, "quarter")).alias("quarter")).agg(F.percentile(F.col(col).cast("double"), 0.5).alias("median"))
+    return medians(df.join(big, by, "left_semi").withColumn("quarter", F.to_date(F.trunc(date, "quarter"))), [by, "quarter"], {"median": F.col(col)})
 
 
 def daily_mean_count(df: DataFrame, date: str, col: str, by: list[str] = ()) -> DataFrame:
@@ -46,7 +48,7 @@ def weekly_volume(df: DataFrame, date: str, by: str) -> DataFrame:
 
 
 def group_stats(df: DataFrame, by: list[str], col: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.percentile(F.col(col).cast("double"), 0.5).alias("median"), F.avg(col).alias("mean"), F.count(col).alias("n"))
+    return quantiles(df, by, {"median": (F.col(col), 0.5)}, {"mean": F.avg(col), "n": F.count(col)})
 
 
 def count_by(df: DataFrame, outer: str, inner: str) -> DataFrame:
@@ -107,7 +109,9 @@ def anova_oneway(df: DataFrame, by: str, col: str) -> DataFrame:
     w = g.join(F.broadcast(t.select(F.col("n").alias("total"), "k", "mean")))
     s = w.agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean"), 2)).alias("between"), F.sum(F.col("n") * F.col("v")).alias("within"), F.max("k").alias("k"), F.max("total").alias("total"))
     s = s.select((F.col("k") - 1).alias("df_between"), (F.col("total") - F.col("k")).alias("df_within"), "between", "within")
-    return s.select("df_between", "df_within", ((F.col("between") / F.col("df_between")) / (F.col("within") / F.col("df_within"))).alias("f"))
+    row = s.select("df_between", "df_within", F.try_divide(F.col("between") / F.col("df_between"), F.col("within") / F.col("df_within")).alias("f")).first()  # one row
+    p = f_survival(row["f"], row["df_between"], row["df_within"]) if row["f"] is not None else None
+    return df.sparkSession.createDataFrame([(*row, p)], "df_between long, df_within long, f double, p double")
 
 
 def f_survival(f: float, d1: int, d2: int) -> float:
@@ -134,8 +138,8 @@ def f_survival(f: float, d1: int, d2: int) -> float:
 
 def vif(df: DataFrame, cols: list[str]) -> DataFrame:
     """Uncentred variance inflation of each column; nulls take the median. One pass of pair sums, a k x k inverse."""
-    medians = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols]).first()
-    x = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c] or 0.0)) for c in cols}
+    middle = medians(df, [], {c: F.col(c) for c in cols}).first()
+    x = {c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c] or 0.0)) for c in cols}
     row = df.agg(*[F.sum(x[a] * x[b]) for i, a in enumerate(cols) for b in cols[i:]]).first()
     gram, it = np.zeros((len(cols), len(cols))), iter(row)
     for i in range(len(cols)):
@@ -147,9 +151,8 @@ def vif(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def profile_target(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
-    p = F.percentile(F.col(col).cast("double"), F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75, 0.95)]))
-    out = df.groupBy(*by).agg(F.count(col).alias("n"), F.min(col).alias("min"), p.alias("_p"), F.max(col).alias("max"))
-    return out.select(*by, "n", "min", *[F.col("_p")[i].alias(a) for i, a in enumerate(("p25", "p50", "p75", "p95"))], "max")
+    wanted = {f"p{round(100 * q)}": (F.col(col), q) for q in (0.25, 0.5, 0.75, 0.95)}
+    return quantiles(df, list(by), wanted, {"n": F.count(col), "min": F.min(col), "max": F.max(col)}).select(*by, "n", "min", *wanted, "max")
 
 
 def low_entropy_columns(df: DataFrame, cols: list[str], most: float = 0.85, min_levels: int = 2, keep: list[str] = ()) -> DataFrame:

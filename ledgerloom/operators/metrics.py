@@ -1,4 +1,4 @@
-"""Evaluation, calibration and drift: mergeable sums and exact percentiles in grouped aggregates."""
+"""Evaluation, calibration and drift: mergeable sums in grouped aggregates, and exact quantiles."""
 
 from __future__ import annotations
 
@@ -6,20 +6,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def regression_metrics(df: DataFrame, y: str, p: str, w: str | None = None, by: list[str] = ()) -> DataFrame:
-    """n, mae, rmse, r2, r2_log, medae, mape (y > 0), smape, wmae, wrmse, by group. Logs use the global mean."""
+    """n, mae, rmse, r2, r2_log, medae, mape (y > 0), safe_mape (weighted, |y| at least 1e-6), smape (the sum of both
+    sides at least 1e-6), wmae, wrmse, by group. Logs use the global mean."""
     yc, pc = F.col(y).cast("double"), F.col(p).cast("double")
     e, wc = pc - yc, (F.col(w).cast("double") if w else F.lit(1.0))
     ly, lp = F.log1p(F.greatest(yc, F.lit(0.0))), F.log1p(F.greatest(pc, F.lit(0.0)))
     r2 = lambda a, err: 1 - F.try_divide(F.sum(err * err), F.sum(a * a) - F.sum(a) * F.sum(a) / F.count(a))
     rows = df.where(yc.isNotNull() & pc.isNotNull())
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), r2(yc, e).alias("r2"), r2(ly, lp - ly).alias("r2_log"),
-        F.percentile(F.abs(e), 0.5).alias("medae"), (F.avg(F.when(yc > 0, F.abs(e) / yc)) * 100).alias("mape"),
-        (F.avg(F.try_divide(2 * F.abs(e), F.abs(yc) + F.abs(pc))) * 100).alias("smape"),
-        (F.sum(wc * F.abs(e)) / F.sum(wc)).alias("wmae"), F.sqrt(F.sum(wc * e * e) / F.sum(wc)).alias("wrmse"),
-    )
+    floor = F.lit(1e-6)
+    sums = {
+        "n": F.count("*"), "mae": F.avg(F.abs(e)), "rmse": F.sqrt(F.avg(e * e)), "r2": r2(yc, e), "r2_log": r2(ly, lp - ly),
+        "mape": F.avg(F.when(yc > 0, F.abs(e) / yc)) * 100, "safe_mape": F.sum(wc * F.abs(e) / F.greatest(F.abs(yc), floor)) / F.sum(wc),
+        "smape": F.avg(2 * F.abs(e) / F.greatest(F.abs(yc) + F.abs(pc), floor)) * 100,
+        "wmae": F.sum(wc * F.abs(e)) / F.sum(wc), "wrmse": F.sqrt(F.sum(wc * e * e) / F.sum(wc)),
+    }
+    return quantiles(rows, list(by), {"medae": (F.abs(e), 0.5)}, sums)
 
 
 def fold_metrics(oof: DataFrame, y: str, p: str, w: str, fold: str = "fold") -> DataFrame:
@@ -45,8 +50,8 @@ def top_groups(df: DataFrame, by: str, n: int = 30) -> DataFrame:
 
 def quantile_bins(df: DataFrame, col: str, q: int = 5) -> Column:
     """Right-closed quantile bin of col from 1, null if it is null; equal edges are one."""
-    p = df.agg(F.percentile(F.col(col).cast("double"), F.array(*[F.lit(i / q) for i in range(q + 1)]))).first()[0]  # q + 1 numbers
-    edges = sorted(set(p or []))
+    p = quantiles(df, [], {f"q{i}": (F.col(col), i / q) for i in range(q + 1)}).first()  # q + 1 numbers
+    edges = sorted({x for x in p if x is not None})
     out = F.lit(None).cast("int")
     for i in range(len(edges) - 1, 0, -1):
         out = F.when(F.col(col) <= edges[i], i).otherwise(out)
@@ -59,7 +64,7 @@ def error_segments(df: DataFrame, y: str, p: str, plain: list[str], large: str,
     names = [(c, c) for c in [*plain, large]] + [("floor_bin", "_bin")]
     x = F.explode(F.array(*[F.struct(F.lit(g).alias("group"), F.col(c).cast("string").alias("segment")) for g, c in names]))
     rows = r.select("abs_err", "ape", x.alias("x")).select("abs_err", "ape", "x.*").where("segment is not null")
-    s = rows.groupBy("group", "segment").agg(F.count("*").alias("n"), F.avg("abs_err").alias("mae"), F.percentile("abs_err", 0.5).alias("medae"), (F.avg("ape") * 100).alias("mape"))
+    s = quantiles(rows, ["group", "segment"], {"medae": (F.col("abs_err"), 0.5)}, {"n": F.count("*"), "mae": F.avg("abs_err"), "mape": F.avg("ape") * 100}).select("group", "segment", "n", "mae", "medae", "mape")
     best = s.where(F.col("group") == large).orderBy(F.desc("n"), "segment").limit(top)
     return s.where(F.col("group") != large).unionByName(best)
 
@@ -73,7 +78,7 @@ def drift_check(cv: DataFrame, test: DataFrame, metric: str, tol: float = 0.3) -
 
 def conformal_qhat(df: DataFrame, y: str, lo: str, hi: str, alpha: float = 0.1, by: list[str] = ()) -> DataFrame:
     score = F.greatest(F.col(lo) - F.col(y), F.col(y) - F.col(hi), F.lit(0.0))
-    return df.groupBy(*by).agg(F.percentile(score, 1 - alpha).alias("qhat"))
+    return quantiles(df, list(by), {"qhat": (score, 1 - alpha)})
 
 
 def apply_interval(df: DataFrame, qhat: DataFrame, lo: str, hi: str) -> DataFrame:
@@ -95,11 +100,15 @@ def apply_median_blend(df: DataFrame, fitted: DataFrame, p: str, median: str, ou
     return df.join(F.broadcast(best)).withColumn(out, F.col(p) + F.col("_lam") * (F.coalesce(F.col(median), F.col(p)) - F.col(p))).drop("_lam")
 
 
-def fit_nnls_2(df: DataFrame, y: str, a: str, b: str, w: str, gate: Column | None = None) -> tuple[float, float]:
-    """Nonnegative weights of two predictors by weighted least squares: five sums, then a closed form."""
-    rows = df if gate is None else df.where(gate)
-    s = lambda x, z: F.sum(F.col(w) * F.col(x) * F.col(z))
-    r = [float(v or 0) for v in rows.agg(s(a, a), s(a, b), s(b, b), s(a, y), s(b, y)).first()]
+def fit_nnls_2(df: DataFrame, y: str, a: str, b: str, w: str, gate: Column | None = None, normalise: bool = False) -> tuple[float, float]:
+    """Nonnegative weights of two predictors by weighted least squares: five sums, then a closed form.
+
+    Where the gate doesn't hold the second predictor counts as the first; normalise: weights sum to 1.
+    """
+    ca, cy = F.col(a), F.col(y)
+    cb = F.col(b) if gate is None else F.when(F.coalesce(gate, F.lit(False)), F.col(b)).otherwise(ca)
+    s = lambda x, z: F.sum(F.col(w) * x * z)
+    r = [float(v or 0) for v in df.agg(s(ca, ca), s(ca, cb), s(cb, cb), s(ca, cy), s(cb, cy)).first()]
     aa, ab, bb, ay, by = r
     options = [(0.0, 0.0), (max(0.0, ay / aa) if aa else 0.0, 0.0), (0.0, max(0.0, by / bb) if bb else 0.0)]
     if (det := aa * bb - ab * ab) > 1e-12 * max(aa * bb, 1e-300):
@@ -107,7 +116,16 @@ def fit_nnls_2(df: DataFrame, y: str, a: str, b: str, w: str, gate: Column | Non
         if u >= 0 and v >= 0:
             options.append((u, v))
     loss = lambda u, v: u * u * aa + 2 * u * v * ab + v * v * bb - 2 * u * ay - 2 * v * by
-    return min(options, key=lambda o: loss(*o))
+    best = min(options, key=lambda o: loss(*o))
+    total = sum(best)
+    return (best[0] / total, best[1] / total) if normalise and total > 0 else best
+
+
+def blend_if_better(df: DataFrame, y: str, a: str, b: str, w: str, weights: tuple[float, float], gate: Column | None = None) -> tuple[float, float]:
+    """The weights if the blend has the smaller weighted absolute error on df (early rows), else (1, 0)."""
+    e = lambda p: F.sum(F.col(w) * F.abs(F.col(y) - F.col(p)))
+    row = apply_blend(df, a, b, weights, "_blend", gate).agg(e(a), e("_blend")).first()
+    return weights if row[0] is not None and row[1] < row[0] else (1.0, 0.0)
 
 
 def apply_blend(df: DataFrame, a: str, b: str, weights: tuple[float, float], out: str, gate: Column | None = None) -> DataFrame:
@@ -115,12 +133,25 @@ def apply_blend(df: DataFrame, a: str, b: str, weights: tuple[float, float], out
     return df.withColumn(out, mixed if gate is None else F.when(gate, mixed).otherwise(F.col(a)))
 
 
+#: Value buckets of a group in weighted_quantile().
+BUCKETS = 128
+
+
 def weighted_quantile(df: DataFrame, by: list[str], v: str, w: str, q: float, key: str) -> DataFrame:
-    """(by, value): the first value at which the share of weight exceeds q; ties in value by key."""
-    run = F.sum(w).over(Window.partitionBy(*by).orderBy(v, key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = df.groupBy(*by).agg(F.sum(w).alias("_t"))
-    rows = df.withColumn("_run", run).join(total, by)
-    return rows.where(F.col("_run") > q * F.col("_t")).groupBy(*by).agg(F.min(v).alias("value"))
+    """(by, value): the first value at which the share of weight exceeds q.
+
+    Weights are summed by value, and by bucket between approximate quantiles; sums of buckets tell which
+    bucket holds the value, and only the values of that one meet in a window.
+    """
+    weights = df.where(F.col(v).isNotNull()).groupBy(*by, F.col(v).alias("_v")).agg(F.sum(w).alias("_w"))
+    marks = weights.groupBy(*by).agg(F.percentile_approx("_v", [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS).alias("_cuts"), F.sum("_w").alias("_t"))
+    placed = weights.join(marks, by).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
+    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = placed.groupBy(*by, "_b", "_t").agg(F.sum("_w").alias("_s")).withColumn("_end", F.sum("_s").over(upto))
+    holds = sums.where(F.col("_end") > q * F.col("_t")).groupBy(*by).agg(F.min_by(F.struct("_b", (F.col("_end") - F.col("_s")).alias("_from")), "_b").alias("_h"))
+    rows = placed.join(holds.select(*by, "_h.*"), [*by, "_b"])
+    run = F.col("_from") + F.sum("_w").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_run", run).where(F.col("_run") > q * F.col("_t")).groupBy(*by).agg(F.min("_v").alias("value"))
 
 
 def comparable_interval(preds: DataFrame, comps: DataFrame, key: str, pred: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 
 def _filled(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
@@ -51,6 +53,7 @@ def seed_average(models: list[PipelineModel], df: DataFrame, features: list[str]
 
 def cross_validate(df: DataFrame, folds: DataFrame, key: str, features: list[str], target: str, weight: str | None = None, prepare=None, kind: str = "ridge") -> DataFrame:
     """Out-of-fold table (fold, key, y, prediction). prepare(train, rows) gives rows with train-only features."""
+    df, folds = cut(df), cut(folds)  # each is read for every fold
     ids = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]  # at most 12
     out = []
     for f in ids:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .marts import rare_pairs
+from .quantiles import medians, quantiles
 
 
 def chi2_quantile(p: float, k: int) -> float:
@@ -33,7 +34,7 @@ def chi2_quantile(p: float, k: int) -> float:
 
 
 def _medians(df: DataFrame, by: list[str], cols: list[str], prefix: str) -> DataFrame:
-    return df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(f"{prefix}{c}") for c in cols])
+    return medians(df, by, {f"{prefix}{c}": F.col(c) for c in cols})
 
 
 def _join(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
@@ -49,17 +50,18 @@ def modified_z(df: DataFrame, by: list[str], cols: list[str], prefix: str = "z_"
     """0.6745 * (x - median) / MAD for each column within the group; a MAD of 0 counts as 1e-9."""
     work = _join(df, _medians(df, by, cols, "_med_"), by)
     work = work.withColumns({f"_dev_{c}": F.abs(F.col(c).cast("double") - F.col(f"_med_{c}")) for c in cols})
-    mad = work.groupBy(*by).agg(*[F.percentile(f"_dev_{c}", 0.5).alias(f"_mad_{c}") for c in cols])
+    mad = medians(work, by, {f"_mad_{c}": F.col(f"_dev_{c}") for c in cols})
     work = _join(work, mad, by)
     z = {f"{prefix}{c}": 0.6745 * (F.col(c).cast("double") - F.col(f"_med_{c}")) / F.when(F.col(f"_mad_{c}") == 0, 1e-9).otherwise(F.col(f"_mad_{c}")) for c in cols}
     return work.withColumns(z).drop(*[f"{p}{c}" for c in cols for p in ("_med_", "_dev_", "_mad_")])
 
 
 def iqr_bounds(df: DataFrame, by: list[str], col: str, k: float = 1.5) -> DataFrame:
-    """(by, low, high) fences."""
-    q = df.groupBy(*by).agg(F.percentile(F.col(col).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    width = F.col("q")[1] - F.col("q")[0]
-    return q.select(*by, (F.col("q")[0] - k * width).alias("low"), (F.col("q")[1] + k * width).alias("high"))
+    """(by, low, high) fences; quartiles that are equal count as 1e-9 apart."""
+    q = quantiles(df, by, {"_q1": (F.col(col), 0.25), "_q3": (F.col(col), 0.75)})
+    width = F.col("_q3") - F.col("_q1")
+    width = F.when(width == 0, 1e-9).otherwise(width)
+    return q.select(*by, (F.col("_q1") - k * width).alias("low"), (F.col("_q3") + k * width).alias("high"))
 
 
 def diag_mahalanobis(df: DataFrame, cols: list[str], p: float = 0.999, out: str = "maha") -> DataFrame:
@@ -124,7 +126,7 @@ def support_vote_outliers(df: DataFrame, bed: str, main: str, capital: str, cols
     """df with votes and outlier: main is off by z and enough columns are beyond the larger of 1 and their
     group's 80th percentile; a rare (year, bed) pair votes too; a far-off capital value exempts."""
     work = modified_z(df, [bed], [main, capital, *cols], "z_")
-    edge = work.groupBy(bed).agg(*[F.percentile(F.abs(f"z_{c}"), 0.8).alias(f"_e_{c}") for c in cols])
+    edge = quantiles(work, [bed], {f"_e_{c}": (F.abs(f"z_{c}"), 0.8) for c in cols})
     work = _join(work, edge, [bed])
     rare = rare_pairs(df.where(F.col(year).isNotNull() & F.col(bed).isNotNull()), year, bed, rare_below).withColumn("_rare", F.lit(1)).drop("share")
     work = work.join(rare, [year, bed], "left")
@@ -140,10 +142,10 @@ def fit_outlier_scores(train: DataFrame, by: str, value: Column, min_n: int = 10
     x = train.where(value.isNotNull()).select(F.col(by).alias("_g"), value.alias("_x"))
 
     def level(df: DataFrame, keys: list[str]) -> DataFrame:
-        m = df.groupBy(*keys).agg(F.percentile("_x", 0.5).alias("median"), F.count("*").alias("_n"))
+        m = quantiles(df, keys, {"median": (F.col("_x"), 0.5)}, {"_n": F.count("*")})
         j = df.join(m, keys) if keys else df.join(F.broadcast(m))
-        s = j.groupBy(*keys, "median", "_n").agg((1.4826 * F.percentile(F.abs(F.col("_x") - F.col("median")), 0.5)).alias("mad"))
-        return s
+        s = medians(j, [*keys, "median", "_n"], {"mad": F.abs(F.col("_x") - F.col("median"))})
+        return s.withColumn("mad", 1.4826 * F.col("mad"))
 
     groups = level(x.where("_g is not null"), ["_g"]).where(F.col("_n") >= min_n).select(F.col("_g").alias(by), "median", "mad")
     return groups.unionByName(level(x, []).select(F.lit(None).cast(dict(train.dtypes)[by]).alias(by), "median", "mad"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,7 +43,8 @@ def split_by_fraction(df: DataFrame, date: str, key: str, train: float = 0.7, ea
     work = df.withColumn("_day", day).withColumn("_in", F.row_number().over(Window.partitionBy("_day").orderBy(key)))
     work = work.join(before.select(F.col("_day").alias("_d"), "_before"), F.col("_day").eqNullSafe(F.col("_d"))).join(F.broadcast(total))
     place = F.col("_before") + F.col("_in") - 1
-    role = F.when(place < F.floor(train * F.col("_total")), "train").when(place < F.floor((train + early) * F.col("_total")), "early").otherwise("test")
+    first = lambda share: F.floor(F.lit(Decimal(repr(round(share, 9)))) * F.col("_total"))  # noqa: E731  0.7 + 0.1 isn't 0.8 in binary
+    role = F.when(place < first(train), "train").when(place < first(train + early), "early").otherwise("test")
     return work.withColumn(out, role).drop("_day", "_in", "_d", "_before", "_total")
 
 
@@ -85,12 +87,21 @@ def monte_carlo_folds(df: DataFrame, date: str, key: str, folds: int = 12, seed:
 
 
 def shuffled_kfold(df: DataFrame, key: str, n: int = 5, seed: int = 7, out: str = "fold") -> DataFrame:
-    """Fold by a multiplicative hash of an integer key: the same at every run and partitioning."""
-    return df.withColumn(out, F.pmod((F.pmod(F.col(key), F.lit(1_000_003)) + seed) * F.lit(7_919), F.lit(n)).cast("int"))
+    """Fold by two rounds of a mixing hash of an integer key: the same at every run and partitioning, and
+    unlike the key's residues."""
+    first = F.pmod(F.pmod(F.col(key), F.lit(2_147_483_647)) * 48_271 + seed, F.lit(2_147_483_647))
+    second = F.pmod(first * 69_621 + F.floor(first / 127_773), F.lit(2_147_483_647))
+    return df.withColumn(out, F.pmod(F.floor(second / 1_009), F.lit(n)).cast("int"))
 
 
-def embargo_days(folds: DataFrame, df: DataFrame, date: str, key: str, gap: int) -> DataFrame:
-    """Train rows later than the fold's first validation day minus gap go."""
+def auto_gap_days(windows: list[int], buffer: int = 7) -> int:
+    """The embargo for features over windows of so many days: the longest one and a buffer."""
+    return max([0, *windows]) + buffer
+
+
+def embargo_days(folds: DataFrame, df: DataFrame, date: str, key: str, gap: int | None = None, windows: list[int] = ()) -> DataFrame:
+    """Train rows later than the fold's first validation day minus gap go; by default auto_gap_days(windows)."""
+    gap = auto_gap_days(list(windows)) if gap is None else gap
     dated = folds.join(df.select(key, F.col(date).cast("date").alias("_d")), key)
     first = dated.where("role = 'val'").groupBy("fold").agg(F.min("_d").alias("_first"))
     return dated.join(F.broadcast(first), "fold").where((F.col("role") == "val") | (F.col("_d") < F.date_sub("_first", gap))).select("fold", key, "role")
@@ -123,6 +134,15 @@ def check_folds(folds: DataFrame, df: DataFrame, date: str, group: str, key: str
     return out.withColumn("ok", (F.col("shared_months") == 0) & (F.col("shared_groups") == 0) & (F.col("n_val") >= min_val))
 
 
+def check_holdout(df: DataFrame, split: str = "split", min_test: int = 120, min_early: int = 80, strict: bool = False) -> DataFrame:
+    """One row: rows of test and early, and whether they are enough (early may be empty). strict: an error if not."""
+    n = df.agg(*[F.count(F.when(F.col(split) == r, 1)).alias(f"n_{r}") for r in ("test", "early")])
+    out = n.withColumn("ok", (F.col("n_test") >= min_test) & ((F.col("n_early") == 0) | (F.col("n_early") >= min_early)))
+    if strict and not out.first()["ok"]:
+        raise ValueError("too few rows held out")
+    return out
+
+
 def check_required_features(df: DataFrame, cols: list[str], most_null: float = 0.2) -> DataFrame:
     """(feature, present, null_share, ok) for each required column."""
     have = [c for c in cols if c in df.columns]

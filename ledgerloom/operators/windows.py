@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .storage import cut
 
 
@@ -305,24 +306,35 @@ def lookback_means(requests: DataFrame, history: DataFrame, by: str, date: str,
     """Mean price of the same group in the 3 and 12 calendar months before each request (strictly before).
 
     Fewer than 5 (3 months) or 20 (12 months) rows: all rows before; a group without history: all
-    groups. Sums up to two days are subtracted, both found as-of on daily sums: no range join.
+    groups. Sums up to two days are subtracted, both found as-of on daily sums, once for each group and
+    day that is asked for: no range join.
     """
     hist = history.where(F.col(price).isNotNull()).withColumn("_all", F.lit(1))
-    asked = requests.select(F.col(key).alias("_key"), F.col(by), F.col(date).cast("date").alias("_d")).withColumn("_all", F.lit(1))
-    parts = {}
+    asked = requests.select(F.col(by), F.col(date).cast("date").alias("_d")).distinct().withColumn("_all", F.lit(1))
     for level, cols in (("g", [by]), ("a", ["_all"])):
         daily = hist.groupBy(*cols, F.col(date).cast("date").alias("day")).agg(F.sum(price).alias("s"), F.count(price).alias("n"))
         for name, at in (("now", F.col("_d")), ("m3", F.add_months("_d", -3)), ("m12", F.add_months("_d", -12))):
-            got = _prior(daily, asked.withColumn("at", at), cols).select("_key", F.coalesce("run.s", F.lit(0.0)).alias(f"{level}_{name}_s"), F.coalesce("run.n", F.lit(0)).alias(f"{level}_{name}_n"))
-            parts[level, name] = got
-    joined = reduce(lambda x, y: x.join(y, "_key"), parts.values())
+            asked = _prior(daily, asked.withColumn("at", at), cols).withColumns({f"{level}_{name}_s": F.coalesce("run.s", F.lit(0.0)), f"{level}_{name}_n": F.coalesce("run.n", F.lit(0))}).drop("run", "at")
+            asked = cut(asked)  # each look-up reads the last one's rows twice
     c = F.col
     pick = lambda name, what: F.when(c("g_now_n") > 0, c(f"g_{name}_{what}")).otherwise(c(f"a_{name}_{what}"))
     out = []
     for name, least in (("m3", 5), ("m12", 20)):
         s, n = pick("now", "s") - pick(name, "s"), pick("now", "n") - pick(name, "n")
         out.append(F.when(n >= least, F.try_divide(s, n)).otherwise(F.try_divide(pick("now", "s"), pick("now", "n"))).alias(f"vwap_{name[1:]}m"))
-    return requests.join(joined.select("_key", *out), requests[key] == F.col("_key"), "left").drop("_key")
+    got = asked.select(c(by).alias("_g0"), c("_d").alias("_d0"), *out)
+    return requests.join(got, c(by).eqNullSafe(c("_g0")) & c(date).cast("date").eqNullSafe(c("_d0")), "left").drop("_g0", "_d0")
+
+
+def group_momentum(requests: DataFrame, history: DataFrame, by: list[str], date: str, key: str, price: str) -> DataFrame:
+    """requests with momentum: the group's median price of the 30 days before the request's day against
+    that of the 12 calendar months before it; null without prices or with a long median of 0."""
+    frames = {"_m30": (30, "left", 1), "_m365": (365, "left", 1), "_m366": (366, "left", 1)}
+    both = history.select(*by, date, key, price).withColumn("_asked", F.lit(False)).unionByName(requests.select(*by, date, key, F.lit(None).cast("double").alias(price)).withColumn("_asked", F.lit(True)))
+    got = rolling_medians(both, by, date, key, price, frames).where("_asked")
+    year = F.datediff(F.col(date), F.add_months(F.col(date).cast("date"), -12))
+    long = F.when(year == 366, F.col("_m366")).otherwise(F.col("_m365"))
+    return requests.join(got.select(F.col(key).alias("_k"), momentum(F.col("_m30"), long).alias("momentum")), F.col(key) == F.col("_k"), "left").drop("_k")
 
 
 def momentum_30d_12m(requests: DataFrame, history: DataFrame, date: str, price: str) -> DataFrame:
@@ -334,10 +346,11 @@ def momentum_30d_12m(requests: DataFrame, history: DataFrame, date: str, price:
     days = daily.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day")).join(daily, "day", "left")
     w = Window.orderBy(F.unix_date("day")).rangeBetween(-30, -1)
     series = days.select("day", F.avg("mean").over(w).alias("rm")).where("rm is not null").withColumn("_one", F.lit(1))
-    asked = requests.withColumns({"_one": F.lit(1), "_d0": F.col(date).cast("date"), "_d1": F.date_sub(F.col(date).cast("date"), 365)})
+    asked = requests.select(F.col(date).cast("date").alias("_d0")).distinct().withColumns({"_one": F.lit(1), "_d1": F.date_sub("_d0", 365)})
     got = asof_join(asof_join(asked, series, ["_one"], "_d0", "day", "rm", strict=True, out="_now"), series, ["_one"], "_d1", "day", "rm", out="_then")
     ratio = F.try_divide(F.col("_now"), F.when(F.col("_then") != 0, F.col("_then"))) - 1
-    return got.withColumn("momentum", F.when(ratio.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))).drop("_one", "_d0", "_d1", "_now", "_then")
+    got = got.select("_d0", F.when(ratio.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))).alias("momentum"))
+    return requests.join(got, F.col(date).cast("date").eqNullSafe(F.col("_d0")), "left").drop("_d0")
 
 
 def recency_weights(df: DataFrame, date: str, halflife: float, ref: Column) -> DataFrame:
@@ -351,7 +364,7 @@ def recency_weights(df: DataFrame, date: str, halflife: float, ref: Column) -> D
 def sample_weights(df: DataFrame, target: str, cap: float | None = None, clip: tuple[float, float] | None = None, tail: tuple[float, float] | None = None, outlier: str | None = None, outlier_factor: float = 0.35) -> DataFrame:
     """1 / sqrt of the target within 1..cap (default: its 99.5th percentile), optionally clipped, with mean 1;
     times tail[1] above tail[0], times outlier_factor where the column outlier holds."""
-    stats = df.agg(F.percentile(F.col(target).cast("double"), 0.995).alias("_cap")) if cap is None else df.sparkSession.range(1).select(F.lit(float(cap)).alias("_cap"))
+    stats = quantiles(df, [], {"_cap": (F.col(target), 0.995)}) if cap is None else df.sparkSession.range(1).select(F.lit(float(cap)).alias("_cap"))
     y = F.greatest(F.lit(1.0), F.least(F.col("_cap"), F.col(target).cast("double")))
     w = 1 / F.sqrt(y)
     if clip:

@@ -3,16 +3,45 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as sc
-from ledgerloom.operators import filters, joins, normalize
+from ledgerloom.operators import filters, joins, normalize, storage
 from ledgerloom.sources import readers
 
 from .base import POIS, TX, TXL, pois, query, rnd, rounded, table, tx
 
 
+def _written(spark, df, **how):
+    """The path of df, written by write_table into the shared folder."""
+    at = f"{storage.shared(df)}/written-{uuid.uuid4().hex}"
+    readers.write_table(df, at, **how)
+    return at
+
+
+@query("s1_read_raw", "SELECT cast(s_suppkey AS VARCHAR) AS s_suppkey, s_name, cast(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier")
+def s1(spark, sf):
+    raw = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    return readers.read_raw(spark, _written(spark, raw, fmt="csv")).select("s_suppkey", "s_name", "s_nationkey")
+
+
+@query("s4_write_table", f"WITH {TX} SELECT bed, count(*) AS n, round(sum(price), 2) AS total FROM tx GROUP BY 1")
+def s4(spark, sf):
+    at = _written(spark, tx(spark, sf).select("key", "bed", "price"), partition_by=["bed"])
+    return spark.read.parquet(at).groupBy("bed").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
+
+
+@query("t4_sorted_output", f"WITH {TX} SELECT count(*) AS n, 0::BIGINT AS out_of_order FROM tx")
+def t4(spark, sf):
+    at = _written(spark, tx(spark, sf).select("key", "date"), sort_by=["date"])
+    rows = spark.read.parquet(at).select("date", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("i"))
+    later = F.lag("date").over(Window.partitionBy("file").orderBy("i")) > F.col("date")
+    return rows.select(later.alias("late")).agg(F.count("*").alias("n"), F.count(F.when(F.col("late"), 1)).alias("out_of_order"))
+
+
 @query("s2_points_of_interest", f"WITH {POIS} SELECT name, category, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM pois WHERE latitude IS NOT NULL AND longitude IS NOT NULL")
 def s2(spark, sf):
     raw = pois(spark, sf).select(F.col("name").alias("Title"), F.lower("category").alias("type"), F.col("latitude").cast("string").alias("lat"), F.col("longitude").cast("string").alias("lng"))
@@ -59,7 +88,7 @@ def p6(spark, sf):
 
 
 _CANON = """WITH {tx}, x AS (SELECT key, {c} AS raw, lower(trim({c})) AS low FROM tx) SELECT key, CASE {rules} END AS value FROM x"""
-_TITLE = "list_aggregate(list_transform(string_split(low, ' '), lambda w: concat(upper(w[1]), w[2:])), 'string_agg', ' ')"
+_TITLE = "list_aggregate(list_transform(regexp_extract_all(low, '[a-z]+|[^a-z]+'), lambda w: concat(upper(w[1]), w[2:])), 'string_agg', '')"
 
 
 @query("p7_canonicalize_furnishings", _CANON.format(tx=TX, c="furnishings", rules=f"WHEN raw IS NULL OR low IN ('', 'nill', 'nil', 'none', 'null') THEN 'Unfurnished' WHEN low LIKE '%fully%' AND low LIKE '%furnish%' THEN 'Furnished' WHEN low LIKE '%partial%' THEN 'Partially Furnished' WHEN low = 'full' THEN 'Furnished' ELSE {_TITLE}"))

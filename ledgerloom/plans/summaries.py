@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import encode, marts, metrics, outliers
+from ledgerloom.operators import encode, filters, marts, metrics, outliers
 
 from .base import TX, TXL, query, rounded, table, tx
 
@@ -75,7 +75,7 @@ def a11(spark, sf):
 
 @query("a12_anova_oneway", f"WITH {TX}, g AS (SELECT suburb, count(*) AS n, avg(price) AS m, var_pop(price) AS v FROM tx GROUP BY 1), t AS (SELECT sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS mean FROM g) SELECT (max(k) - 1)::BIGINT AS df_between, (max(t.n) - max(k))::BIGINT AS df_within, round((sum(g.n * power(m - mean, 2)) / (max(k) - 1)) / (sum(g.n * v) / (max(t.n) - max(k))), 6) AS f FROM g, t")
 def a12(spark, sf):
-    return rounded(marts.anova_oneway(tx(spark, sf), "suburb", "price"), ["f"], 6)
+    return rounded(marts.anova_oneway(tx(spark, sf), "suburb", "price").drop("p"), ["f"], 6)
 
 
 @query("a13_vif", f"WITH {TX}, s AS (SELECT sum(price * price) AS aa, sum(price * bed) AS ab, sum(bed * bed) AS bb FROM tx) SELECT 'price' AS feature, round(1 / (1 - ab * ab / (aa * bb)), 6) AS vif FROM s UNION ALL SELECT 'bed', round(1 / (1 - ab * ab / (aa * bb)), 6) FROM s")
@@ -94,9 +94,11 @@ def a15(spark, sf):
     return rounded(marts.low_entropy_columns(df, ["agency", "flag", "one"]), ["top_share"], 6)
 
 
-@query("a16_importance_by_bucket", "SELECT 'p_type' AS base, round(sum(p_retailprice), 4) AS gain FROM part")
+@query("a16_importance_by_bucket", "SELECT CASE WHEN p_size > 25 THEN 'p_type' ELSE 'p_brand' END AS base, round(sum(p_retailprice), 4) AS gain FROM part GROUP BY 1 UNION ALL SELECT 'p_size', round(sum(p_size)::DOUBLE, 4) FROM part")
 def a16(spark, sf):
-    imp = table(spark, sf, "part").select(F.concat(F.lit("p_type="), F.col("p_type")).alias("feature"), F.col("p_retailprice").alias("gain"))
+    part = table(spark, sf, "part")
+    level = F.when(F.col("p_size") > 25, F.concat(F.lit("p_type="), F.col("p_type"))).otherwise(F.concat(F.lit("p_brand="), F.col("p_brand")))
+    imp = part.select(level.alias("feature"), F.col("p_retailprice").alias("gain")).unionByName(part.select(F.lit("p_size").alias("feature"), F.col("p_size").cast("double").alias("gain")))
     return rounded(marts.importance_by_bucket(imp, "feature", "gain"), ["gain"])
 
 
@@ -286,19 +288,17 @@ def w17(spark, sf):
     return rounded(got.select("key", "floor_ratio"), ["floor_ratio"], 6)
 
 
-@query("t1_dedup_latest", f"WITH {TX} SELECT owner, bed, key FROM (SELECT *, row_number() OVER (PARTITION BY owner, bed ORDER BY date DESC, key DESC) AS n FROM tx) WHERE n = 1")
-def t1(spark, sf):
-    return dedup_latest(tx(spark, sf), ["owner", "bed"], ["date", "key"]).select("owner", "bed", "key")
+@query("w17_asof_floor_ratio", f"""WITH {TXL}, h AS (SELECT * FROM tx WHERE key % 20 <> 0), q AS (SELECT * FROM tx WHERE key % 20 = 0),
+a AS (SELECT q.key, q.floor_size, median(h.floor_size) FILTER (h.date < q.date) AS m, median(h.floor_size) AS every FROM q LEFT JOIN h ON h.bed = q.bed GROUP BY 1, 2) SELECT key, round(coalesce(floor_size / nullif(coalesce(m, every), 0), 1), 6) AS floor_ratio FROM a""")
+def w17_asof(spark, sf):
+    t = tx(spark, sf, True).select("key", "bed", "date", "floor_size")
+    got = encode.asof_floor_ratio(t.where("key % 20 = 0"), t.where("key % 20 != 0"), "floor_size", "bed", "date", "key")
+    return rounded(got.select("key", "floor_ratio"), ["floor_ratio"], 6)
 
 
-def dedup_latest(df, by: list[str], order: list[str]):
-    """The last row of each group in the given order: a grouped maximum, so no group is gathered."""
-    last = df.groupBy(*by).agg(F.max(F.struct(*order)).alias("_last"))
-    got = df.join(last, by)
-    test = F.lit(True)
-    for c in order:
-        test = test & F.col(c).eqNullSafe(F.col(f"_last.{c}"))
-    return got.where(test).drop("_last")
+@query("t1_dedup_latest", f"WITH {TX} SELECT owner, bed, key FROM (SELECT *, row_number() OVER (PARTITION BY owner, bed ORDER BY date DESC, key DESC) AS n FROM tx) WHERE n = 1")
+def t1(spark, sf):
+    return filters.dedup_latest(tx(spark, sf), ["owner", "bed"], ["date", "key"]).select("owner", "bed", "key")
 
 
 @query("t2_worst_errors", f"WITH {TX} SELECT key, abs_err FROM (SELECT key, round(abs(price - price * (0.9 + (key % 21) / 100.0)), 4) AS abs_err, abs(price - price * (0.9 + (key % 21) / 100.0)) AS e FROM tx) ORDER BY e DESC, key LIMIT 100")

@@ -43,22 +43,13 @@ def w2a(spark, sf):
     return rounded(got.select("key", "median"), ["median"])
 
 
-@query("w2_rolling_median_global_30d", f"WITH {TX}, d AS (SELECT date, max(price) AS price, max(key) AS key FROM tx GROUP BY 1), m AS ({_median_sql('price', '', 30, 1)} FROM d) SELECT key, round(lag(m) OVER (ORDER BY date, key), 4) AS median FROM m")
-def w2b(spark, sf):
-    daily = tx(spark, sf).groupBy("date").agg(F.max("price").alias("price"), F.max("key").alias("key"))
-    return rounded(windows.rolling_median(daily, [], "date", "key", "price", 30, 1).select("key", "median"), ["median"])
-
-
 _W3 = _vwap_sql("bed", 90, 3, "equal").replace(") SELECT key, round(lag(", "), v AS (SELECT key, bed, date, lag(").replace(", 4) AS vwap FROM w", " AS vwap FROM w)")
 
 
-@query("w3_rolling_median_of_vwap", f"{_W3}, m AS ({_median_sql('vwap', 'bed', 30, 1)} FROM v) SELECT key, round(lag(m) OVER (PARTITION BY bed ORDER BY date, key), 4) AS median FROM m")
+@query("w3_rolling_median_of_vwap", f"{_W3}, m AS ({_median_sql('vwap', 'bed', 30, 1)} FROM v) SELECT key, round(m, 4) AS median FROM m")
 def w3(spark, sf):
     v = windows.vwap(tx(spark, sf).select("key", "bed", "date", "price"), ["bed"], "date", "key", "price", 90, 3, "equal")
-    return rounded(windows.rolling_median(v, ["bed"], "date", "key", "vwap", 30, 1).select("key", "median"), ["median"])
-
-
-# every row of tx counts in these; the two daily-maxima and per-bed forms above stay as they are registered
+    return rounded(windows.rolling_medians(v, ["bed"], "date", "key", "vwap", {"median": (30, "right", 1)}).select("key", "median"), ["median"])
 
 
 @query("w2_rolling_median_bed_730d", f"WITH {TX}, m AS ({_median_sql('price', 'bed', 730, 1)} FROM tx) SELECT key, round(lag(m) OVER (PARTITION BY bed ORDER BY date, key), 4) AS median FROM m")
@@ -74,8 +65,8 @@ def _global_median(days):
     return run
 
 
-for _days in (30, 730):
-    query(f"w2_rolling_median_all_rows_{_days}d", f"WITH {TX}, m AS ({_median_sql('price', '', _days, 1)} FROM tx) SELECT key, round(lag(m) OVER (ORDER BY date, key), 4) AS median FROM m")(_global_median(_days))
+for _name, _days in (("w2_rolling_median_global_30d", 30), ("w2_rolling_median_global_730d", 730)):
+    query(_name, f"WITH {TX}, m AS ({_median_sql('price', '', _days, 1)} FROM tx) SELECT key, round(lag(m) OVER (ORDER BY date, key), 4) AS median FROM m")(_global_median(_days))
 
 
 def _global_vwap_median(days, least, over):
@@ -122,6 +113,12 @@ def w5b(spark, sf):
     return rounded(got.select("key", "med90", "med365"), ["med90", "med365"])
 
 
+@query("w5_asof_suburb_median_log", f"{_asof_sql('suburb', _W5, 'key % 5 <> 0').replace('THEN price END', 'THEN ln(1 + price) END')} SELECT key, round(exp(med90) - 1, 3) AS med90, round(exp(med365) - 1, 3) AS med365 FROM m")
+def w5_log(spark, sf):
+    got = windows.asof_group_medians(tx(spark, sf).select("key", "suburb", "date", "price"), ["suburb"], "date", "key", "price", _W5, F.col("key") % 5 != 0, log_domain=True)
+    return rounded(got.select("key", "med90", "med365"), ["med90", "med365"], 3)
+
+
 _W6 = {f"rec2_{d}": (d, 1) for d in (30, 90, 180, 365)}
 _W6_OUT = ", ".join(f"round({n}, 4) AS {n}" for n in _W6) + ", round(rec2_30 / nullif(rec2_365, 0), 6) AS rec2_ratio_30_365, round(rec2_90 / nullif(rec2_365, 0), 6) AS rec2_ratio_90_365"
 
@@ -208,6 +205,14 @@ def w13(spark, sf):
     return rounded(got.select("key", "momentum"), ["momentum"], 6)
 
 
+@query("w13_group_momentum", f"""WITH {TX}, a AS (SELECT q.key, median(h.price) FILTER (h.date >= q.date - 30) AS m30, median(h.price) AS m12 FROM (SELECT * FROM tx WHERE key % 20 = 0) q LEFT JOIN (SELECT * FROM tx WHERE key % 20 <> 0) h ON h.suburb = q.suburb AND h.date < q.date AND h.date >= q.date - INTERVAL 12 MONTH GROUP BY 1)
+SELECT key, round(m30 / nullif(m12, 0), 6) AS momentum FROM a""")
+def w13_group(spark, sf):
+    t = tx(spark, sf).select("key", "suburb", "date", "price")
+    got = windows.group_momentum(t.where("key % 20 = 0"), t.where("key % 20 != 0"), ["suburb"], "date", "key", "price")
+    return rounded(got.select("key", "momentum"), ["momentum"], 6)
+
+
 @query("w18_recency_weights", f"WITH {TX}, w AS (SELECT key, exp(-ln(2) * (DATE '2001-08-01' - date) / 180) AS w FROM tx) SELECT key, round(w / (SELECT max(w) FROM w), 9) AS recency_weight FROM w")
 def w18(spark, sf):
     got = windows.recency_weights(tx(spark, sf).select("key", "date"), "date", 180, F.to_date(F.lit("2001-08-01")))
@@ -247,14 +252,14 @@ def j9(spark, sf):
     return rounded(got, ["school_high_km", "school_primary_km", "school_any_km"], 6)
 
 
-_COMPS = f"""q AS (SELECT key AS query_key, bed AS qbed, lat, lon FROM tx WHERE key % 20 = 0 AND key % 3 = 0), h AS (SELECT key AS comp_key, bed, lat AS latitude, lon AS longitude, price AS comp_price FROM tx WHERE key % 20 <> 0),
-p AS (SELECT query_key, comp_key, comp_price, qbed = bed AS same, {_KM} AS km FROM q, h), r AS (SELECT *, row_number() OVER (PARTITION BY query_key, same ORDER BY km, comp_key) AS n FROM p),
-best AS (SELECT query_key, comp_key, comp_price, same, km, row_number() OVER (PARTITION BY query_key ORDER BY km, comp_key) AS rank FROM r WHERE same AND n <= 5)"""
+_COMPS = f"""q AS (SELECT key AS query_key, bed AS qbed, lat, lon FROM tx WHERE key % 20 = 0), h AS (SELECT key AS comp_key, bed, lat AS latitude, lon AS longitude, price AS comp_price FROM tx WHERE key % 20 <> 0),
+p AS (SELECT query_key, comp_key, qbed = bed AS same, {_KM} AS km FROM q, h), r AS (SELECT *, row_number() OVER (PARTITION BY query_key, same ORDER BY km, comp_key) AS n, row_number() OVER (PARTITION BY query_key ORDER BY km, comp_key) AS n_all, count(*) FILTER (same) OVER (PARTITION BY query_key) AS n_same FROM p),
+b AS (SELECT query_key, comp_key, same, km, row_number() OVER (PARTITION BY query_key ORDER BY km, comp_key) AS rank FROM r WHERE same AND n <= 5 OR n_same < 5 AND n_all <= 5), best AS (SELECT * FROM b WHERE rank <= 5)"""
 
 
 def _comps(spark, sf):
     t = tx(spark, sf).select("key", "bed", "lat", "lon", "price")
-    return t, geo.knn_comparables(t.where("key % 20 = 0 and key % 3 = 0"), t.where("key % 20 != 0"), 5, "key")
+    return t, geo.knn_comparables(t.where("key % 20 = 0"), t.where("key % 20 != 0"), 5, "key")
 
 
 @query("j10_knn_comparables", f"WITH {TX}, {_COMPS} SELECT query_key, rank::INTEGER AS rank, comp_key, round(km, 6) AS distance_km FROM best")
@@ -275,30 +280,6 @@ def m11(spark, sf):
     return rounded(got.select("key", "mean_err_pct", "half_mean_pct", "half_q80_pct"), ["mean_err_pct", "half_mean_pct"], 6)
 
 
-# every request (key % 20 = 0), topped up from all beds; the two above stay as they are registered
-_ALL_COMPS = f"""q AS (SELECT key AS query_key, bed AS qbed, lat, lon FROM tx WHERE key % 20 = 0), h AS (SELECT key AS comp_key, bed, lat AS latitude, lon AS longitude, price AS comp_price FROM tx WHERE key % 20 <> 0),
-p AS (SELECT query_key, comp_key, qbed = bed AS same, {_KM} AS km FROM q, h), r AS (SELECT *, row_number() OVER (PARTITION BY query_key, same ORDER BY km, comp_key) AS n, row_number() OVER (PARTITION BY query_key ORDER BY km, comp_key) AS n_all, count(*) FILTER (same) OVER (PARTITION BY query_key) AS n_same FROM p),
-b AS (SELECT query_key, comp_key, same, km, row_number() OVER (PARTITION BY query_key ORDER BY km, comp_key) AS rank FROM r WHERE same AND n <= 5 OR n_same < 5 AND n_all <= 5), best AS (SELECT * FROM b WHERE rank <= 5)"""
-
-
-def _all_comps(spark, sf):
-    t = tx(spark, sf).select("key", "bed", "lat", "lon", "price")
-    return t, geo.knn_comparables(t.where("key % 20 = 0"), t.where("key % 20 != 0"), 5, "key")
-
-
-@query("j10_knn_comparables_all_requests", f"WITH {TX}, {_ALL_COMPS} SELECT query_key, rank::INTEGER AS rank, comp_key, round(km, 6) AS distance_km FROM best")
-def j10_all(spark, sf):
-    return _all_comps(spark, sf)[1].select("query_key", "rank", "comp_key", rnd("distance_km", 6).alias("distance_km"))
-
-
-@query("m11_comparable_interval_all_requests", _M11.replace(_COMPS, _ALL_COMPS))
-def m11_all(spark, sf):
-    t, comps = _all_comps(spark, sf)
-    err = comps.select(F.col("query_key").alias("key"), "comp_key", "distance_km", (F.col("same_first") == 1).alias("same"), (F.col("comp_key") % 21 - 10).cast("double").alias("err_pct"))
-    got = metrics.comparable_interval(t.select("key", F.col("price").alias("pred")), err, "key", "pred")
-    return rounded(got.select("key", "mean_err_pct", "half_mean_pct", "half_q80_pct"), ["mean_err_pct", "half_mean_pct"], 6)
-
-
 # splits and folds
 
 _MONTHS = "m AS (SELECT DISTINCT year(date) * 12 + month(date) AS m FROM tx), mr AS (SELECT m, row_number() OVER (ORDER BY m DESC) AS r FROM m)"
@@ -346,7 +327,7 @@ def v6(spark, sf):
     return splits.monte_carlo_folds(tx(spark, sf), "date", "key")
 
 
-@query("v7_shuffled_kfold", "SELECT o_orderkey AS key, (((o_orderkey % 1000003) + 7) * 7919 % 5)::INTEGER AS fold FROM orders")
+@query("v7_shuffled_kfold", "WITH a AS (SELECT o_orderkey AS key, (o_orderkey % 2147483647 * 48271 + 7) % 2147483647 AS x FROM orders), b AS (SELECT key, (x * 69621 + x // 127773) % 2147483647 AS y FROM a) SELECT key, (y // 1009 % 5)::INTEGER AS fold FROM b")
 def v7(spark, sf):
     return splits.shuffled_kfold(tx(spark, sf), "key").select("key", "fold")
 
@@ -357,6 +338,17 @@ def v8(spark, sf):
     return splits.embargo_days(folds, t, "date", "key", 60)
 
 
+@query("v8_default_gap", f"{_FOLD}, f AS (SELECT fold, min(date) AS d FROM folds WHERE role = 'val' GROUP BY 1) SELECT fold, key, role FROM folds JOIN f USING (fold) WHERE role = 'val' OR date < d - 372")
+def v8_default(spark, sf):
+    t, folds = _folds(spark, sf)
+    return splits.embargo_days(folds, t, "date", "key", windows=[90, 365])
+
+
+@query("v11_check_holdout", f"{_SPLIT} SELECT count(*) FILTER (split = 'test') AS n_test, count(*) FILTER (split = 'early') AS n_early, count(*) FILTER (split = 'test') >= 120 AND (count(*) FILTER (split = 'early') = 0 OR count(*) FILTER (split = 'early') >= 80) AS ok FROM sp")
+def v11_holdout(spark, sf):
+    return splits.check_holdout(splits.split_by_months(tx(spark, sf), "date"))
+
+
 @query("v9_purge_groups", f"{_FOLD} SELECT fold, key, role FROM folds a WHERE role = 'val' OR NOT EXISTS (SELECT 1 FROM folds b WHERE b.fold = a.fold AND b.role = 'val' AND b.owner = a.owner)")
 def v9(spark, sf):
     t, folds = _folds(spark, sf)
@@ -391,13 +383,13 @@ def _pred(spark, sf, lines=False):
 
 _METRICS = """count(*) AS n, round(avg(abs(p - y)), 4) AS mae, round(sqrt(avg((p - y) * (p - y))), 4) AS rmse, round(1 - sum((p - y) * (p - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2,
 round(1 - sum(power(ln(1 + p) - ln(1 + y), 2)) / (sum(power(ln(1 + y), 2)) - power(sum(ln(1 + y)), 2) / count(*)), 6) AS r2_log, round(median(abs(p - y)), 4) AS medae,
-round(avg(CASE WHEN y > 0 THEN abs(p - y) / y END) * 100, 6) AS mape, round(avg(2 * abs(p - y) / (abs(y) + abs(p))) * 100, 6) AS smape, round(sum(w * abs(p - y)) / sum(w), 4) AS wmae, round(sqrt(sum(w * (p - y) * (p - y)) / sum(w)), 4) AS wrmse"""
+round(avg(CASE WHEN y > 0 THEN abs(p - y) / y END) * 100, 6) AS mape, round(avg(2 * abs(p - y) / greatest(abs(y) + abs(p), 1e-6)) * 100, 6) AS smape, round(sum(w * abs(p - y) / greatest(abs(y), 1e-6)) / sum(w), 6) AS safe_mape, round(sum(w * abs(p - y)) / sum(w), 4) AS wmae, round(sqrt(sum(w * (p - y) * (p - y)) / sum(w)), 4) AS wrmse"""
 
 
 @query("m1_regression_metrics", f"{_P} SELECT bed, {_METRICS} FROM e GROUP BY bed")
 def m1(spark, sf):
     got = metrics.regression_metrics(_pred(spark, sf), "price", "pred", "w", ["bed"])
-    return rounded(rounded(got, ["mae", "rmse", "medae", "wmae", "wrmse"]), ["r2", "r2_log", "mape", "smape"], 6)
+    return rounded(rounded(got, ["mae", "rmse", "medae", "wmae", "wrmse"]), ["r2", "r2_log", "mape", "smape", "safe_mape"], 6)
 
 
 @query("m2_fold_metrics", f"{_P}, f AS (SELECT bed AS fold, sum(w * abs(p - y)) / sum(w) AS wmae, count(*) AS n FROM e GROUP BY 1) SELECT fold, round(wmae, 4) AS wmae, n, round((SELECT avg(wmae) FROM f), 4) AS mean_wmae, round((SELECT stddev_samp(wmae) FROM f), 4) AS std_wmae FROM f")
@@ -449,6 +441,14 @@ def m7(spark, sf):
     return rounded(metrics.nnls_frame(spark, metrics.fit_nnls_2(p, "price", "pred", "p2", "w")), ["w_a", "w_b"], 6)
 
 
+@query("m7_gated_blend", f"{_P}, b AS (SELECT *, CASE WHEN bed >= 3 THEN price * (1.1 - (key % 13) / 50.0) ELSE p END AS p2 FROM e), s AS (SELECT sum(w * p * p) AS aa, sum(w * p * p2) AS ab, sum(w * p2 * p2) AS bb, sum(w * p * y) AS ay, sum(w * p2 * y) AS by_ FROM b), x AS (SELECT (bb * ay - ab * by_) / (aa * bb - ab * ab) AS u, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS v FROM s) SELECT round(u / (u + v), 6) AS w_a, round(v / (u + v), 6) AS w_b FROM x")
+def m7_gated(spark, sf):
+    p = _pred(spark, sf).withColumn("p2", F.col("price") * (F.lit(1.1) - (F.col("key") % 13) / 50.0))
+    gate = F.col("bed") >= 3
+    weights = metrics.fit_nnls_2(p, "price", "pred", "p2", "w", gate, normalise=True)
+    return rounded(metrics.nnls_frame(spark, metrics.blend_if_better(p, "price", "pred", "p2", "w", weights, gate)), ["w_a", "w_b"], 6)
+
+
 @query("m10_weighted_quantile", f"{_P}, u AS (SELECT bed, y, sum(w) OVER (PARTITION BY bed ORDER BY y, key ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY bed) AS t FROM e) SELECT bed, min(y) FILTER (run > 0.8 * t) AS value FROM u GROUP BY 1")
 def m10(spark, sf):
     return metrics.weighted_quantile(_pred(spark, sf), ["bed"], "price", "w", 0.8, "key")

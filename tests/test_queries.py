@@ -38,8 +38,3 @@ def test_query_equals_sql(spark, db, name):
     assert cols == sorted(want.columns)
     got = sorted(repr(tuple(plain(r[c]) for c in cols)) for r in df.collect())
     assert got == sorted(repr(tuple(plain(r[want.columns.index(c)]) for c in cols)) for r in want.fetchall())
-
-
-@pytest.mark.parametrize("name", ["v6_monte_carlo_folds", "l1_l2_fit_and_score", "m8_adversarial_auc", "a17_dataset_fingerprint"])
-def test_rows_of_queries_without_sql(spark, name):
-    assert catalog.queries()[name](spark, SF).count() > 0
