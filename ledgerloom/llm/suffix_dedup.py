@@ -36,7 +36,9 @@ from .textblocks import U64, Words, chain, slices
 
 LEAST_WORDS, K = 50, 16
 #: Extents of a bucket; extents of one k-gram from which it is split further; texts and extents that a task remembers.
-BUCKET_EXTENTS, MOST_SUFFIXES, REMEMBERED = 30_000, 100_000, 500_000
+BUCKET_EXTENTS, MOST_SUFFIXES, REMEMBERED = 30_000, 5_000, 500_000
+#: Hot k-grams that may be broadcast.
+MOST_BROADCAST = 300_000
 
 
 def _anchors(words: Words, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,14 +270,16 @@ def _text_spans(keyed: DataFrame, least: int, k: int, later_only: bool, bucket_e
     grouped = rows.groupBy("e1", "e2").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("places"), F.max("content").alias("content"), *[F.first(c).alias(c) for c in ("ahead", "n", "gram")])
     extents, extents_at = stored(grouped.select("e1", "e2", "ahead", "n", "gram", "content", F.col("lo.doc").alias("doc"), F.col("lo.s0").alias("pos"), (F.col("places") > 1).alias("whole")), "distinct")
     sizes = extents.groupBy("gram").agg(F.count("*").alias("size"))
-    hot = [r["gram"] for r in sizes.where(F.col("size") > most_suffixes).select("gram").collect()]  # extents / most_suffixes at most
-    split = F.col("gram").isin(hot) if hot else F.lit(False)
+    hot = materialize(sizes.where(F.col("size") > most_suffixes).select("gram"), "hot")
+    n_hot = hot.count()
+    chosen = F.broadcast(hot) if n_hot <= MOST_BROADCAST else hot
     buckets = max(1, -(-extents.count() // bucket_extents))
     # ranges of the order by the hash of the first k words
     bucket = F.call_function("div", F.shiftrightunsigned("gram", 33), F.lit(-(-(1 << 31) // buckets)))
-    found = _by_suffixes(extents.where(~split).withColumn("bucket", bucket), k, least, later_only)
-    if hot:
-        found = found.unionByName(_by_windows(extents.where(split), least, later_only))
+    plain = extents.join(chosen, "gram", "left_anti") if n_hot else extents
+    found = _by_suffixes(plain.withColumn("bucket", bucket), k, least, later_only)
+    if n_hot:
+        found = found.unionByName(_by_windows(extents.join(chosen, "gram", "left_semi"), least, later_only))
     found = extents.select("e1", "e2", "whole").join(found, ["e1", "e2"], "left").where("whole or wins is not null")
     found, found_at = stored(found, "found")
     places = rows.select("k1", "k2", "doc", "s0", "n", "e1", "e2").join(found, ["e1", "e2"])
