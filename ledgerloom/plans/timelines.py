@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import geo, metrics, model, splits, windows
 
-from .base import CATEGORIES, POIS, TX, TXL, pois, query, rnd, rounded, table, tx
+from .base import CATEGORIES, POIS, QUERIES, SQL, TX, TXL, pois, query, rnd, rounded, table, tx
 
 
 def _vwap_sql(by: str, days: int, least: int, weight: str) -> str:
@@ -503,3 +503,8 @@ def flagship(spark, sf):
     got = windows.asof_group_medians(t, ["suburb"], "date", "key", "price", {"med90": (90, 8)})
     got = domain_filter(got, {"price": (1000, 400000)}).where("med90 is not null").withColumn("ratio", F.col("price") / F.col("med90"))
     return rounded(group_stats(got, ["suburb"], "ratio"), ["median", "mean"], 6)
+
+
+# names under which the whole-table forms were registered first
+for _old, _now in (("w2_rolling_median_all_rows_30d", "w2_rolling_median_global_30d"), ("w2_rolling_median_all_rows_730d", "w2_rolling_median_global_730d"), ("j10_knn_comparables_all_requests", "j10_knn_comparables"), ("m11_comparable_interval_all_requests", "m11_comparable_interval")):
+    query(_old, SQL[_now])(QUERIES[_now])
