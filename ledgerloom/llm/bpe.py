@@ -109,6 +109,9 @@ class Codec:
         self.order = np.argsort(pairs)
         self.pairs, self.made_ids, self.byte_ids = pairs[self.order], np.array(self.made, np.int32), np.array(self.byte_id, np.int32)
         self.joined = joined_bytes(list(self.ids))
+        self.byte_kinds = np.append(character_kinds()[:128], np.zeros(128, np.uint8))
+        left, right = np.divmod(np.arange(1 << 16), 256)
+        self.ascii_cuts = self._may_cut(left, right, self.byte_kinds[left], self.byte_kinds[right]) & (left < 128) & (right < 128)
         self._special = regex.compile(b"|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or b"(?!)")
         table = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         size = max(table) + 1
@@ -237,28 +240,50 @@ class Codec:
         """
         n = len(data)
         cut, spaced = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-        at = np.flatnonzero((data & 0xC0) != 0x80)
-        first = data[at]
-        kinds = character_kinds()
-        kind = kinds[:128][first & 0x7F]
-        if len(wide := np.flatnonzero(first >= 0x80)):
-            p, lead = at[wide], first[wide].astype(np.int32)
-            tail = [(data[np.minimum(p + i, n - 1)] & 0x3F).astype(np.int32) for i in (1, 2, 3)]
-            point = np.where(lead < 0xE0, (lead & 0x1F) << 6 | tail[0], np.where(lead < 0xF0, (lead & 0x0F) << 12 | tail[0] << 6 | tail[1], (lead & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]))
-            kind[wide] = kinds[np.minimum(point, 0x10FFFF)]
-        before, after = kind[:-1], kind[1:]
-        ok = (before != after) | (before == LETTER) | (before == NUMBER)
-        ok &= ~((first[:-1] == 39) & (after != SPACE)) & ~((before == SPACE) & (first[1:] == 39))
-        ok &= ~self.joined[data[at[1:] - 1].astype(np.int32) << 8 | first[1:]]
-        cut[at[1:][ok]] = True
-        spaced[np.append(at[1:], n)[kind == SPACE]] = True
+        cut[1:n] = self.ascii_cuts[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        kind = self.byte_kinds[data]
+        spaced[1:] = kind == SPACE
+        lead = np.flatnonzero(data >= 0xC0)
+        if len(lead):
+            first = data[lead].astype(np.int32)
+            width = 2 + (first >= 0xE0) + (first >= 0xF0)
+            tail = [(data[np.minimum(lead + i, n - 1)] & 0x3F).astype(np.int32) for i in (1, 2, 3)]
+            point = np.where(width == 2, (first & 0x1F) << 6 | tail[0], np.where(width == 3, (first & 0x0F) << 12 | tail[0] << 6 | tail[1], (first & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]))
+            wide = character_kinds()[np.minimum(point, 0x10FFFF)]
+            end = np.minimum(lead + width, n)
+            spaced[end[wide == SPACE]] = True
+            for i in range(4):
+                some = width > i
+                kind[np.minimum(lead[some] + i, n - 1)] = wide[some]
+            at = np.concatenate([lead, end])
+            at = at[(at > 0) & (at < n)]
+            cut[at] = self._may_cut(data[at - 1], data[at], kind[at - 1], kind[at])
         return cut, spaced
 
+    def _may_cut(self, left: np.ndarray, right: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """May a cut lie between these bytes, of characters of these kinds?"""
+        ok = (before != after) | (before == LETTER) | (before == NUMBER)
+        ok &= ~((left == 39) & (after != SPACE)) & ~((before == SPACE) & (right == 39))
+        return ok & ~self.joined[left.astype(np.int32) << 8 | right]
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts data[offs[i]:offs[i + 1]]."""
-        n = len(data)
-        if not n:
+        if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
+        flat, at, lens, where = self._looked_up(data, offs)
+        ids, ends = _gather(flat, at, lens)
+        return ids, np.append(0, ends)[where]
+
+    def count(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Number of ids of each text data[offs[i]:offs[i + 1]], without making the ids of every text."""
+        if not len(data):
+            return np.zeros(len(offs) - 1, np.int64)
+        _, _, lens, where = self._looked_up(data, offs)
+        return np.diff(np.append(0, np.cumsum(lens))[where])
+
+    def _looked_up(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of the fragments that differ, where in them each fragment has its own, how many, first fragment of each text)."""
+        n = len(data)
         data = np.ascontiguousarray(data)
         cut, spaced = self.cuts(data)
         hard = np.zeros(n + 1, bool)
@@ -305,8 +330,7 @@ class Codec:
             flats.append(np.array([self.special[f] for f in found.take(pa.array(some)).to_pylist()], np.int32))
             at[some], lens[some] = base + np.arange(len(some)), 1
         slot = place[key]
-        ids, ends_of = _gather(np.concatenate(flats), at[slot], lens[slot])
-        return ids, np.append(0, ends_of)[np.searchsorted(starts, offs)]
+        return np.concatenate(flats), at[slot], lens[slot], np.searchsorted(starts, offs)
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, offsets) of the texts whose ids are ids[offs[i]:offs[i + 1]]."""

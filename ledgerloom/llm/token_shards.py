@@ -8,8 +8,8 @@ partitioned by slot and each shard is one file of fixed stride, so slot s is at
 (s % shard_sequences) * stride of shard s // shard_sequences: reads are sequential and can resume
 anywhere. The manifest has every sequence's documents and true length.
 
-Scale. A first pass tokenises to count: it leaves one row for each task, (task, its sequences, checksum of
-its packing), from which the driver gives every task its first number. The second pass tokenises again
+Scale. A first pass only counts ids: it leaves one row for each task, (task, its sequences, checksum of
+its texts), from which the driver gives every task its first number. The second pass makes the ids
 and sends each sequence once, by shard, to the task that writes it. So no copy of the ids is kept on
 the way. The input has to give the same rows in the same tasks both times, as a table does; the second
 pass compares checksums and fails rather than write shards that miss a row. A shard is written in the
@@ -80,14 +80,15 @@ class Packer:
 
     def add(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list, int]:
         """(ids, document of each, documents' names, full sequences) with this slice; a cut-off rest is kept."""
-        ids, offs = self.codec.encode(*raw(part.column("text")))
+        data, at = raw(part.column("text"))
+        self.seen.update(at.tobytes())
+        self.seen.update(data)
+        ids, offs = self.codec.encode(data, at)
         if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
             raise ValueError(f"token ids don't fit {self.dtype}")
         lens = np.diff(offs)
         some = np.flatnonzero(lens)
         flat = np.insert(ids.astype(self.dtype), offs[1:][some], self.end)
-        self.seen.update(lens.tobytes())
-        self.seen.update(flat.tobytes())
         owner = np.repeat(np.arange(len(some)), lens[some] + 1) + len(self.names)
         names = self.names + part.column("doc_id").take(pa.array(some)).to_pylist()
         flat, owner = np.concatenate([self.rest, flat]), np.concatenate([self.rest_docs, owner])
@@ -116,17 +117,20 @@ def _content(path: str) -> bytes:
         return f.read()
 
 
-def task_counts(docs: DataFrame, path: str, sequence: int, dtype: str, end: int) -> DataFrame:
+def task_counts(docs: DataFrame, path: str, sequence: int) -> DataFrame:
     """(task, sequences, checksum) for every task that reads docs: how its documents would be packed."""
     content = _content(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, n = Packer(content, sequence, dtype, end), 0
+        c, ids, seen = codec(content), 0, xxhash.xxh64()
         for batch in batches:
             for part in slices(batch):
-                n += p.add(part)[3]
-        n += bool(len(p.rest))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([p.seen.intdigest()], pa.uint64()).view(pa.int64())], ["task", "sequences", "checksum"])
+                data, offs = raw(part.column("text"))
+                seen.update(offs.tobytes())
+                seen.update(data)
+                counts = c.count(data, offs)
+                ids += int(counts.sum()) + int(np.count_nonzero(counts))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([-(-ids // sequence)], pa.int64()), pa.array([seen.intdigest()], pa.uint64()).view(pa.int64())], ["task", "sequences", "checksum"])
 
     return _texts(docs).mapInArrow(run, "task long, sequences long, checksum long")
 
@@ -141,7 +145,7 @@ def numbered(docs: DataFrame, path: str, sequence: int, dtype: str, end: int) ->
     What reaches the driver is one short row for each task.
     """
     content, first, total = _content(path), {}, 0
-    for r in sorted(task_counts(docs, path, sequence, dtype, end).collect()):  # a row for each task
+    for r in sorted(task_counts(docs, path, sequence).collect()):  # a row for each task
         first[r["task"]] = (total, r["checksum"])
         total += r["sequences"]
 

@@ -28,17 +28,21 @@ def test_words_that_polynomials_confuse(spark):
 
 
 def test_uncut_scripts_equal_tokenizers():
-    """Unique texts without white space, and a memo that is full all the time."""
+    """Mixed and uncut scripts, and a memo that is full all the time."""
     tk = Tokenizer.from_file(tokenizer_path())
     r = random.Random(2)
-    texts = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(r.randint(1, 400))) for _ in range(60)] + ["\u0915\u094d\u0937" * 30, "\u0418 \u043c\u0438\u0440" * 9, "a\u0301e" * 20]
+    mixed = "ab '1 \n\t\u00e9\u6f22\U0001f600\u3000\u00a0|<sZ.!\u0301\u0663"
+    texts = ["".join(r.choice(mixed) for _ in range(r.randint(0, 30))) for _ in range(300)]
+    texts += ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(r.randint(1, 400))) for _ in range(60)] + ["\u0915\u094d\u0937" * 30, "\u0418 \u043c\u0438\u0440" * 9, "a\u0301e" * 20]
     most, bpe.MEMO_BYTES = bpe.MEMO_BYTES, 1000
     try:
         with open(tokenizer_path(), "rb") as f:
             c = bpe.Codec(f.read())
         for part in (texts[:20], texts[20:], texts[:20]):
             raw = [t.encode() for t in part]
-            ids, offs = c.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
+            data, at = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw]))
+            ids, offs = c.encode(data, at)
+            assert c.count(data, at).tolist() == np.diff(offs).tolist()
             assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:])] == [tk.encode(t).ids for t in part]  # noqa: B905
     finally:
         bpe.MEMO_BYTES = most
