@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, token_shards, topk
+from . import bpe, chat, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, token_align, token_shards, topk
 from .common import table
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -196,6 +196,12 @@ FROM documents LEFT JOIN a USING (doc_id)
 """
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every whole document under two tokenizers, with corpus counts of the links."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return token_align.align(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -208,6 +214,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
         "pipeline": pipeline,
     }
 
