@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, token_align, token_shards, topk
+from . import bpe, chat, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, token_align, token_shards, topk, variants
 from .common import table
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -202,6 +202,12 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return token_align.align(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of 7 code points or more that occurs at least twice in all documents."""
+    words = variants.count_words(table(spark, sf_dir, "documents"), least=7, every=31)
+    return variants.group_variants(words.where("n >= 2"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -215,6 +221,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
         "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+        "op13_spelling_variants": op13_spelling_variants,
         "pipeline": pipeline,
     }
 
