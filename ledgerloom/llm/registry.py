@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, token_align, token_shards, topk, variants
+from . import bpe, chat, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, token_align, token_shards, topk, toxicity, variants
 from .common import table
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -196,6 +196,12 @@ FROM documents LEFT JOIN a USING (doc_id)
 """
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document, learned from the labels of three quarters of the ids."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return toxicity.score(docs, table(spark, sf_dir, "labels"), limit=0.3)
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, groups and links of every whole document under two tokenizers, with corpus counts of the links."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -220,6 +226,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op11_toxicity": op11_toxicity,
         "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
         "op13_spelling_variants": op13_spelling_variants,
         "pipeline": pipeline,
