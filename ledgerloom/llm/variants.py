@@ -226,12 +226,15 @@ def near_pairs(words: DataFrame) -> DataFrame:
     behind = F.struct(F.lit(1).alias("side"), (c("l.e") - c("l.p")).alias("k"), F.substring(c("word"), c("l.p") + 1, c("size")).alias("part"))
     lists = listed.select("word", "n", "size", "m", "least", "sign", F.explode("lists").alias("l"))
     lists = lists.select("word", "n", "size", "m", "least", "sign", F.explode(F.array(before, behind)).alias("g"))
-    lists = lists.select(*[c(x).alias(f"b_{x}") for x in ("word", "n", "size", "m", "least", "sign")], "g.*")
-    asked = lists.select(*[c(f"b_{x}").alias(f"a_{x}") for x in ("word", "n", "size", "m", "least", "sign")], "side", "k", "part", F.explode(F.array(c("b_size"), c("b_size") + 1)).alias("b_size"))
+    lists = lists.withColumn("whole", c("g.part") == c("word"))  # no two words of one length have such a list in common
+    listed_at = lambda size: F.xxhash64("g.side", "g.k", "g.part", size).alias("at")  # noqa: E731  equal hashes of unequal lists only add candidates
+    cols = ("word", "n", "size", "m", "least", "sign")
+    asked = lists.withColumn("to", F.explode(F.array(c("size"), c("size") + 1))).where(~c("whole") | (c("to") > c("size"))).select(*[c(x).alias(f"a_{x}") for x in cols], listed_at(c("to")))
+    lists = lists.where(~c("whole")).select(*[c(x).alias(f"b_{x}") for x in cols], listed_at(c("size")))
     once = (c("b_size") > c("a_size")) | (c("a_word") < c("b_word"))
     least = F.greatest("a_least", "b_least")  # of both, the grams that the other lacks are so few:
     enough = (F.bit_count(c("a_sign").bitwiseAND(F.bitwise_not("b_sign"))) <= c("a_m") - least) & (F.bit_count(c("b_sign").bitwiseAND(F.bitwise_not("a_sign"))) <= c("b_m") - least)
-    met = asked.join(lists, ["side", "k", "part", "b_size"]).where(once & enough & (F.levenshtein("a_word", "b_word", 1) == 1))
+    met = asked.join(lists, "at").where((c("b_size") - c("a_size")).isin(0, 1) & once & enough & (F.levenshtein("a_word", "b_word", 1) == 1))
     met = met.select(c("a_word").alias("a"), "a_n", c("b_word").alias("b"), "b_n")
     return met.unionByName(_unbounded(listed)).distinct()
 
