@@ -5,7 +5,7 @@ character grams (2 to 6 code points, with marks at both ends), all hashed. Words
 and marks other than white space, lower-cased; a slice's distinct words get their inputs once.
 
 Scoring. A text is read in overlapping windows of WINDOW words, every STRIDE, the last one at the text's end, so all
-words of a text of any length are read in both directions and nearly all of them in two windows. All windows of a slice go
+words of a text of any length are read in both directions, and a third of a window in the next one again. All windows of a slice go
 through the network side by side; attention pools the states of a window to its logit. A text's score is a logistic
 function of its windows' logits: the largest, the second largest, their mean and the logarithm of their number.
 
@@ -34,18 +34,18 @@ from pyspark.sql import functions as F
 from .textblocks import U64, mix, slices
 
 #: Words of a window, and words from one window's begin to the next one's.
-WINDOW, STRIDE = 48, 24
+WINDOW, STRIDE = 48, 32
 #: Size of an input, of a direction's state and of the attention's hidden layer; buckets of words and of grams.
 INPUT, STATE, ATTEND, BUCKETS = 20, 16, 12, 1 << 15
 #: Bounds of the labelled sample.
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2000, 4000, 12_000_000
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1000, 1600, 5_000_000
 #: Windows that go through the network at once.
 BLOCK = 1024
 #: Preactivation with which a gate keeps the state as it is (of a place after a text's end).
 KEEP = 30.0
 #: Passes over the sample, least and most windows of a step (a longer text is a step of its own), steps of a pass
 #: between these, rate of the first steps.
-EPOCHS, BATCH, STEPS, RATE = 7, (24, 600), 80, 0.004
+EPOCHS, BATCH, STEPS, RATE = 5, (24, 600), 80, 0.004
 _WORDS = r"[\p{L}\p{N}\p{M}'’]+"
 
 
