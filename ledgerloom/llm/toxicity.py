@@ -116,7 +116,10 @@ class Network:
 
     def inputs(self, word: np.ndarray, grams: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Input of each distinct word."""
-        total = np.add.reduceat(self.p["gram"][grams], first[:-1], axis=0) if len(word) else np.zeros((0, INPUT), np.float32)
+        if not len(word):
+            return np.zeros((0, INPUT), np.float32)
+        by_part = np.ascontiguousarray(self.p["gram"].T)  # a part at a time, as a part's column stays in the cache
+        total = np.stack([np.add.reduceat(part[grams], first[:-1]) for part in by_part], axis=1)
         return self.p["word"][word] + total * _f(np.diff(first) ** -0.5)[:, None]
 
     def projected(self, x: np.ndarray) -> np.ndarray:
@@ -362,7 +365,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, level = shared.value
         for batch in batches:
-            for part in slices(batch, most=1 << 20):
+            for part in slices(batch, most=2 << 20):
                 text = pc.fill_null(part.column("text"), "")
                 got = model.scores(text, level) if model else np.full(len(text), level)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got.astype(float)), part.column("held_out")], ["doc_id", "score", "held_out"])
