@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from functools import reduce
 
 import numpy as np
@@ -10,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_stats import kth_in_windows, sliding_medians
 from .quantiles import quantiles
 from .storage import cut
 
@@ -44,44 +44,7 @@ def vwap(df: DataFrame, by: list[str], date: str, key: str, price: str, days: in
     return got.withColumn(out, value).select(*[F.col(f"`{c}`") for c in df.columns], out)
 
 
-def sliding_medians(day: np.ndarray, value: np.ndarray, frames: list[tuple[int, str, int]], ties: str = "peers") -> list[np.ndarray]:
-    """Medians for each (days, closed, min_n) over rows in order of day; closed is "left" or "right".
-
-    ties "row": a right-closed window ends at the row, "peers": at the last row of its day.
-    """
-    out = []
-    n = len(day)
-    for days, closed, min_n in frames:
-        held: list[float] = []
-        res, lo, hi = np.full(n, np.nan), 0, 0
-        for i in range(n):
-            first = day[i] - days if closed == "left" else day[i] - days + 1
-            if closed == "left":
-                stop = hi
-                while stop < n and day[stop] < day[i]:
-                    stop += 1
-            elif ties == "row":
-                stop = i + 1
-            else:
-                stop = max(hi, i + 1)
-                while stop < n and day[stop] <= day[i]:
-                    stop += 1
-            while hi < stop:
-                if value[hi] == value[hi]:
-                    insort(held, value[hi])
-                hi += 1
-            while lo < hi and day[lo] < first:
-                if value[lo] == value[lo]:
-                    del held[bisect_left(held, value[lo])]
-                lo += 1
-            m = len(held)
-            if m >= max(min_n, 1):
-                res[i] = held[m // 2] if m % 2 else (held[m // 2 - 1] + held[m // 2]) / 2
-        out.append(res)
-    return out
-
-
-#: Rows of one group's value bucket that a task of rolling_medians sorts.
+#: Counts of one group's range of values that a task of rolling_medians is to hold.
 MEDIAN_ROWS = 20_000
 
 
@@ -116,10 +79,12 @@ def _frame_days(days: int, closed: str) -> tuple[int, int]:
 def daily_medians(df: DataFrame, by: list[str], date: str, value: str, frames: dict[str, tuple[int, str, int]], task_rows: int = MEDIAN_ROWS) -> DataFrame:
     """(_by0, _by1, ... for `by`, _day, a column for each frame): exact medians as of each day that a group has.
 
-    Values are counted by group and day. A group of more than task_rows counts is cut at quantiles of its
-    values into buckets of about task_rows; sums of the buckets' daily counts over each window tell which
-    bucket holds the median and at which place, and only there a task looks at the values. A value that
-    is very common is one count a day. So a task's rows do not grow with the group.
+    Values are counted by group and day, and the counts are dealt by ranges of (group, value), as many as their
+    number asks for, so a range holds about task_rows counts and a group has as many buckets as ranges reach
+    into it; nothing about the ranges is gathered or broadcast. Sums of the buckets' daily counts over
+    each window tell which bucket holds the median and at which place, and only there a task looks at the
+    values, for all days at once (order_stats). A value that is very common is one count a day. So a task's
+    rows do not grow with the group.
     """
     g = [f"_by{i}" for i in range(len(by))]
     lower = [F.col(c).alias(n) for c, n in zip(by, g, strict=True)]
@@ -127,22 +92,19 @@ def daily_medians(df: DataFrame, by: list[str], date: str, value: str, frames: d
     rows = df.select(*lower, day_number(date).alias("_day"), F.when(~F.isnan(v), v).alias("_v")).where("_day is not null")
     counts = cut(rows.groupBy(*g, "_day", "_v").agg(F.count("*").alias("_c")))
     held = counts.where("_v is not null")
-    group = F.struct(*[F.col(x) for x in g], F.lit(0))
-    sizes = held.groupBy(*g).agg(F.count("*").alias("_rows"))
-    most = sizes.agg(F.max("_rows")).first()[0] or 0
-    levels = -(-most // task_rows)
-    none = F.array().cast("array<double>")
-    cuts = lambda rows: rows.withColumn("_cuts", none)
-    if levels > 1:
-        big = F.ceil(F.col("_rows") / task_rows).cast("int")
-        marks = held.groupBy(*g).agg(F.count("*").alias("_rows"), F.percentile_approx("_v", [i / levels for i in range(1, levels)], max(10_000, 20 * levels)).alias("_q")).where(F.col("_rows") > task_rows)
-        picks = F.transform(F.sequence(F.lit(1), big - 1), lambda i: F.element_at("_q", F.greatest(F.lit(1), F.floor(i * levels / big).cast("int"))))
-        # one mark for task_rows rows, so this is small whatever the number of groups
-        marks = F.broadcast(cut(marks.select(group.alias("_g"), F.array_distinct(picks).alias("_q"))))
-        cuts = lambda rows: rows.withColumn("_g", group).join(marks, "_g", "left").withColumn("_cuts", F.coalesce("_q", none)).drop("_g", "_q")
-    placed = cut(cuts(held).select(*g, "_day", "_v", "_c", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))).alias("_b")))
+    ranges = -(-held.count() // task_rows)
+    if ranges > 1:
+        placed = cut(held.repartitionByRange(ranges, *g, "_v").withColumn("_b", F.spark_partition_id()))
+    else:
+        placed = held.withColumn("_b", F.lit(0))
     days = counts.select(*g, "_day").distinct()
-    grid = cuts(days).select(*g, "_day", F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_b"), F.lit(0).cast("long").alias("_c"))
+    if g and ranges > 1:
+        ends = placed.groupBy(*[F.col(x).alias(f"{x}_") for x in g]).agg(F.min("_b").alias("_lo"), F.max("_b").alias("_hi"))  # a group's ranges follow each other
+        same = reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(f"{x}_")) for x in g])
+        of = days.join(ends, same).select(*g, "_day", F.explode(F.sequence("_lo", "_hi")).alias("_b"))
+    else:
+        of = days.select(*g, "_day", F.explode(F.sequence(F.lit(0), F.lit(max(1, ranges) - 1))).alias("_b"))
+    grid = of.withColumn("_c", F.lit(0).cast("long"))
     daily = placed.select(*g, "_day", "_b", "_c").unionByName(grid).groupBy(*g, "_day", "_b").agg(F.sum("_c").alias("_c"))
     w = Window.partitionBy(*g, "_b").orderBy("_day")
     names = list(frames)
@@ -158,14 +120,11 @@ def daily_medians(df: DataFrame, by: list[str], date: str, value: str, frames: d
     spans = [_frame_days(*frames[n][:2]) for n in names]
 
     def find(key: tuple, events: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        events = events.sort_values("_v", kind="stable")
-        day, val, num = events["_day"].to_numpy(), events["_v"].to_numpy(float), events["_c"].to_numpy()
-        got = np.full(len(ask), np.nan)
-        for j, (d, f, k) in enumerate(zip(ask["_day"], ask["f"], ask["_k"], strict=True)):
-            a, b = spans[f]
-            inside = np.cumsum(np.where((day >= d + a) & (day <= d + b), num, 0))
-            got[j] = val[np.searchsorted(inside, k, side="right")]
-        return ask[[*g, "_day", "f"]].assign(m=got)
+        events = events.sort_values("_day", kind="stable")
+        day, asked, f = events["_day"].to_numpy(), ask["_day"].to_numpy(), ask["f"].to_numpy()
+        a, b = np.array([x for x, _ in spans]), np.array([x for _, x in spans])
+        begin, end = np.searchsorted(day, asked + a[f], "left"), np.searchsorted(day, asked + b[f], "right")
+        return ask[[*g, "_day", "f"]].assign(m=kth_in_windows(events["_v"].to_numpy(float), events["_c"].to_numpy(), begin, end, ask["_k"].to_numpy()))
 
     types = dict(wanted.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*g, "_day", "f"]) + ", m double"

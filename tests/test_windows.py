@@ -118,3 +118,50 @@ def test_previous_row_equals_lag(spark):
     for by in (["g"], []):
         got = windows.previous_row(df, by, "date", "key", "price", "p").withColumn("q", F.lag("price").over(Window.partitionBy(*by).orderBy("date", "key")))
         assert got.count() == df.count() and got.where("not (p <=> q)").count() == 0
+
+
+def test_kth_in_windows_equals_sorting():
+    from ledgerloom.operators.order_stats import kth_in_windows, medians_of_windows
+
+    r = np.random.default_rng(8)
+    for n, top in ((1, 1), (2, 9), (300, 5), (300, 10**9), (257, 1)):
+        value, weight = r.integers(0, top, n).astype(float) - top / 3, r.integers(0, 4, n)
+        begin = r.integers(0, n, 400)
+        end = np.minimum(n, begin + r.integers(1, n + 1, 400))
+        total = np.array([weight[b:e].sum() for b, e in zip(begin, end, strict=True)])
+        begin, end, total = begin[total > 0], end[total > 0], total[total > 0]
+        place = r.integers(0, total)
+        got = kth_in_windows(value, weight, begin, end, place)
+        want = [np.sort(np.repeat(value[b:e], weight[b:e]))[k] for b, e, k in zip(begin, end, place, strict=True)]
+        assert (got == want).all()
+        value[::3] = np.nan
+        got = medians_of_windows(value, begin, end, 2)
+        want = [np.nanmedian(value[b:e]) if (~np.isnan(value[b:e])).sum() >= 2 else np.nan for b, e in zip(begin, end, strict=True)]
+        np.testing.assert_allclose(got, want)
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_medians_of_many_ranges(spark, by):
+    """One group holds most rows and a value that is on every day; ranges of 40 counts, null groups, null and nan values."""
+    r = np.random.default_rng(11)
+    n = 1500
+    g = np.where(r.random(n) < 0.8, "hot", r.choice(["a", "b"], n)).astype(object)
+    g[::50] = None
+    price = np.round(r.gamma(2, 80, n), 1)
+    price[r.random(n) < 0.2] = 77.0
+    price[::41] = np.nan
+    pdf = pd.DataFrame({"g": g, "day": r.integers(0, 60, n), "price": price})
+    df = spark.createDataFrame([(None if x.g is None else str(x.g), int(x.day), None if x.price != x.price else float(x.price)) for x in pdf.itertuples()], "g string, d int, price double")
+    df = df.withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")))
+    frames = {"a": (10, "left", 3), "b": (25, "right", 1)}
+    got = windows.daily_medians(df, by, "date", "price", frames, task_rows=40).collect()
+    assert len(got) == len(pdf[by + ["day"]].drop_duplicates())
+    day0 = (pd.Timestamp("2020-01-01") - pd.Timestamp("1970-01-01")).days
+    for x in got:
+        own = pdf[pdf["g"].isna()] if by and x["_by0"] is None else pdf[pdf["g"] == x["_by0"]] if by else pdf
+        d = x["_day"] - day0
+        for name, lo, hi, least in (("a", d - 10, d - 1, 3), ("b", d - 24, d, 1)):
+            v = own[(own["day"] >= lo) & (own["day"] <= hi)]["price"].dropna()
+            assert x[name] == (pytest.approx(v.median()) if len(v) >= least else None)
+    plan = windows.daily_medians(df, by, "date", "price", frames, task_rows=40)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
