@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .marts import rare_pairs
-from .quantiles import medians, quantiles
+from .quantiles import largest_group, medians, quantiles
 
 
 def chi2_quantile(p: float, k: int) -> float:
@@ -33,10 +33,6 @@ def chi2_quantile(p: float, k: int) -> float:
     return (lo + hi) / 2
 
 
-def _medians(df: DataFrame, by: list[str], cols: list[str], prefix: str) -> DataFrame:
-    return medians(df, by, {f"{prefix}{c}": F.col(c) for c in cols})
-
-
 def _join(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
     """Null-safe join of group statistics; with no keys, of the one row."""
     if not by:
@@ -46,14 +42,19 @@ def _join(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
     return df.join(s, test).drop(*[f"_k_{b}" for b in by])
 
 
+def _scaled(work: DataFrame, by: list[str], cols: list[str], centre: dict[str, Column], prefix: str, most: int) -> DataFrame:
+    """work with 0.6745 * (x - centre) / MAD for each column; a MAD of 0 counts as 1e-9."""
+    dev = {c: F.abs(F.col(c).cast("double") - centre[c]) for c in cols}
+    work = _join(work, medians(work, by, {f"_mad_{c}": dev[c] for c in cols}, most), by)
+    z = {f"{prefix}{c}": 0.6745 * (F.col(c).cast("double") - centre[c]) / F.when(F.col(f"_mad_{c}") == 0, 1e-9).otherwise(F.col(f"_mad_{c}")) for c in cols}
+    return work.withColumns(z).drop(*[f"_mad_{c}" for c in cols])
+
+
 def modified_z(df: DataFrame, by: list[str], cols: list[str], prefix: str = "z_") -> DataFrame:
     """0.6745 * (x - median) / MAD for each column within the group; a MAD of 0 counts as 1e-9."""
-    work = _join(df, _medians(df, by, cols, "_med_"), by)
-    work = work.withColumns({f"_dev_{c}": F.abs(F.col(c).cast("double") - F.col(f"_med_{c}")) for c in cols})
-    mad = medians(work, by, {f"_mad_{c}": F.col(f"_dev_{c}") for c in cols})
-    work = _join(work, mad, by)
-    z = {f"{prefix}{c}": 0.6745 * (F.col(c).cast("double") - F.col(f"_med_{c}")) / F.when(F.col(f"_mad_{c}") == 0, 1e-9).otherwise(F.col(f"_mad_{c}")) for c in cols}
-    return work.withColumns(z).drop(*[f"{p}{c}" for c in cols for p in ("_med_", "_dev_", "_mad_")])
+    most = largest_group(df, by)
+    work = _join(df, medians(df, by, {f"_med_{c}": F.col(c) for c in cols}, most), by)
+    return _scaled(work, by, cols, {c: F.col(f"_med_{c}") for c in cols}, prefix, most).drop(*[f"_med_{c}" for c in cols])
 
 
 def iqr_bounds(df: DataFrame, by: list[str], col: str, k: float = 1.5) -> DataFrame:
@@ -64,12 +65,19 @@ def iqr_bounds(df: DataFrame, by: list[str], col: str, k: float = 1.5) -> DataFr
     return q.select(*by, (F.col("_q1") - k * width).alias("low"), (F.col("_q3") + k * width).alias("high"))
 
 
-def diag_mahalanobis(df: DataFrame, cols: list[str], p: float = 0.999, out: str = "maha") -> DataFrame:
+def diag_mahalanobis(df: DataFrame, cols: list[str], p: float = 0.999, out: str = "maha", of: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """Sum of squared robust deviations over the columns (nulls add nothing) and whether it is beyond the
-    chi-square quantile. A MAD of 0 counts as 1e-9."""
-    z = modified_z(df, [], cols, "_mz_")
-    total = sum((F.coalesce(F.pow(F.col(f"_mz_{c}") / 0.6745, 2), F.lit(0.0)) for c in cols), F.lit(0.0))
-    return z.withColumn(out, total).withColumn(f"{out}_flag", F.col(out) > chi2_quantile(p, max(1, len(cols)))).drop(*[f"_mz_{c}" for c in cols])
+    chi-square quantile. A MAD of 0 counts as 1e-9. of: where place and scale are taken, if that is
+    cheaper to read than df and has the same rows."""
+    base = df if of is None else of
+    rows = largest_group(base, []) if rows is None else rows
+    place = medians(base, [], {f"_mm_{c}": F.col(c) for c in cols}, rows)
+    dev = {c: F.abs(F.col(c).cast("double") - F.col(f"_mm_{c}")) for c in cols}
+    scale = medians(base.join(F.broadcast(place)), [], {f"_ms_{c}": dev[c] for c in cols}, rows)
+    far = {c: dev[c] / F.when(F.col(f"_ms_{c}") == 0, 1e-9).otherwise(F.col(f"_ms_{c}")) for c in cols}
+    total = sum((F.coalesce(F.pow(far[c], 2), F.lit(0.0)) for c in cols), F.lit(0.0))
+    work = df.join(F.broadcast(place)).join(F.broadcast(scale))  # one row each
+    return work.withColumn(out, total).withColumn(f"{out}_flag", F.col(out) > chi2_quantile(p, max(1, len(cols)))).drop(*[f"{x}{c}" for c in cols for x in ("_mm_", "_ms_")])
 
 
 @dataclass
@@ -93,10 +101,15 @@ def outlier_mask(df: DataFrame, bed: str, price: str, capital: str, cols: list[s
     """
     r = rules or OutlierRules()
     work = df.withColumns({"price_": F.log1p(F.col(price)), "capital_": F.log1p(F.col(capital))})
-    work = modified_z(work, [bed], ["price_", "capital_", *cols], "z_").drop("price_", "capital_")
+    own, c = ["price_", "capital_", *cols], F.col
+    rows = largest_group(df, [])  # bounds the groups of either kind
+    fence = {"_q1": (c(capital), 0.25), "_q3": (c(capital), 0.75)}  # in the same pass as the medians of a bed count
+    work = _join(work, quantiles(work, [bed], {f"_med_{x}": (c(x), 0.5) for x in own} | fence, most=rows), [bed])
+    work = _scaled(work, [bed], own, {x: c(f"_med_{x}") for x in own}, "z_", rows)
+    width = F.when(c("_q3") == c("_q1"), 1e-9).otherwise(c("_q3") - c("_q1"))
+    work = work.withColumn("_fence", c("_q3") + r.luxury_k * width).drop(*[f"_med_{x}" for x in own], "_q1", "_q3", "price_", "capital_")
     work = work.withColumnsRenamed({"z_price_": "z_price", "z_capital_": "z_capital"})
-    work = diag_mahalanobis(work, cols, r.mahal_p) if cols else work.withColumns({"maha": F.lit(0.0), "maha_flag": F.lit(False)})
-    work = _join(work, iqr_bounds(df, [bed], capital, r.luxury_k).select(bed, F.col("high").alias("_fence")), [bed])
+    work = diag_mahalanobis(work, cols, r.mahal_p, of=df, rows=rows) if cols else work.withColumns({"maha": F.lit(0.0), "maha_flag": F.lit(False)})
     limit = F.lit(r.main_z)
     for b, z in r.main_z_by_bed.items():
         limit = F.when(F.col(bed) == b, z).otherwise(limit)

@@ -14,9 +14,11 @@ from ledgerloom.operators import filters, joins, marts, metrics, quantiles, spli
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.mark.parametrize("direct", [0, 10**6])
 @pytest.mark.parametrize("by", [["g"], []])
-def test_quantiles_equal_numpy(spark, by):
-    """Brackets of a few values (accuracy 20), ties, nulls, a null group and a group without values."""
+def test_quantiles_equal_numpy(spark, by, direct, monkeypatch):
+    """Brackets of a few values (accuracy 20) or one aggregate, ties, nulls, a null group and a group without values."""
+    monkeypatch.setattr(quantiles, "MOST_DIRECT", direct)
     r = np.random.default_rng(3)
     rows = [(["a", "b", None][i % 3], None if i % 7 == 0 else float(r.integers(0, 400)) if i % 2 else 200.0) for i in range(1200)] + [("c", None)]
     df = spark.createDataFrame(rows, "g string, v double")
