@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import encode, filters, marts, metrics, outliers
+from ledgerloom.operators import encode, filters, gram, marts, metrics, outliers
 
 from .base import TX, TXL, query, rounded, table, tx
 
@@ -61,6 +61,13 @@ def a9(spark, sf):
     return rounded(marts.correlation_matrix(tx(spark, sf, True), _NUM), ["corr"], 6)
 
 
+@query("a9_pair_correlations", f"WITH {TXL} {_CORR}")
+def a9_pairs(spark, sf):
+    """The same by products of column blocks, for any number of columns."""
+    got = gram.pair_correlations(tx(spark, sf, True), _NUM)
+    return got.select(F.col("x").alias("a"), F.col("y").alias("b"), F.round("corr", 6).alias("corr"))
+
+
 @query("a10_encode_for_corr", f"WITH {TX} SELECT key, CASE WHEN bed > 3 THEN 1 ELSE 0 END AS big, (date - DATE '1970-01-01')::INTEGER AS date, CASE WHEN coalesce(property_type, 'MISSING') = 'MISSING' THEN 1 ELSE 0 END AS missing_type, CASE WHEN property_type = 'HOUSE' THEN 1 ELSE 0 END AS house, round(count(*) OVER (PARTITION BY suburb) / count(*) OVER ()::DOUBLE, 6) AS suburb_freq FROM tx")
 def a10(spark, sf):
     df = tx(spark, sf).select("key", (F.col("bed") > 3).alias("big"), "date", "property_type", "suburb")

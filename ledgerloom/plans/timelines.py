@@ -478,6 +478,13 @@ def l3(spark, sf):
     return model.cross_validate(t, splits.walk_forward_folds(t, "date", "key"), "key", _FEATURES, "price")
 
 
+@query("l3_ridge_folds")
+def l3_folds(spark, sf):
+    """All walk-forward folds by Gram matrices, in one pass over the rows."""
+    t = tx(spark, sf, True)
+    return model.cross_validate_ridge(t, splits.walk_forward_folds(t, "date", "key"), "key", _FEATURES, "price")
+
+
 @query("m8_adversarial_auc")
 def m8(spark, sf):
     t = tx(spark, sf, True)
