@@ -40,6 +40,8 @@ from .textblocks import raw, slices
 
 #: Counts in a block of a task's vector, and blocks that a step of the tree adds up.
 BLOCK, FAN = 1 << 15, 16
+#: Bytes that a task encodes or aligns at once.
+SLICE = 1 << 20
 #: The character that pieces have for a space.
 MARK = "▁"
 FIELDS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -149,7 +151,7 @@ def encode_both(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = _both(a, b)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 data, offs = _spaced(part.column("text"))
                 x, x_at = one.encode(data, offs)
                 y, y_at = two.encode(data, offs)
@@ -214,7 +216,7 @@ def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    return slices(batch, "a")
+    return slices(batch, "a", SLICE)
 
 
 class Alignment:
