@@ -45,7 +45,7 @@ def vwap(df: DataFrame, by: list[str], date: str, key: str, price: str, days: in
 
 
 #: Counts of one group's range of values that a task of rolling_medians is to hold.
-MEDIAN_ROWS = 20_000
+MEDIAN_ROWS = 200_000
 
 
 def _chunked_medians(df: DataFrame, by: list[str], date: str, key: str, value: str, frames: dict[str, tuple[int, str, int]]) -> DataFrame:
