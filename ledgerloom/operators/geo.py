@@ -110,13 +110,17 @@ def school_distances(df: DataFrame, high: str, primary: str, intermediate: str,
     return df.withColumns({"school_high_km": F.col(high), "school_primary_km": F.least(F.col(primary), F.col(intermediate)), "school_any_km": F.least(*raw)}).drop(*raw)
 
 
-def knn_comparables(queries: DataFrame, history: DataFrame, k: int, key: str, same: str = "bed", radius_km: float | None = None) -> DataFrame:
-    """(query_key, comp_key, distance_km, same_first, rank): k nearest with the same `same`, topped up from all."""
+def knn_comparables(queries: DataFrame, history: DataFrame, k: int, key: str, same: str = "bed", radius_km: float | None = None, but_itself: bool = False) -> DataFrame:
+    """(query_key, comp_key, distance_km, same_first, rank): k nearest with the same `same`, topped up from all.
+
+    but_itself: history holds the queries too, and a row of a query's own key is none of its comparables.
+    """
     points = history.select(F.col(key).alias("comp_key"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), same)
     asked = queries.select(F.col(key).alias("query_key"), "lat", "lon", same)
-    own = nearest(asked, points, k, "query_key", "comp_key", [same]).withColumn("same_first", F.lit(1)).drop(same)
+    others = lambda df: df.where(F.col("comp_key") != F.col("query_key")) if but_itself else df
+    own = others(nearest(asked, points, k + but_itself, "query_key", "comp_key", [same])).withColumn("same_first", F.lit(1)).drop(same)
     few = asked.join(own.groupBy("query_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= k), "query_key", "left_anti")
-    rest = nearest(few, points, k, "query_key", "comp_key").withColumn("same_first", F.lit(0))
+    rest = others(nearest(few, points, k + but_itself, "query_key", "comp_key")).withColumn("same_first", F.lit(0))
     rest = rest.join(own.select("query_key", "comp_key"), ["query_key", "comp_key"], "left_anti")
     both = own.unionByName(rest.select(*own.columns))
     # the top-up fills by distance what the same kind leaves open

@@ -272,7 +272,7 @@ def w15(spark, sf):
     return rounded(encode.apply_mean_encode(t, p, "suburb", "encoded").select("key", "encoded"), ["encoded"])
 
 
-_H = "h AS (SELECT * FROM tx WHERE key % 20 <> 0), q AS (SELECT * FROM tx WHERE key % 20 = 0)"
+_H = "h AS (SELECT * FROM tx), q AS (SELECT * FROM tx WHERE key % 20 = 0)"
 
 
 @query("w16_asof_mean_encode", f"""WITH {TX}, {_H},
@@ -285,7 +285,7 @@ SELECT z.key, round(coalesce(rs.v, rg.v), 4) AS mean_suburb, round(coalesce(rm.v
 FROM z ASOF LEFT JOIN rs ON z.suburb = rs.suburb AND z.date > rs.date ASOF LEFT JOIN rm ON z.suburb = rm.suburb AND z.mo = rm.mo AND z.date > rm.date ASOF LEFT JOIN rg ON z.date > rg.date ASOF LEFT JOIN rn ON z.mo = rn.mo AND z.date > rn.date""")
 def w16(spark, sf):
     t = tx(spark, sf).select("key", "suburb", "date", "price")
-    got = encode.asof_mean_encode(t.where("key % 20 = 0"), t.where("key % 20 != 0"), "date", "price", "suburb")
+    got = encode.asof_mean_encode(t.where("key % 20 = 0"), t, "date", "price", "suburb")
     return rounded(got.select("key", "mean_suburb", "mean_suburb_month"), ["mean_suburb", "mean_suburb_month"])
 
 
@@ -295,11 +295,11 @@ def w17(spark, sf):
     return rounded(got.select("key", "floor_ratio"), ["floor_ratio"], 6)
 
 
-@query("w17_asof_floor_ratio", f"""WITH {TXL}, h AS (SELECT * FROM tx WHERE key % 20 <> 0), q AS (SELECT * FROM tx WHERE key % 20 = 0),
+@query("w17_asof_floor_ratio", f"""WITH {TXL}, h AS (SELECT * FROM tx), q AS (SELECT * FROM tx WHERE key % 20 = 0),
 a AS (SELECT q.key, q.floor_size, median(h.floor_size) FILTER (h.date < q.date) AS m, median(h.floor_size) AS every FROM q LEFT JOIN h ON h.bed = q.bed GROUP BY 1, 2) SELECT key, round(coalesce(floor_size / nullif(coalesce(m, every), 0), 1), 6) AS floor_ratio FROM a""")
 def w17_asof(spark, sf):
     t = tx(spark, sf, True).select("key", "bed", "date", "floor_size")
-    got = encode.asof_floor_ratio(t.where("key % 20 = 0"), t.where("key % 20 != 0"), "floor_size", "bed", "date", "key")
+    got = encode.asof_floor_ratio(t.where("key % 20 = 0"), t, "floor_size", "bed", "date", "key")
     return rounded(got.select("key", "floor_ratio"), ["floor_ratio"], 6)
 
 

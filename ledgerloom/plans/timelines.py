@@ -130,10 +130,10 @@ def w6(spark, sf):
     return got.drop("suburb", "date", "price")
 
 
-@query("w6_batch_recency", f"WITH {TX}, u AS (SELECT key, suburb, date, CASE WHEN key % 20 <> 0 THEN price END AS p FROM tx), m AS (SELECT key, {', '.join(f'median(p) OVER (PARTITION BY suburb ORDER BY date RANGE BETWEEN INTERVAL {d} DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING) AS rec2_{d}' for d in (30, 90, 180, 365))} FROM u) SELECT key, {', '.join(f'round({n}, 4) AS {n}' for n in _W6)} FROM m WHERE key % 20 = 0")
+@query("w6_batch_recency", f"WITH {TX}, u AS (SELECT key, suburb, date, price AS p FROM tx), m AS (SELECT key, {', '.join(f'median(p) OVER (PARTITION BY suburb ORDER BY date RANGE BETWEEN INTERVAL {d} DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING) AS rec2_{d}' for d in (30, 90, 180, 365))} FROM u) SELECT key, {', '.join(f'round({n}, 4) AS {n}' for n in _W6)} FROM m WHERE key % 20 = 0")
 def w6b(spark, sf):
     t = tx(spark, sf).select("key", "suburb", "date", "price")
-    got = windows.batch_recency(t.where("key % 20 = 0"), t.where("key % 20 != 0"), ["suburb"], "date", "key", "price")
+    got = windows.batch_recency(t.where("key % 20 = 0"), t, ["suburb"], "date", "key", "price")
     return rounded(got.drop("suburb", "date"), list(_W6))
 
 
@@ -180,7 +180,7 @@ def w11(spark, sf):
     return rounded(windows.ema_daily(tx(spark, sf), "date", "price"), ["ema"])
 
 
-@query("w12_lookback_means", f"""WITH {TX}, h AS (SELECT bed, date, price FROM tx WHERE key % 20 <> 0), q AS (SELECT key, bed, date FROM tx WHERE key % 20 = 0),
+@query("w12_lookback_means", f"""WITH {TX}, h AS (SELECT bed, date, price FROM tx), q AS (SELECT key, bed, date FROM tx WHERE key % 20 = 0),
 a AS (SELECT q.key, avg(h.price) FILTER (h.bed = q.bed) AS own, avg(h.price) AS every,
   avg(h.price) FILTER (h.bed = q.bed AND h.date >= q.date - INTERVAL 3 MONTH) AS m3, count(h.price) FILTER (h.bed = q.bed AND h.date >= q.date - INTERVAL 3 MONTH) AS n3,
   avg(h.price) FILTER (h.bed = q.bed AND h.date >= q.date - INTERVAL 12 MONTH) AS m12, count(h.price) FILTER (h.bed = q.bed AND h.date >= q.date - INTERVAL 12 MONTH) AS n12,
@@ -191,25 +191,25 @@ SELECT key, round(CASE WHEN own IS NOT NULL THEN CASE WHEN n3 >= 5 THEN m3 ELSE
   round(CASE WHEN own IS NOT NULL THEN CASE WHEN n12 >= 20 THEN m12 ELSE own END ELSE CASE WHEN k12 >= 20 THEN e12 ELSE every END END, 4) AS vwap_12m FROM a""")
 def w12(spark, sf):
     t = tx(spark, sf).select("key", "bed", "date", "price")
-    got = windows.lookback_means(t.where("key % 20 = 0").drop("price"), t.where("key % 20 != 0"), "bed", "date", "price", "key")
+    got = windows.lookback_means(t.where("key % 20 = 0").drop("price"), t, "bed", "date", "price", "key")
     return rounded(got.select("key", "vwap_3m", "vwap_12m"), ["vwap_3m", "vwap_12m"])
 
 
-@query("w13_momentum_30d_12m", f"""WITH {TX}, d AS (SELECT date AS day, avg(price) AS mean FROM tx WHERE key % 20 <> 0 GROUP BY 1),
+@query("w13_momentum_30d_12m", f"""WITH {TX}, d AS (SELECT date AS day, avg(price) AS mean FROM tx GROUP BY 1),
 c AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d),
 s AS (SELECT day, avg(mean) OVER (ORDER BY day RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING) AS rm FROM c LEFT JOIN d USING (day)), k AS (SELECT * FROM s WHERE rm IS NOT NULL)
 SELECT q.key, CASE WHEN a.rm / nullif(b.rm, 0) IS NOT NULL THEN round(greatest(-1, least(1, a.rm / nullif(b.rm, 0) - 1)), 6) END AS momentum FROM (SELECT key, date, (date - 365)::DATE AS back FROM tx WHERE key % 20 = 0) q ASOF LEFT JOIN k a ON q.date > a.day ASOF LEFT JOIN k b ON q.back >= b.day""")
 def w13(spark, sf):
     t = tx(spark, sf).select("key", "date", "price")
-    got = windows.momentum_30d_12m(t.where("key % 20 = 0").drop("price"), t.where("key % 20 != 0"), "date", "price")
+    got = windows.momentum_30d_12m(t.where("key % 20 = 0").drop("price"), t, "date", "price")
     return rounded(got.select("key", "momentum"), ["momentum"], 6)
 
 
-@query("w13_group_momentum", f"""WITH {TX}, a AS (SELECT q.key, median(h.price) FILTER (h.date >= q.date - 30) AS m30, median(h.price) AS m12 FROM (SELECT * FROM tx WHERE key % 20 = 0) q LEFT JOIN (SELECT * FROM tx WHERE key % 20 <> 0) h ON h.suburb = q.suburb AND h.date < q.date AND h.date >= q.date - INTERVAL 12 MONTH GROUP BY 1)
+@query("w13_group_momentum", f"""WITH {TX}, a AS (SELECT q.key, median(h.price) FILTER (h.date >= q.date - 30) AS m30, median(h.price) AS m12 FROM (SELECT * FROM tx WHERE key % 20 = 0) q LEFT JOIN tx h ON h.suburb = q.suburb AND h.date < q.date AND h.date >= q.date - INTERVAL 12 MONTH GROUP BY 1)
 SELECT key, round(m30 / nullif(m12, 0), 6) AS momentum FROM a""")
 def w13_group(spark, sf):
     t = tx(spark, sf).select("key", "suburb", "date", "price")
-    got = windows.group_momentum(t.where("key % 20 = 0"), t.where("key % 20 != 0"), ["suburb"], "date", "key", "price")
+    got = windows.group_momentum(t.where("key % 20 = 0"), t, ["suburb"], "date", "key", "price")
     return rounded(got.select("key", "momentum"), ["momentum"], 6)
 
 
@@ -252,14 +252,14 @@ def j9(spark, sf):
     return rounded(got, ["school_high_km", "school_primary_km", "school_any_km"], 6)
 
 
-_COMPS = f"""q AS (SELECT key AS query_key, bed AS qbed, lat, lon FROM tx WHERE key % 20 = 0), h AS (SELECT key AS comp_key, bed, lat AS latitude, lon AS longitude, price AS comp_price FROM tx WHERE key % 20 <> 0),
-p AS (SELECT query_key, comp_key, qbed = bed AS same, {_KM} AS km FROM q, h), r AS (SELECT *, row_number() OVER (PARTITION BY query_key, same ORDER BY km, comp_key) AS n, row_number() OVER (PARTITION BY query_key ORDER BY km, comp_key) AS n_all, count(*) FILTER (same) OVER (PARTITION BY query_key) AS n_same FROM p),
+_COMPS = f"""q AS (SELECT key AS query_key, bed AS qbed, lat, lon FROM tx WHERE key % 20 = 0), h AS (SELECT key AS comp_key, bed, lat AS latitude, lon AS longitude, price AS comp_price FROM tx),
+p AS (SELECT query_key, comp_key, qbed = bed AS same, {_KM} AS km FROM q, h WHERE comp_key <> query_key), r AS (SELECT *, row_number() OVER (PARTITION BY query_key, same ORDER BY km, comp_key) AS n, row_number() OVER (PARTITION BY query_key ORDER BY km, comp_key) AS n_all, count(*) FILTER (same) OVER (PARTITION BY query_key) AS n_same FROM p),
 b AS (SELECT query_key, comp_key, same, km, row_number() OVER (PARTITION BY query_key ORDER BY km, comp_key) AS rank FROM r WHERE same AND n <= 5 OR n_same < 5 AND n_all <= 5), best AS (SELECT * FROM b WHERE rank <= 5)"""
 
 
 def _comps(spark, sf):
     t = tx(spark, sf).select("key", "bed", "lat", "lon", "price")
-    return t, geo.knn_comparables(t.where("key % 20 = 0"), t.where("key % 20 != 0"), 5, "key")
+    return t, geo.knn_comparables(t.where("key % 20 = 0"), t, 5, "key", but_itself=True)
 
 
 @query("j10_knn_comparables", f"WITH {TX}, {_COMPS} SELECT query_key, rank::INTEGER AS rank, comp_key, round(km, 6) AS distance_km FROM best")
