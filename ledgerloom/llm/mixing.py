@@ -6,17 +6,20 @@ rate * t * p to the domains' expected tokens. Nonnegative rates are fitted by pr
 squares so that the totals meet their targets: from rate 1, rate <- max(0, rate - p . u) with
 u = G^-1 (totals - targets), G = sum of t p p^T over the documents with a rate above 0. In the metric of
 token counts this is a gradient step, exact where no further rate is clipped. If such a step does not lower
-the squared miss it is taken back, and from then on G covers all documents, with which every step descends. An iteration is one aggregate of a few sums; the
-driver keeps one short vector for each iteration and no document's state. Steps go on until the totals meet the
-targets or the squared miss stops falling; Rates.met tells which, Rates.missed by how much, and
-fit_rates(strict=True) fails instead.
+the squared miss it is taken back, and from then on G covers all documents, with which every step descends, and steps
+carry momentum (Nesterov's, begun anew whenever the miss rises). An iteration is one aggregate of a few sums; the
+driver keeps one short vector for each iteration and no document's state. Each pass also gives a proof of how much has
+to be missed: no mix of the documents crosses the plane that the present miss defines, moved past the outermost
+document. Steps end when the totals meet the targets, when the miss is within 2 % of that least one, when it stops
+falling, or after `iterations` passes; Rates.met tells whether targets are met, Rates.out_of_reach whether they are
+proved to be beyond any rates, Rates.missed by how much they are missed, and fit_rates(strict=True) fails instead.
 
 The classifier is fitted on at most `most_labelled` labelled rows (those with the smallest hash of
 doc_id); everything else covers all rows.
 
 Nulls and edges: null text counts as empty, with 0 tokens: it gets a posterior and a rate but no
-weight. Labels that are null are not used; without labels, or with one class, every document is in
-that one domain. Repeated rows count each. Texts of any length are read whole. Extra columns stay, whatever
+weight. Labels that are not 0 or 1 are not used; without labels, or with one class, every document is in
+that one domain. Repeated rows count each; in draws, rows of one doc_id (null is one too) share their number. Texts of any length are read whole. Extra columns stay, whatever
 their names, but for tokens, posterior and rate, which are replaced. An empty table gives an empty result.
 """
 
@@ -64,7 +67,7 @@ def _names(docs: DataFrame) -> dict[str, str]:
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, names: dict[str, str], most_labelled: int = MOST_LABELLED) -> DataFrame:
     """Features and `_label` of at most most_labelled labelled documents, as a written table."""
-    known = labels.where("quality is not null and toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), (2 * F.col("quality") + F.col("toxic")).cast("double").alias("_label"))
+    known = labels.where("quality in (0, 1) and toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("_id"), (2 * F.col("quality") + F.col("toxic")).cast("double").alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most_labelled)
     rows = featured(docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")), names)
     return materialize(rows.select(names["words"], names["marks"], names["capitals"], names["distinct"], "_label"), "labelled")
@@ -101,96 +104,105 @@ def posteriors(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LAB
 
 @dataclass
 class Rates:
-    """Fitted steps: a document's rate follows from its posterior alone."""
+    """Fitted steps, each a vector u and a momentum: a document's rate follows from its posterior alone."""
 
-    steps: list[np.ndarray]
+    steps: list[tuple[np.ndarray, float]]
     totals: np.ndarray
     targets: np.ndarray
     met: bool = False
+    out_of_reach: bool = False
 
     @property
     def missed(self) -> float:
         """Sum of the totals' distances from their targets, as a share of all targets."""
         return float(np.abs(self.totals - self.targets).sum() / max(1.0, self.targets.sum()))
 
-    def rate(self, posterior: str = "posterior", start: Column | None = None, since: int = 0) -> Column:
-        """The rate after all steps as one small expression, whatever their number; start: after step `since`."""
-        start = F.lit(1.0) if start is None else start
-        if not self.steps[since:]:
-            return start
-        steps = F.array(*[F.array(*[F.lit(float(x)) for x in u]) for u in self.steps[since:]])
+    def rate(self, posterior: str = "posterior") -> Column:
+        """The rate after all steps as one small expression, whatever their number."""
+        if not self.steps:
+            return F.lit(1.0)
+        steps = F.array(*[F.array(*[F.lit(float(x)) for x in (*u, momentum)]) for u, momentum in self.steps])
         p = F.col(posterior)
 
-        def step(r: Column, u: Column) -> Column:
-            return F.greatest(F.lit(0.0), r - sum((p[i] * u[i] for i in range(len(DOMAINS))), F.lit(0.0)))
+        def step(s: Column, u: Column) -> Column:
+            return F.struct(_stepped(s["now"], s["before"], [p[i] for i in range(len(DOMAINS))], [u[i] for i in range(len(DOMAINS))], u[len(DOMAINS)]).alias("now"), s["now"].alias("before"))
 
-        return F.aggregate(steps, start, step)
+        return F.aggregate(steps, F.struct(F.lit(1.0).alias("now"), F.lit(1.0).alias("before")), step, lambda s: s["now"])
 
-    def unrolled(self, p: list[Column], start: Column, since: int) -> Column:
-        """rate() as one arithmetic expression, compiled: for the passes of the fit."""
-        r = start
-        for u in self.steps[since:]:
-            r = F.greatest(F.lit(0.0), r - sum((x * F.lit(float(v)) for x, v in zip(p, u, strict=True)), F.lit(0.0)))
-        return r
 
+def _stepped(now: Column, before: Column, p: list[Column], u: list[Column], momentum: Column) -> Column:
+    """The projected gradient step from the rate `now`, moved on by its last change."""
+    return F.greatest(F.lit(0.0), now + momentum * (now - before) - sum((x * v for x, v in zip(p, u, strict=True)), F.lit(0.0)))
 
-#: Steps after which the fit writes its rates, so that its expressions stay short.
+
+#: Steps after which the fit writes its rates, so that its plan stays short.
 WRITE_EVERY = 16
 
 
-def fit_rates(rows: DataFrame, factors: dict[str, float] | None = None, shares: dict[str, float] | None = None, iterations: int = 200, tolerance: float = 1e-4, strict: bool = False) -> Rates:
+def fit_rates(rows: DataFrame, factors: dict[str, float] | None = None, shares: dict[str, float] | None = None, iterations: int = 40, tolerance: float = 1e-4, strict: bool = False) -> Rates:
     """Rates for rows (tokens, posterior): totals meet shares of all tokens, or factors of the present totals.
 
-    Ends when the totals are within tolerance of the targets (met), or when three steps in a row lower the
-    squared miss by less than 0.5 %, as where a target is out of reach. strict makes that an error.
+    Ends when the totals are within tolerance of the targets (met), when the miss is proved to be within 2 % of the
+    least one, when three steps in a row lower the squared miss by less than 0.5 %, or after so many passes over the
+    rows as `iterations`. strict makes anything but met an error.
     """
     k = len(DOMAINS)
     p = [F.col("posterior")[i] for i in range(k)]
-    t = F.col("tokens").cast("double")
+    t, now = F.col("tokens").cast("double"), F.col("now")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def sums(rated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """(expected totals, gram over documents with a rate above 0)."""
-        w = F.when(F.col("rate") > 0, t)
-        row = [x or 0.0 for x in rated.agg(*[F.sum(F.col("rate") * t * x) for x in p], *[F.sum(w * p[i] * p[j]) for i, j in pairs]).first()]
+    def sums(rated: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """(expected totals, gram over documents with a rate above 0, largest p . w of a document with tokens)."""
+        some, along = F.when(now > 0, t), sum((x * F.lit(float(v)) for x, v in zip(p, w, strict=True)), F.lit(0.0))
+        *row, far = rated.agg(*[F.sum(now * t * x) for x in p], *[F.sum(some * p[i] * p[j]) for i, j in pairs], F.max(F.when(t > 0, along))).first()
+        row = [x or 0.0 for x in row]
         gram = np.zeros((k, k))
         for (i, j), x in zip(pairs, row[k:], strict=True):
             gram[i, j] = gram[j, i] = x
-        return np.array(row[:k]), gram
+        return np.array(row[:k]), gram, far or 0.0
 
-    work, start, since, path = rows.select("tokens", "posterior"), F.lit(1.0), 0, None
-    present, gram = sums(work.withColumn("rate", start))
+    work, path = rows.select("tokens", "posterior", F.lit(1.0).alias("now"), F.lit(1.0).alias("before")), None
+    present, whole, _ = sums(work, np.zeros(k))
     if shares is not None:
         targets = np.where(present > 0, np.array([shares.get(d, 0.0) for d in DOMAINS]) * present.sum(), 0.0)
     else:
         targets = np.array([(factors or {}).get(d, 1.0) for d in DOMAINS]) * present
     invert = lambda g: np.linalg.pinv(g, rcond=1e-10, hermitian=True) if g.any() else g
-    metric = invert(gram)
+    metric = invert(whole)
+    seen = whole @ metric @ targets
     squared = lambda totals: float((totals - targets) @ metric @ (totals - targets))
-    got, sure, slow, best = Rates([], present, targets), False, 0, squared(present)
+    got, sure, slow, best, least = Rates([], present, targets), False, 0, squared(present), 0.0
+    gram, last, speed, since = whole, present, 1.0, 0
     for _ in range(iterations):
-        if got.missed <= tolerance or slow == 3:
+        if got.missed <= tolerance or slow == 3 or (least > 0 and best**0.5 <= 1.02 * least):
             break
-        got.steps.append((metric if sure else invert(gram)) @ (got.totals - targets))
-        rated = work.select("tokens", "posterior", got.unrolled(p, start, since).alias("rate"))
-        totals, active = sums(rated)
-        now = squared(totals)
-        if now > best and not sure:
-            got.steps.pop()
-            sure = True
+        next_speed = (1 + (1 + 4 * speed * speed) ** 0.5) / 2 if sure else 1.0
+        momentum = (speed - 1) / next_speed if sure else 0.0
+        u = (metric if sure else invert(gram)) @ (got.totals + momentum * (got.totals - last) - targets)
+        rated = work.select("tokens", "posterior", _stepped(now, F.col("before"), p, [F.lit(float(x)) for x in u], F.lit(float(momentum))).alias("now"), now.alias("before"))
+        against = -metric @ (got.totals - targets)
+        totals, active, far = sums(rated, against)
+        plane = against - max(far, 0.0)
+        if (size := float(plane @ whole @ plane)) > 0:
+            least = max(least, float(plane @ seen) / size**0.5)
+        miss = squared(totals)
+        if miss > best and (momentum or not sure):
+            sure, speed = True, 1.0
             continue
-        slow = slow + 1 if now > 0.995 * best else 0
-        got.totals, gram, best = totals, active, now
-        if len(got.steps) - since == WRITE_EVERY:
-            work, new = stored(rated, "rates")
+        slow = slow + 1 if miss > 0.995 * best else 0
+        got.steps.append((u, momentum))
+        work, last, got.totals, gram, best, speed, since = rated, got.totals, totals, active, miss, next_speed, since + 1
+        if since == WRITE_EVERY:
+            work, new = stored(work, "rates")
             if path:
                 discard(rows.sparkSession, path)
-            start, since, path = F.col("rate"), len(got.steps), new
+            since, path = 0, new
     if path:
         discard(rows.sparkSession, path)
     got.met = got.missed <= tolerance
+    got.out_of_reach = not got.met and least > 1e-6 * max(1e-300, float(targets @ metric @ targets)) ** 0.5
     if strict and not got.met:
-        raise ValueError(f"the targets are missed by {got.missed:.2%} of their sum")
+        raise ValueError(f"the targets are missed by {got.missed:.2%} of their sum" + (", and no rates meet them" if got.out_of_reach else ""))
     return got
 
 
