@@ -7,7 +7,7 @@ Line rules, all by a line's form, so that they hold in any language but for the
 * punctuation: marks such as ### or !! end 30 % of its words or more, or more than 10 % of its
   characters are symbols of ``[#*$%&|<>]``;
 * navigation: 20 % of its words or more are bare separators, or it stands in a run of `RUN_LINES` lines
-  or more of at most `SHORT_WORDS` words that end without punctuation, as menus do;
+  or more of at most `SHORT_WORDS` words that end without punctuation (Unicode's, of any script), as menus do;
 * boilerplate: it repeats an earlier line of its text of `REPEAT_WORDS` words or more, or it holds a
   notice of rights, licence, terms or consent (`NOTICES`: English, German, French, Spanish) for each
   `NOTICE_WORDS` of its words. A longer line that mentions one is text.
@@ -32,8 +32,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Runs of marks at the end of a word.
 MARKED = r"[#*$%&<>|~^=_!?]{2,}(?![^\x20\x09-\x0D])"
 SEPARATOR = r"(?<![^\x20\x09-\x0D])[|>»•·/](?![^\x20\x09-\x0D])"
-#: A line that ends without punctuation.
-OPEN_END = r"[^\x20\x09-\x0D.!?:;,…»\"')\]][\x20\x09-\x0D]*$"
+#: A line that ends without punctuation of any script.
+OPEN_END = r"[^\x20\x09-\x0D\p{P}][\x20\x09-\x0D]*$"
 RUN_LINES, SHORT_WORDS, REPEAT_WORDS = 3, 4, 4
 #: Words of a notice by language; the first entry needs no language.
 NOTICES = {
