@@ -7,16 +7,16 @@ as days that a month lacks, it walks along its cycle until the value is valid. E
 pseudonyms in every document and different ones of one format stay different, so with the key the map
 can be undone (reidentify).
 
-A run of digit groups that isn't a card as a whole (a card beside its CVV, expiry or another number) is
-searched for a card at its groups' borders; only that part is replaced (card_inside). Its place in the
-run may be read otherwise after the permutation, so this kind alone may not be undone.
+A run of digit groups that isn't a card as a whole (cards beside a CVV, an expiry or other numbers), however
+long, is searched for cards at its groups' borders; only those parts are replaced (cards_inside). Their place in
+the run may be read otherwise after the permutation, so this kind alone may not be undone.
 
 Kinds: e-mail (letters and digits of the local part are permuted, the domain stays), IPv4, IBAN (country
 stays, the check digits are set anew), card numbers (the check digit is set anew), national ids
 ddd-dd-dddd by their number plan, phone numbers (the country code stays), dates yyyy-mm-dd, dd/mm/yyyy and
 mm/dd/yyyy of 1700-2099. A slashed date keeps the number of digits of each part, and its reading: day
-first if that is a date, else month first, which only days above 12 are. A run of 20 digits or more is no
-number of these kinds.
+first if that is a date, else month first, which only days above 12 are. A run of 20 digits or more without a
+separator is no number of these kinds.
 
 Nulls and edges: null text stays null, texts without a candidate are not touched, an empty table gives an
 empty one. Whole texts are searched, however long; repeated rows are treated alike; extra columns stay,
@@ -41,7 +41,9 @@ PHONE = rf"(?<![A-Za-z0-9+])(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{3}}\) ?|[0-9]{{
 INTERNATIONAL = rf"(?<![A-Za-z0-9+])\+[1-9][0-9]{{0,2}}(?:[ -]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})){{2,5}}{_R}"
 IBAN = rf"{_L}[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?){_R}"
 CARD = rf"{_L}[0-9](?:[ -]?[0-9]){{12,18}}{_R}"
-ANY = "|".join((EMAIL, IBAN, IPV4, ISO, SLASHED, NATIONAL, PHONE, INTERNATIONAL, CARD))
+#: A run of groups of 20 digits or more up to where a date, national id or phone begins.
+RUN = rf"{_L}[0-9](?:[0-9]|[ -](?!{ISO}|{NATIONAL}|{PHONE})[0-9]){{19,}}+{_R}"
+ANY = "|".join((EMAIL, IBAN, IPV4, ISO, SLASHED, NATIONAL, PHONE, INTERNATIONAL, RUN, CARD))
 #: Years of dates, and steps of a walk over dates: one in 30 or fewer of a form's days is none, so 24 steps are never used up.
 _YEAR_0, _YEARS, _WALK = 1700, 400, 24
 
@@ -219,33 +221,46 @@ def _luhn(digits: Column) -> Column:
     return luhn_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)).cast("string") == F.substring(digits, F.length(digits), F.lit(1))
 
 
-def card_inside(m: Column, key: str, inverse: bool = False) -> Column:
-    """m with the card inside a longer run of digit groups replaced, null if there is none.
+def cards_inside(m: Column, key: str, inverse: bool = False) -> Column:
+    """m with the cards inside a run of digit groups replaced, null if there are none.
 
-    Tried are runs of whole groups, 13 to 19 digits that pass Luhn: written forms first, then others of
-    groups of three digits or more; the longest and leftmost of a kind wins.
+    Tried are runs of whole groups, 13 to 19 digits that pass Luhn: those of a likelier written form first, then
+    others of groups of three digits or more, from the left, the longest first; none overlaps one taken before.
+    The work grows with the number of groups times 19.
     """
 
-    def within(parts: Column) -> Column:
-        n = F.size(parts)
-        starts = F.transform(parts, lambda x, i: i + 1 + F.length(F.array_join(F.slice(parts, F.lit(1), i), "")))
-        at = lambda i, j: F.substring(m, F.get(starts, i), F.get(starts, j) + F.length(F.get(parts, j)) - F.get(starts, i))
-
-        def rate(i: Column, s: Column) -> Column:
+    def found(groups: Column) -> Column:
+        def rate(s: Column, i: Column, n: Column) -> Column:
             d = _only(s, "0-9")
             form = F.when(s.rlike(_CARD_FORMS[0]), 0).when(s.rlike(_CARD_FORMS[1]), 1).when(~s.rlike(r"(?<![0-9])[0-9]{1,2}(?![0-9])"), 2)
             good = F.when(F.length(d).between(13, 19), F.when(form.isNotNull(), F.when(_luhn(d), form)))
-            return F.struct(good.alias("form"), (-F.length(d)).alias("size"), F.get(starts, i).alias("start"), s.alias("s"))
+            return F.struct(good.alias("form"), i.alias("at"), (-n).alias("size"), s.alias("s"))
 
-        runs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i, n - 1), lambda j: bind(at(i, j), lambda s: rate(i, s)))))
-        return F.array_min(F.filter(runs, lambda x: x["form"].isNotNull()))
+        at = lambda i, n: F.regexp_replace(F.array_join(F.slice(groups, i + 1, n), ""), "[ -]$", "")
+        counts = lambda i: F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i))
+        rated = F.flatten(F.transform(groups, lambda _, i: F.filter(F.transform(counts(i), lambda n: bind(at(i, n), lambda s: rate(s, i, n))), lambda x: x["form"].isNotNull())))
+        end = lambda x: x["at"] - x["size"]
 
-    def put(x: Column) -> Column:
-        d = _only(x["s"], "0-9")
-        new = bind(_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, F.lit("card"), inverse), lambda b: _refill(x["s"], F.concat(b, luhn_digit(b).cast("string")), "0-9"))
-        return F.when(x.isNotNull(), F.concat(F.substring(m, F.lit(1), x["start"] - 1), new, F.substring(m, x["start"] + F.length(x["s"]), F.length(m))))
+        def free(taken: Column, x: Column) -> Column:
+            return ~F.exists(taken, lambda y: (y["at"] < end(x)) & (end(y) > x["at"]))
+
+        def take(taken: Column, x: Column) -> Column:
+            return F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken)
+
+        none = F.filter(rated, lambda x: F.lit(False))
+        return F.array_sort(F.transform(F.aggregate(F.array_sort(rated), none, take), lambda x: F.struct(x["at"].alias("at"), end(x).alias("end"), x["s"].alias("s"))))
+
+    def replaced(s: Column) -> Column:
+        d = _only(s, "0-9")
+        return bind(_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, F.lit("card"), inverse), lambda b: _refill(s, F.concat(b, luhn_digit(b).cast("string")), "0-9"))
+
+    def put(groups: Column, taken: Column) -> Column:
+        between = lambda i, j: F.array_join(F.slice(groups, i + 1, F.greatest(j - i, F.lit(0))), "")
+        gap = lambda x: F.regexp_extract(F.get(groups, x["end"] - 1), "[ -]?$", 0)
+        parts = F.transform(taken, lambda x, i: F.concat(between(F.coalesce(F.get(taken, i - 1)["end"], F.lit(0)), x["at"]), replaced(x["s"]), gap(x)))
+        return F.when(F.size(taken) > 0, F.concat(F.array_join(parts, ""), between(F.element_at(taken, -1)["end"], F.size(groups))))
 
-    return bind(bind(F.split(m, "[ -]"), within), put)
+    return bind(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), 0), lambda groups: bind(found(groups), lambda taken: put(groups, taken)))
 
 
 def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
@@ -282,7 +297,7 @@ def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
         .when(m.rlike(full(PHONE)), phone)
         .when(m.rlike(full(INTERNATIONAL)), _international(m, digits, key, inverse))
         .when(m.rlike(full(CARD)) & _luhn(digits), card)
-        .when(m.rlike(full(CARD)), card_inside(m, key, inverse))
+        .when(m.rlike(full(CARD)) | m.rlike(full(RUN)), cards_inside(m, key, inverse))
     )
 
 

@@ -99,6 +99,28 @@ def test_pseudonyms_are_undone(spark):
     assert pii.pseudonymize(df.where("false"), "key").count() == 0
 
 
+def luhn(digits):
+    return sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_cards_in_long_runs(spark):
+    card, other = "4111 1111 1111 1111", "378282246310005"
+    cases = {
+        f"9999 1234 {card}": [card], f"12 34 56 78 {card}": [card], f"ref 2024 0101 {card}": [card], f"{card} 123 12/26 and more": [card],
+        f"7 {card} 12 {other} 2020-02-29 55": [card, other, "2020-02-29"], f"1-2-3 {card}-{card.replace(' ', '-')} 5": [card], "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16": [], "12345678901234567890123": [],
+        "11 22 33 44 55 66 77 88 99 11 555 123 4567": ["555 123 4567"],
+    }
+    got = {r["doc_id"]: r for r in pii.pseudonymize(frame(spark, list(cases)), "k").collect()}
+    for i, (text, values) in enumerate(cases.items()):
+        new = got[i]["text"]
+        assert not [v for v in values if v in new], (text, new)
+        assert len(new) == len(text) and (values or new == text) and [c if not c.isdigit() else "0" for c in new] == [c if not c.isdigit() else "0" for c in text], (text, new)
+    assert got[4]["n_replaced"] == 2 and luhn(got[0]["text"][10:].replace(" ", "")) and got[0]["text"].startswith("9999 1234 ")
+    long = "17 " * 20000 + card + " 5" * 20000
+    new = pii.pseudonymize(frame(spark, [long]), "k").first()["text"]
+    assert card not in new and new[:60000] == long[:60000] and new[60019:] == long[60019:]
+
+
 @pytest.mark.parametrize("form", ["d/M/yyyy", "MM/dd/yyyy", "dd/M/yyyy", "yyyy-MM-dd"])
 def test_dates_stay_dates_of_their_form(spark, form):
     days = spark.range(0, 146097, 11).select(F.date_format(F.expr("date_add(date'1700-01-01', cast(id as int))"), form).alias("t")).distinct()
@@ -227,3 +249,6 @@ def test_quality_by_form(spark):
     texts = [f"{menu}\n{prose}", f"{prose}\nAlle Rechte vorbehalten.\nThis line stands here twice.\nThis line stands here twice.", f"Start\n{prose}\nKontakt"]
     got = {r["doc_id"]: r["text"] for r in quality.clean(frame(spark, texts).withColumn("verdict", F.lit("v"))).collect()}
     assert got == {0: prose, 1: f"{prose}\nThis line stands here twice.", 2: texts[2]}
+    # a number in each word, so that no three words stand twice
+    scripts = ["\n".join(line.replace("~", str(i)) for i in range(60)) for line in ("这是~一个完整的句子，说的是天气。", "यह~ एक~ वाक्य~ है~।", "هل~ هذه~ جملة~ كاملة~؟", "文章は~ここで終わります！", "Ça~ va~ bien~ ?")]
+    assert {r["doc_id"]: r["text"] for r in quality.clean(frame(spark, scripts), least_words=1).collect()} == dict(enumerate(scripts))
