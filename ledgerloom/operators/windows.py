@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -232,24 +233,59 @@ def combined_daily_vwap(df: DataFrame, date: str, price: str, groups: Column, sh
     return work.select("day", (F.col("s") / F.col("n")).alias("mean"), F.lag("_a").over(w).alias("vwap_short"), F.lag("_b").over(w).alias("vwap_long"))
 
 
+def _least_factor(span: int) -> int:
+    """Days of a block: its decay stays above a millionth, so that quotients by it keep their digits."""
+    keep = 1 - 2 / (span + 1)
+    return max(1, int(math.log(1e6) / -math.log(keep))) if keep > 0 else 1
+
+
+def _carried(blocks: DataFrame, g: list[str]) -> DataFrame:
+    """_e_in, the mean that enters each block: the blocks' maps e -> a e + b in order. A group's list has one item for
+    each block of the calendar, and one fold walks it."""
+    listed = blocks.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("_b", "_a", "_add"))).alias("_all"))
+    start = F.struct(F.lit(0.0).alias("e"), F.array().cast("array<struct<_b:bigint,_e_in:double>>").alias("seen"))
+    step = lambda s, x: F.struct((s["e"] * x["_a"] + x["_add"]).alias("e"), F.array_append(s["seen"], F.struct(x["_b"].alias("_b"), s["e"].alias("_e_in"))).alias("seen"))
+    return listed.select(*g, F.explode(F.aggregate("_all", start, step, lambda s: s["seen"])).alias("_x")).select(*g, "_x.*")
+
+
 def ema_daily(df: DataFrame, date: str, col: str, span: int = 365, min_periods: int = 30, by: list[str] = ()) -> DataFrame:
     """Exponential mean (adjust=False) of the daily mean over all calendar days; days without rows carry
-    the mean on. A recursion, so a group's days run in one task: one number a day."""
-    daily = df.where(F.col(date).isNotNull()).groupBy(*by, F.col(date).cast("date").alias("day")).agg(F.avg(col).alias("mean"))
-    types = dict(daily.dtypes)
+    the mean on, and weaken its weight. Null groups are one group; days before min_periods means are null.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf.set_index(pd.to_datetime(pdf["day"]))["mean"].sort_index().asfreq("D")
-        e = s.ewm(span=span, adjust=False, min_periods=min_periods).mean()
-        out = pd.DataFrame({"day": e.index.date, "ema": e.to_numpy()})
-        for b in by:
-            out[b] = pdf[b].iloc[0]
-        return out[[*by, "day", "ema"]]
-
-    schema = ", ".join(f"{b} {types[b]}" for b in by) + (", " if by else "") + "day date, ema double"
-    grouped = daily.groupBy(*by) if by else daily.withColumn("_all", F.lit(0)).groupBy("_all")
-    got = grouped.applyInPandas(run, schema)
-    return got.withColumn("ema", F.when(~F.isnan("ema"), F.col("ema")))
+    Each day's mean is a map e -> a e + b of the mean before. Maps compose, so days are cut into blocks of the
+    calendar, short enough for a running product of the factors a: inside a block a mean is that product times
+    (the mean that enters + the sum of b over the product so far); blocks pass their composed map on. No task
+    needs all days of a group.
+    """
+    if span < 1:
+        raise ValueError("span has to be 1 or more")
+    size, rate = _least_factor(span), 2 / (span + 1)
+    g = [f"_by{i}" for i in range(len(by))]
+    daily = df.where(F.col(date).isNotNull()).groupBy(*[F.col(c).alias(n) for c, n in zip(by, g, strict=True)], day_number(date).alias("_day")).agg(F.avg(col).cast("double").alias("_x"))
+    daily = daily.select(*g, "_day", F.floor(F.col("_day") / size).cast("long").alias("_b"), F.when(~F.isnan("_x"), F.col("_x")).alias("_x"))
+    daily = cut(daily)  # one row for each group and day, read for the blocks and for their days
+    met = F.when(F.col("_x").isNotNull(), F.col("_day"))
+    ends = daily.groupBy(*g, "_b").agg(F.min("_day").alias("_from"), F.max(met).alias("_to"), F.count("_x").alias("_n"))
+    over_blocks = Window.partitionBy(*g).orderBy("_b")
+    before = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(c).alias(f"{c}_") for c in g], F.col("_b").alias("_bb"), F.max("_to").over(before).alias("_last"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_had"), F.lead("_from").over(over_blocks).alias("_next"))
+    same = lambda d: reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in g], F.col(d) == F.col("_bb"))
+    inside = Window.partitionBy(*g, "_b").orderBy("_day")
+    upto, earlier = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow), inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = daily.join(ends, same("_b")).withColumns({"_own": F.max(met).over(earlier), "_k": F.count("_x").over(upto) + F.col("_had"), "_until": F.coalesce(F.lead("_day").over(inside), "_next")})
+    fade = F.coalesce(F.pow(F.lit(1 - rate), F.col("_day") - F.coalesce("_own", "_last")), F.lit(0.0))
+    rows = rows.withColumn("_f", F.when(met.isNotNull(), fade)).withColumns({"_factor": F.col("_f") / (F.col("_f") + rate), "_b0": F.col("_x") * rate / (F.col("_f") + rate)})
+    enters = F.max(F.when(F.col("_own").isNull(), F.col("_factor"))).over(upto)  # the block's first mean meets the one that enters; it may be 0
+    rows = rows.withColumns({"_enter": F.coalesce(enters, F.lit(1.0)), "_p": F.exp(F.coalesce(F.sum(F.when(F.col("_own").isNotNull(), F.ln("_factor"))).over(upto), F.lit(0.0)))})
+    rows = rows.withColumn("_s", F.coalesce(F.sum(F.col("_b0") / F.col("_p")).over(upto), F.lit(0.0)))
+    rows = rows.drop("_bb", *[f"{c}_" for c in g])
+    last = rows.groupBy(*g, "_b").agg(F.max_by(F.struct((F.col("_p") * F.col("_enter")).alias("a"), (F.col("_p") * F.col("_s")).alias("add")), "_day").alias("_m"))
+    carried = _carried(last.select(*g, "_b", F.col("_m.a").alias("_a"), F.col("_m.add").alias("_add")), g)
+    carried = carried.select(*[F.col(c).alias(f"{c}_") for c in g], F.col("_b").alias("_bb"), "_e_in")
+    value = F.col("_p") * (F.col("_enter") * F.col("_e_in") + F.col("_s"))
+    rows = rows.join(carried, same("_b")).withColumn("ema", F.when(F.col("_k") >= max(1, min_periods), value))
+    day = F.explode(F.sequence(F.col("_day"), F.coalesce(F.col("_until") - 1, F.col("_day")))).alias("_on")
+    return rows.select(*[F.col(n).alias(c) for c, n in zip(by, g, strict=True)], day, "ema").select(*by, F.date_from_unix_date("_on").alias("day"), "ema")
 
 
 def _prior(daily: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:

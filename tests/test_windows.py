@@ -74,6 +74,24 @@ def test_ema_equals_pandas(spark):
     np.testing.assert_allclose(got["ema"].to_numpy(float), s.to_numpy())
 
 
+@pytest.mark.parametrize("span,least", [(1, 1), (2, 3), (9, 1), (30, 5)])
+def test_ema_across_blocks_and_groups_equals_pandas(spark, span, least):
+    """Days span many blocks; gaps longer than a block, days without a value first, between and last, a null group."""
+    r = np.random.default_rng(span)
+    rows = [(g, int(d), float(np.round(r.uniform(-50, 900), 2))) for g in ("a", "b", None) for d in np.sort(r.choice(900, 60, replace=False))]
+    rows += [("a", d, 5.0) for d in range(4_000, 4_040)] + [("c", 7, None), ("c", 9, 4.0), ("c", 400, None), ("d", 3, None)]
+    df = spark.createDataFrame(rows, "g string, t int, price double").withColumn("date", F.date_add(F.to_date(F.lit("2001-01-01")), F.col("t"))).drop("t")
+    got = windows.ema_daily(df, "date", "price", span, least, ["g"]).toPandas()
+    pdf = pd.DataFrame(rows, columns=["g", "t", "price"])
+    assert len(windows.ema_daily(df.limit(0), "date", "price", span, least, ["g"]).collect()) == 0
+    for g, x in pdf.groupby("g", dropna=False):
+        mine = got[got["g"].isna() if pd.isna(g) else got["g"] == g].sort_values("day")
+        daily = x.groupby("t")["price"].mean()
+        want = daily.reindex(range(daily.index.min(), daily.index.max() + 1)).ewm(span=span, adjust=False, min_periods=least).mean()
+        assert list(pd.to_datetime(mine["day"])) == list(pd.Timestamp("2001-01-01") + pd.to_timedelta(want.index, "D"))
+        np.testing.assert_allclose(mine["ema"].to_numpy(float), want.to_numpy(float), rtol=1e-9)
+
+
 def test_asof_join_keeps_null_of_latest(spark):
     left = spark.createDataFrame([("a", 5), ("a", 2), ("b", 9)], "g string, t int").withColumn("d", F.date_add(F.to_date(F.lit("2020-01-01")), F.col("t")))
     right = spark.createDataFrame([("a", 1, 7.0), ("a", 5, None)], "g string, t int, v double").select("g", F.date_add(F.to_date(F.lit("2020-01-01")), F.col("t")).alias("d"), "v")
