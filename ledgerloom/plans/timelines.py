@@ -355,6 +355,27 @@ def v9(spark, sf):
     return splits.purge_groups(folds, t, "owner", "key")
 
 
+def _purged_masks(spark, sf):
+    t = tx(spark, sf).select("key", "owner", "date")
+    specs = splits.walk_forward_specs(t, "date")
+    return splits.purge_masks(splits.fold_masks(t, "date", specs), "owner"), [s[0] for s in specs]
+
+
+_PURGED = f"{_FOLD}, purged AS (SELECT fold, key, owner, date, role FROM folds a WHERE role = 'val' OR NOT EXISTS (SELECT 1 FROM folds b WHERE b.fold = a.fold AND b.role = 'val' AND b.owner = a.owner))"
+
+
+@query("v9_purge_masks", f"{_PURGED} SELECT fold, key, role FROM purged")
+def v9_masks(spark, sf):
+    masked, folds = _purged_masks(spark, sf)
+    return splits.mask_roles(masked, "key", folds)
+
+
+@query("v11_check_masks", f"{_PURGED}, n AS (SELECT fold, count(*) FILTER (role = 'train')::BIGINT AS n_train, count(*) FILTER (role = 'val')::BIGINT AS n_val FROM purged GROUP BY 1), g AS (SELECT fold, count(*) FILTER (k > 1) AS shared_groups FROM (SELECT fold, owner, count(DISTINCT role) AS k FROM purged GROUP BY 1, 2) GROUP BY 1), sm AS (SELECT fold, count(*) FILTER (k > 1) AS shared_months FROM (SELECT fold, year(date) * 12 + month(date) AS ym, count(DISTINCT role) AS k FROM purged GROUP BY 1, 2) GROUP BY 1) SELECT fold, n_train, n_val, shared_months, shared_groups, shared_months = 0 AND shared_groups = 0 AND n_val >= 1 AS ok FROM n JOIN g USING (fold) JOIN sm USING (fold)")
+def v11_masks(spark, sf):
+    masked, folds = _purged_masks(spark, sf)
+    return splits.check_masks(masked, "date", "owner", folds)
+
+
 @query("v10_inferred_gap", f"{_SPLIT} SELECT (min(year(date) * 12 + month(date)) FILTER (split IN ('early', 'test')) - max(year(date) * 12 + month(date)) FILTER (split = 'train') - 1)::INTEGER AS gap_months FROM sp")
 def v10(spark, sf):
     return splits.inferred_gap(splits.split_by_months(tx(spark, sf), "date"), "date")

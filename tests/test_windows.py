@@ -27,6 +27,44 @@ def test_vwap_equals_pandas(spark):
     np.testing.assert_allclose(got.to_numpy(float), pd.concat(want).sort_index().to_numpy(), rtol=1e-9)
 
 
+def test_fold_masks_equal_brute_force(spark):
+    """A hot group, null groups and dates, folds that share months and groups; both forms of purge and check agree."""
+    r = np.random.default_rng(8)
+    day = [None if x < 6 else int(x) for x in r.integers(0, 900, 400)]
+    rows = [(i, None if i % 17 == 0 else ("hot" if i % 3 == 0 else f"g{int(r.integers(0, 90))}"), d) for i, d in enumerate(day)]
+    df = spark.createDataFrame(rows, "key int, g string, t int").withColumn("date", F.expr("date_add(date '2020-01-15', t)"))
+    month = {x["key"]: x["m"] for x in df.select("key", splits.month_label(F.col("date")).alias("m")).collect()}
+    first = min(m for m in month.values() if m is not None)
+    specs = [(0, first, first + 3, first + 5, first + 6), (1, first, first + 9, first + 8, first + 9), (62, first, first + 11, first + 11, first + 14)]
+    plain = {(n, k): "val" if v0 <= m <= v1 else "train" for n, t0, t1, v0, v1 in specs for k, m in month.items() if m is not None and (v0 <= m <= v1 or t0 <= m <= t1)}
+    group = {k: g for k, g, _ in rows}
+    held = {(n, group[k]) for (n, k), role in plain.items() if role == "val" and group[k] is not None}
+    want = {k: role for k, role in plain.items() if role == "val" or (k[0], group[k[1]]) not in held}
+    masked = splits.fold_masks(df, "date", specs)
+    read = lambda x: {(y["fold"], y["key"]): y["role"] for y in x.collect()}
+    folds = splits.mask_roles(masked, "key", [0, 1, 62])
+    assert read(folds) == plain and folds.count() == len(plain)
+    purged = splits.purge_masks(masked, "g")
+    assert read(splits.mask_roles(purged, "key", [0, 1, 62])) == want == read(splits.purge_groups(folds, df, "g", "key"))
+    for masks, roles in ((masked, plain), (purged, want)):
+        shared = lambda n, of: len({of[k] for (f, k), role in roles.items() if f == n and role == "val"} & {of[k] for (f, k), role in roles.items() if f == n and role == "train"})  # noqa: B023, E731
+        expect = [(n, *[sum(f == n and role == x for (f, _), role in roles.items()) for x in ("train", "val")], shared(n, month), shared(n, group)) for n in (0, 1, 62)]
+        for got in (splits.check_masks(masks, "date", "g", [0, 1, 62]), splits.check_folds(splits.mask_roles(masks, "key", [0, 1, 62]), df, "date", "g", "key")):
+            assert [tuple(x)[:5] for x in got.orderBy("fold").collect()] == expect
+            assert all(x["ok"] == (x["shared_months"] == x["shared_groups"] == 0) for x in got.collect())
+    assert splits.mask_roles(splits.fold_masks(df, "date", []), "key", []).count() == 0 == splits.check_masks(splits.fold_masks(df, "date", []), "date", "g", []).count()
+    with pytest.raises(ValueError):
+        splits.fold_masks(df, "date", [(63, 0, 1, 2, 3)])
+
+
+def test_blocked_groups_equal_brute_force(spark):
+    rows = [(i, None if i % 11 == 0 else f"g{i * i % 23}", ("train", "train", "train", "early", "test", "embargo", None)[i % 7] if i % 5 else "train") for i in range(200)]
+    kept = {x["key"] for x in splits.block_split_groups(spark.createDataFrame(rows, "key int, g string, split string"), "g").collect()}
+    roles = {r: {g for _, g, s in rows if s == r and g is not None} for r in ("early", "test")}
+    gone = {k for k, g, s in rows if (s == "train" and g in roles["early"] | roles["test"]) or (s == "early" and g in roles["test"])}
+    assert kept == {k for k, _, _ in rows} - gone and gone
+
+
 @pytest.mark.parametrize("by", [["g"], []])
 def test_asof_medians_equal_pandas(spark, by):
     pdf = table(1)
