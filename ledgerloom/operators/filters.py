@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,21 +13,28 @@ from ledgerloom.functions.scalars import all_of
 from .quantiles import medians, quantiles
 
 
-def domain_filter(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]], non_positive_missing: tuple[str, ...] = (), positive: tuple[str, ...] = ()) -> DataFrame:
-    """Rows whose values are missing or in bounds. For non_positive_missing columns values <= 0 count
-    as missing; for positive ones a present value <= 0 drops the row."""
+def domain_test(bounds: dict[str, tuple[float | None, float | None]], non_positive_missing: tuple[str, ...] = (), positive: tuple[str, ...] = ()) -> Column:
+    """True where the values are missing or in bounds. For non_positive_missing columns values <= 0 count
+    as missing; for positive ones a present value <= 0 fails."""
     tests = []
     for c, (low, high) in bounds.items():
         x = F.when(F.col(c) > 0, F.col(c)) if c in non_positive_missing else F.col(c)
         inside = all_of([t for t in (x >= low if low is not None else None, x <= high if high is not None else None) if t is not None])
         tests.append(F.coalesce(inside, F.lit(True)))
-    tests += [F.coalesce(F.col(c) > 0, F.lit(True)) for c in positive]
-    return df.where(all_of(tests))
+    return all_of(tests + [F.coalesce(F.col(c) > 0, F.lit(True)) for c in positive])
+
+
+def domain_filter(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]], non_positive_missing: tuple[str, ...] = (), positive: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that pass domain_test."""
+    return df.where(domain_test(bounds, non_positive_missing, positive))
+
+
+def valid_test(required: list[str], most: dict[str, float] | None = None) -> Column:
+    return all_of([F.col(c).isNotNull() for c in required] + [F.coalesce(F.col(c) <= x, F.lit(True)) for c, x in (most or {}).items()])
 
 
 def drop_invalid(df: DataFrame, required: list[str], most: dict[str, float] | None = None) -> DataFrame:
-    tests = [F.col(c).isNotNull() for c in required] + [F.coalesce(F.col(c) <= x, F.lit(True)) for c, x in (most or {}).items()]
-    return df.where(all_of(tests))
+    return df.where(valid_test(required, most))
 
 
 def date_window(df: DataFrame, date: str, since: dt.date | None = None, recent_years: int | None = None, as_of: dt.date | None = None) -> DataFrame:
@@ -54,6 +62,67 @@ def audit_steps(df: DataFrame, steps: list[tuple[str, Column]]) -> tuple[DataFra
     return tagged.where("removed_step is null").drop("removed_step"), tagged.where("removed_step is not null")
 
 
+#: A step of audit_filters: from the rows and the mark of those still there to (rows with what the test needs, test).
+Step = Callable[[DataFrame, Column], tuple[DataFrame, Column]]
+
+
+def by_test(test: Column) -> Step:
+    """A step that needs only the row: domain_test, valid_test or any condition."""
+    return lambda df, there: (df, test)
+
+
+def by_mean(col: str, k: float = 9) -> Step:
+    """mean_multiple_filter as a step; the mean is that of the rows still there."""
+
+    def step(df: DataFrame, there: Column) -> tuple[DataFrame, Column]:
+        return df.join(F.broadcast(df.agg(F.avg(F.when(there, F.col(col))).alias("_mean")))), F.col(col) <= k * F.col("_mean")
+
+    return step
+
+
+def by_group_median(col: str, by: list[str], k: float = 5) -> Step:
+    """group_median_filter as a step; a row with a null in `by` fails."""
+
+    def step(df: DataFrame, there: Column) -> tuple[DataFrame, Column]:
+        return df.join(medians(df, by, {"_median": F.when(there, F.col(col))}), by, "left"), F.col(col) <= k * F.col("_median")
+
+    return step
+
+
+def by_qualified_group(by: str, col: str, min_n: int = 3, frac: float = 0.5) -> Step:
+    """qualify_groups as a step; counts and medians are those of the rows still there."""
+
+    def step(df: DataFrame, there: Column) -> tuple[DataFrame, Column]:
+        value = F.when(there, F.col(col))
+        groups = quantiles(df, [by], {"_median": (value, 0.5)}, {"_n": F.count(F.when(there, 1))})
+        got = df.join(groups, by, "left").join(F.broadcast(medians(df, [], {"_all": value})))
+        return got, (F.col("_n") > min_n) & (F.col("_median") >= frac * F.col("_all"))
+
+    return step
+
+
+#: Steps that fit the bits of one mask.
+MOST_STEPS = 63
+
+
+def audit_filters(df: DataFrame, steps: list[tuple[str, Step]]) -> DataFrame:
+    """All rows of df, with failed_steps (bit i set where the row fails step i; a null test fails) and removed_step,
+    the first step that it fails, null for a row that all steps keep. The rows that a filter chain would leave after
+    each step are those without a bit before it, so a step's statistics are the chain's. No key is needed and no step
+    joins rows with rows: tests are columns, statistics are one row for each group. Unlike audit_steps it takes every
+    filter here."""
+    if len(steps) > MOST_STEPS:
+        raise ValueError(f"at most {MOST_STEPS} steps")
+    zero = F.lit(0).cast("long")
+    work = df.withColumn("failed_steps", zero)
+    for i, (_, step) in enumerate(steps):
+        work, test = step(work, F.col("failed_steps") == 0)
+        failed = F.when(F.coalesce(test, F.lit(False)), zero).otherwise(F.lit(1 << i).cast("long"))
+        work = work.withColumn("failed_steps", F.col("failed_steps").bitwiseOR(failed)).select(*[F.col(f"`{c}`") for c in df.columns], "failed_steps")
+    first = [F.when(F.col("failed_steps").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(name)) for i, (name, _) in enumerate(steps)]
+    return work.withColumn("removed_step", F.coalesce(*first) if first else F.lit(None).cast("string"))
+
+
 def mean_multiple_filter(df: DataFrame, col: str, k: float = 9) -> DataFrame:
     """Rows whose value is at most k times the overall mean."""
     mean = df.agg(F.avg(col).alias("_mean"))

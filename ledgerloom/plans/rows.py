@@ -264,6 +264,22 @@ def f4(spark, sf):
     return first.unionByName(second, allowMissingColumns=True).select("key", "price", "removed_step")
 
 
+@query("f4_audit_filters", f"""WITH {TXL}, a AS (SELECT key, suburb, price, {_DOMAIN} AS t0, bed <= 4 AS t1 FROM tx),
+b AS (SELECT *, coalesce(t0 AND t1, false) AS k1, price <= 1.8 * (SELECT avg(price) FROM a WHERE t0 AND t1) AS t2 FROM a),
+c AS (SELECT *, coalesce(k1 AND t2, false) AS k2, price <= 1.5 * median(price) FILTER (k1 AND t2) OVER (PARTITION BY suburb) AS t3 FROM b),
+d AS (SELECT *, coalesce(k2 AND t3, false) AS k3 FROM c),
+e AS (SELECT *, coalesce(count(*) FILTER (k3) OVER (PARTITION BY suburb) > 3 AND median(price) FILTER (k3) OVER (PARTITION BY suburb) >= 0.99 * (SELECT median(price) FROM d WHERE k3), false) AS t4 FROM d),
+f AS (SELECT key, price, coalesce(t0, false) AS t0, coalesce(t1, false) AS t1, coalesce(t2, false) AS t2, coalesce(t3, false) AS t3, t4 FROM e)
+SELECT key, price, ((NOT t0)::BIGINT + 2 * (NOT t1)::BIGINT + 4 * (NOT t2)::BIGINT + 8 * (NOT t3)::BIGINT + 16 * (NOT t4)::BIGINT)::BIGINT AS failed_steps,
+  CASE WHEN NOT t0 THEN 'domain' WHEN NOT t1 THEN 'beds' WHEN NOT t2 THEN 'mean' WHEN NOT t3 THEN 'median' WHEN NOT t4 THEN 'group' END AS removed_step FROM f""")
+def f4_filters(spark, sf):
+    domain = filters.domain_test({"price": (1000, 200000), "land_value": (None, 5000)}, ("land_value",), ("floor_size",))
+    steps = [("domain", filters.by_test(domain)), ("beds", filters.by_test(F.col("bed") <= 4)), ("mean", filters.by_mean("price", 1.8)),
+             ("median", filters.by_group_median("price", ["suburb"], 1.5)), ("group", filters.by_qualified_group("suburb", "price", 3, 0.99))]
+    t = tx(spark, sf, True).select("key", "suburb", "price", "bed", "land_value", "floor_size")
+    return filters.audit_filters(t, steps).select("key", "price", "failed_steps", "removed_step")
+
+
 @query("f5_mean_multiple_filter", f"WITH {TX} SELECT key, price FROM tx WHERE price <= 1.5 * (SELECT avg(price) FROM tx)")
 def f5(spark, sf):
     return filters.mean_multiple_filter(tx(spark, sf).select("key", "price"), "price", 1.5)

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import joins, splits, windows
+from ledgerloom.operators import filters, joins, splits, windows
 
 
 def table(seed=0, n=300, days=120):
@@ -57,6 +57,31 @@ def test_fold_masks_equal_brute_force(spark):
         splits.fold_masks(df, "date", [(63, 0, 1, 2, 3)])
 
 
+def test_audit_filters_equal_the_chain(spark):
+    """What the mask keeps is what the filters one after another keep; each step's bit and the first step by brute force."""
+    r = np.random.default_rng(9)
+    rows = [(None if i % 41 == 0 else f"g{int(x)}", None if i % 37 == 0 else float(np.round(p, 2)), int(b)) for i, (x, p, b) in enumerate(zip(r.integers(0, 30, 300), r.lognormal(6, 1, 300), r.integers(1, 6, 300), strict=True))]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "`a.g` string, price double, bed int").withColumnRenamed("a.g", "g").withColumn("a.g", F.lit("x"))
+    steps = [("valid", filters.by_test(filters.valid_test(["price"], {"bed": 4}))), ("mean", filters.by_mean("price", 2)), ("median", filters.by_group_median("price", ["g"], 1.5)), ("group", filters.by_qualified_group("g", "price", 3, 0.8))]
+    got = filters.audit_filters(df, steps)
+    assert got.count() == len(rows) and got.columns == [*df.columns, "failed_steps", "removed_step"]
+    chain = filters.drop_invalid(df, ["price"], {"bed": 4})
+    kept = [chain]
+    for step in (lambda x: filters.mean_multiple_filter(x, "price", 2), lambda x: filters.group_median_filter(x, "price", ["g"], 1.5), lambda x: filters.qualify_groups(x, "g", "price", 3, 0.8)):
+        kept.append(step(kept[-1]))
+    read = lambda x: sorted((a["g"] or "", a["price"] or -1.0, a["bed"]) for a in x.collect())
+    for i, want in enumerate(kept):
+        still = got.where(F.col("failed_steps").bitwiseAND(F.lit((2 << i) - 1)) == 0)
+        assert read(still) == read(want)
+    assert 0 < len(read(kept[-1])) < len(read(kept[0]))
+    names = [n for n, _ in steps]
+    for x in got.collect():
+        bits = [n for i, n in enumerate(names) if x["failed_steps"] >> i & 1]
+        assert x["removed_step"] == (bits[0] if bits else None)
+    assert filters.audit_filters(df.limit(0), steps).count() == 0 and filters.audit_filters(df, []).where("removed_step is null").count() == len(rows)
+
+
 def test_blocked_groups_equal_brute_force(spark):
     rows = [(i, None if i % 11 == 0 else f"g{i * i % 23}", ("train", "train", "train", "early", "test", "embargo", None)[i % 7] if i % 5 else "train") for i in range(200)]
     kept = {x["key"] for x in splits.block_split_groups(spark.createDataFrame(rows, "key int, g string, split string"), "g").collect()}
