@@ -313,29 +313,37 @@ _RIGHT = "r AS (SELECT suburb, date, CASE WHEN max(key) % 3 = 0 THEN NULL ELSE m
 
 
 def _asof(spark, sf):
+    t = tx(spark, sf).select("key", "suburb", "date", "price")
+    return t.where("key % 20 = 0").select("key", "suburb", "date"), t.groupBy("suburb", "date").agg(F.when(F.max("key") % 3 != 0, F.max("price")).alias("v"))
+
+
+# every row asks the rows of the other part of the keys, so none finds itself
+_ASKED = "l AS (SELECT *, key % 20 <> 0 AS part FROM tx), h AS (SELECT *, key % 20 = 0 AS part FROM tx)"
+
+
+def _parts(spark, sf):
     t = tx(spark, sf).select("key", "suburb", "bed", "date", "price")
-    left = t.where("key % 20 = 0").select("key", "suburb", "bed", "date")
-    right = t.groupBy("suburb", "date").agg(F.when(F.max("key") % 3 != 0, F.max("price")).alias("v"))
-    return t, left, right
+    return t.select("key", "suburb", "bed", "date", (F.col("key") % 20 != 0).alias("part")), t.withColumn("part", F.col("key") % 20 == 0)
 
 
-@query("j3_asof_join", f"WITH {TX}, {_RIGHT} SELECT l.key, r.v FROM (SELECT * FROM tx WHERE key % 20 = 0) l ASOF LEFT JOIN r ON l.suburb = r.suburb AND l.date >= r.date")
+@query("j3_asof_join", f"WITH {TX}, {_ASKED}, r AS (SELECT suburb, part, date, CASE WHEN max(key) % 3 = 0 THEN NULL ELSE max(price) END AS v FROM h GROUP BY 1, 2, 3) SELECT l.key, r.v FROM l ASOF LEFT JOIN r ON l.suburb = r.suburb AND l.part = r.part AND l.date >= r.date")
 def j3(spark, sf):
-    _, left, right = _asof(spark, sf)
-    return joins.asof_join(left, right, ["suburb"], "date", "date", "v").select("key", "v")
+    left, h = _parts(spark, sf)
+    right = h.groupBy("suburb", "part", "date").agg(F.when(F.max("key") % 3 != 0, F.max("price")).alias("v"))
+    return joins.asof_join(left, right, ["suburb", "part"], "date", "date", "v").select("key", "v")
 
 
 @query("j3_asof_join_strict", f"WITH {TX}, {_RIGHT} SELECT l.key, r.v FROM (SELECT * FROM tx WHERE key % 20 = 0) l ASOF LEFT JOIN r ON l.suburb = r.suburb AND l.date > r.date")
 def j3s(spark, sf):
-    _, left, right = _asof(spark, sf)
+    left, right = _asof(spark, sf)
     return joins.asof_join(left, right, ["suburb"], "date", "date", "v", strict=True).select("key", "v")
 
 
-@query("j4_asof_join_with_fallback", f"WITH {TX}, h AS (SELECT * FROM tx), a AS (SELECT suburb, bed, date, max(price) AS v FROM h WHERE bed = 2 GROUP BY 1, 2, 3), b AS (SELECT suburb, date, max(price) AS v FROM h WHERE suburb < 'J' GROUP BY 1, 2), c AS (SELECT date, max(price) AS v FROM h GROUP BY 1) SELECT l.key, coalesce(a.v, b.v, c.v) AS v FROM (SELECT * FROM tx WHERE key % 20 = 0) l ASOF LEFT JOIN a ON l.suburb = a.suburb AND l.bed = a.bed AND l.date >= a.date ASOF LEFT JOIN b ON l.suburb = b.suburb AND l.date >= b.date ASOF LEFT JOIN c ON l.date >= c.date")
+@query("j4_asof_join_with_fallback", f"WITH {TX}, {_ASKED}, a AS (SELECT suburb, bed, part, date, max(price) AS v FROM h WHERE bed = 2 GROUP BY 1, 2, 3, 4), b AS (SELECT suburb, part, date, max(price) AS v FROM h WHERE suburb < 'J' GROUP BY 1, 2, 3), c AS (SELECT part, date, max(price) AS v FROM h GROUP BY 1, 2) SELECT l.key, coalesce(a.v, b.v, c.v) AS v FROM l ASOF LEFT JOIN a ON l.suburb = a.suburb AND l.bed = a.bed AND l.part = a.part AND l.date >= a.date ASOF LEFT JOIN b ON l.suburb = b.suburb AND l.part = b.part AND l.date >= b.date ASOF LEFT JOIN c ON l.part = c.part AND l.date >= c.date")
 def j4(spark, sf):
-    t, left, _ = _asof(spark, sf)
-    top = lambda df, keys: df.groupBy(*keys, "date").agg(F.max("price").alias("v"))
-    levels = [(top(t.where("bed = 2"), ["suburb", "bed"]), ["suburb", "bed"]), (top(t.where("suburb < 'J'"), ["suburb"]), ["suburb"]), (top(t, []), [])]
+    left, h = _parts(spark, sf)
+    level = lambda df, *keys: (df.groupBy(*keys, "part", "date").agg(F.max("price").alias("v")), [*keys, "part"])
+    levels = [level(h.where("bed = 2"), "suburb", "bed"), level(h.where("suburb < 'J'"), "suburb"), level(h)]
     return joins.asof_join_with_fallback(left, levels, "date", "date", "v", "v").select("key", "v")
 
 
