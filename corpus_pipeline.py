@@ -38,7 +38,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of domains that FACTORS leaves at 1, once each; of the lowered ones those that are drawn."""
+    """Documents of domains that FACTORS leaves at 1, once each; of the lowered ones those drawn by their fitted rates."""
     rows = materialize(mixing.posteriors(docs, table(spark, sf_dir, "labels")), "posteriors")
     return mixing.take_by_domain(rows, FACTORS)[0].select(*docs.columns)
 

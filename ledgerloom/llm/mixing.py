@@ -226,8 +226,9 @@ def take_by_domain(rows: DataFrame, factors: dict[str, float], seed: str = "mix"
     target and reached expected tokens.
 
     Domains of factor 1 (and those not named) stay, each row once; domains of factor 0 go. Only rows of the
-    domains in between are drawn, by a keyed hash of doc_id, with one probability for each domain, solved so
-    that those domains' expected tokens meet factor x present as near as probabilities in 0..1 come.
+    domains in between are drawn, by a keyed hash of doc_id and the row's own rate: fit_rates gives them rates
+    by which those domains' expected tokens, with those of the rows that stay, meet factor x present. A rate
+    above 1 counts as 1, as no row is taken twice; reached tells what comes of it.
     """
     k = len(DOMAINS)
     f = np.array([min(1.0, max(0.0, factors.get(d, 1.0))) for d in DOMAINS])
@@ -235,18 +236,31 @@ def take_by_domain(rows: DataFrame, factors: dict[str, float], seed: str = "mix"
     best = F.array_position(p, F.array_max(p)).cast("int") - 1
     (likely,) = unused(rows, "likely")
     named = rows.withColumn(likely, best)
-    sums = np.zeros((k, k))  # expected tokens of domain j in the rows of most likely domain i
-    for r in named.groupBy(likely).agg(*[F.sum(F.col("tokens") * p[j]) for j in range(k)]).collect():  # 4 rows at most
-        sums[r[0]] = [x or 0.0 for x in r[1:]]
-    present, chance = sums.sum(axis=0), f.copy()
+
+    def totals_of(df: DataFrame, share: Column) -> np.ndarray:
+        """Expected tokens of domain j in the rows of most likely domain i, each row by its share."""
+        sums = np.zeros((k, k))
+        for r in df.groupBy(likely).agg(*[F.sum(share * F.col("tokens") * p[j]) for j in range(k)]).collect():  # 4 rows at most
+            sums[r[0]] = [x or 0.0 for x in r[1:]]
+        return sums
+
+    sums = totals_of(named, F.lit(1.0))
+    present = sums.sum(axis=0)
     drawn = [i for i in range(k) if 0 < f[i] < 1 and sums[i].any()]
+    fixed = sum((f[i] * sums[i] for i in range(k) if i not in drawn), np.zeros(k))
+    reached, chance = fixed, F.get(F.array(*[F.lit(float(x)) for x in f]), F.col(likely))
     if drawn:
-        fixed = sum((f[i] * sums[i] for i in range(k) if i not in drawn), np.zeros(k))
-        miss = (f * present - fixed)[drawn]
-        chance[drawn] = np.clip(np.linalg.lstsq(sums[np.ix_(drawn, drawn)].T, miss, rcond=None)[0], 0.0, 1.0)
+        some = named.where(F.col(likely).isin(*drawn))
+        there = sums[drawn].sum(axis=0)
+        wanted = {DOMAINS[i]: float(max(0.0, f[i] * present[i] - fixed[i]) / there[i]) for i in drawn}
+        # the other domains have no targets among these rows, so the fit leaves their tokens out
+        only = some.withColumn("posterior", F.array(*[p[i] if i in drawn else F.lit(0.0) for i in range(k)]))
+        rate = F.least(F.lit(1.0), fit_rates(only, factors=wanted, tolerance=1e-7).rate())
+        reached = fixed + totals_of(some, rate).sum(axis=0)
+        chance = F.when(F.col(likely).isin(*drawn), rate).otherwise(chance)
     unit = F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    out = named.where(F.coalesce(unit, F.lit(0.0)) < F.get(F.array(*[F.lit(float(x)) for x in chance]), F.col(likely)))
-    totals = [{"domain": d, "present": present[i], "target": f[i] * present[i], "reached": float(chance @ sums[:, i])} for i, d in enumerate(DOMAINS)]
+    out = named.where(F.coalesce(unit, F.lit(0.0)) < chance)
+    totals = [{"domain": d, "present": present[i], "target": f[i] * present[i], "reached": float(reached[i])} for i, d in enumerate(DOMAINS)]
     return out.drop(likely, "tokens", "posterior"), totals
 
 

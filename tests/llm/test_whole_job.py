@@ -45,6 +45,17 @@ def test_drawn_share_meets_its_target(spark):
     assert n[0] == 2000 and 520 <= n[1] <= 680
 
 
+def test_draws_go_by_fitted_rates(spark, monkeypatch):
+    """Lowered rows are drawn by projected-gradient rates, each by its own posterior: the surer ones are rarer."""
+    rows = [(i, 10, [0.9, 0.0, 0.1, 0.0] if i % 2 else [0.55, 0.0, 0.45, 0.0]) for i in range(6000)]
+    fits, fit = [], mixing.fit_rates
+    monkeypatch.setattr(mixing, "fit_rates", lambda *a, **b: fits.append(fit(*a, **b)) or fits[-1])
+    got, totals = mixing.take_by_domain(spark.createDataFrame(rows, "doc_id long, tokens long, posterior array<double>"), {"low": 0.5})
+    n = {x["odd"]: x["count"] for x in got.groupBy((F.col("doc_id") % 2).alias("odd")).count().collect()}
+    assert len(fits) == 1 and fits[0].met and fits[0].steps
+    assert totals[0]["reached"] == pytest.approx(0.5 * totals[0]["present"]) and n[1] < 0.8 * n[0]
+
+
 @pytest.mark.parametrize("n", [200, 4000])
 def test_common_short_lines_stay_at_every_size(spark, n):
     """A short line everywhere and a chance line on 12 of 20 sources stay; a footer in every tenth text goes."""
