@@ -135,8 +135,8 @@ def _stepped(now: Column, before: Column, p: list[Column], u: list[Column], mome
     return F.greatest(F.lit(0.0), now + momentum * (now - before) - sum((x * v for x, v in zip(p, u, strict=True)), F.lit(0.0)))
 
 
-#: Steps after which the fit writes its rates, so that its plan stays short.
-WRITE_EVERY = 16
+#: Steps after which the fit writes its rates, so that its plan stays short: a pass works out all steps since.
+WRITE_EVERY = 4
 
 
 def fit_rates(rows: DataFrame, factors: dict[str, float] | None = None, shares: dict[str, float] | None = None, iterations: int = 40, tolerance: float = 1e-4, strict: bool = False) -> Rates:
