@@ -14,7 +14,9 @@ Identity. Documents with equal sets collapse first. A word is known by a 128-bit
 later steps use exact numbers. A set is known by 128 bits, whose first half names it unless two sets
 share that half (set_names finds out).
 
-Size. Blocks are cut by the counted number of entries. N-grams of very many documents (hot ones, counted
+Size. Of most documents few columns are shared, so a sample of columns (by hash, twice the share that linked
+documents may differ in) is met first: a document with more columns of its own there than ceil(t * n) leaves
+can't reach the bound with anyone, and only the others bring all their columns (_live_texts). Blocks are cut by the counted number of entries. N-grams of very many documents (hot ones, counted
 in a first pass; their number is bounded by entries / hot_from) are ordered last and pass by the blocks.
 In a column each document is first compared with one pivot; components of those links follow; only
 documents of one column in different components are compared after that, in tiles of bounded size, so a
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, stored, unused
@@ -40,10 +42,17 @@ BLOCK_ENTRIES, FLUSH_ENTRIES = 1_000_000, 1_000_000
 HOT_FROM = 20_000
 #: Times that an n-gram occurs in a slice to be counted as a candidate for a hot one.
 HOT_IN_SLICE = 3
+#: Percent in which linked documents may differ up to which a sample of columns comes first; beyond it would hold most columns.
+MOST_APART = 25
+#: Documents of a tile whose pairs come before all others.
+SMALL_TILE = 32
+#: Texts that may be broadcast.
+MOST_BROADCAST = 300_000
 #: Parts of a row in the masked product, 64-bit words of its parity vector, documents of a tile.
 PARTS, PARITY, TILE = 8, 8, 2_048
 
 ENTRY = np.dtype([("node", np.int64), ("g", np.int64), ("n", np.int32), ("rank", np.uint8)])
+NEED = np.dtype([("node", np.int64), ("need", np.int32)])
 #: Numbers of hot columns begin here, above those of all blocks.
 HOT_IDS = 1 << 62
 
@@ -59,9 +68,9 @@ def _signatures(d: np.ndarray, high: np.ndarray, low: np.ndarray, n: np.ndarray)
 
 
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(counted, doc_id, n_shingles, k1, k2) of each document, k1 and k2 being its set's signature, null if
-    it is empty; and with counted true, n-grams (k1, k2) that a slice of texts has n_shingles times."""
-    names = ["counted", "doc_id", "n_shingles", "k1", "k2"]
+    """(counted, doc_id, n_shingles, k1, k2, t1, t2) of each document, k1 and k2 being its set's signature, null if
+    it is empty, t1 and t2 its text's hash; and with counted true, n-grams (k1, k2) that a slice of texts has n_shingles times."""
+    names = ["counted", "doc_id", "n_shingles", "k1", "k2", "t1", "t2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +78,7 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
                 d, high, low, n = shingle_sets(Words(part.column("text"), lower=True), k)
                 k1, k2 = _signatures(d, high, low, n)
                 none = n == 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), bool)), part.column("doc_id"), pa.array(n), pa.array(k1, mask=none), pa.array(k2, mask=none)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), bool)), part.column("doc_id"), pa.array(n), pa.array(k1, mask=none), pa.array(k2, mask=none), part.column("t1"), part.column("t2")], names)
                 _, firsts = np.unique(k1, return_index=True)
                 one = np.zeros(len(n), bool)
                 one[firsts] = True
@@ -80,9 +89,13 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
                 times = np.diff(np.append(starts, len(high)))
                 often = starts[times >= HOT_IN_SLICE]
                 empty = pa.nulls(len(often), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(often), bool)), empty, pa.array(times[times >= HOT_IN_SLICE]), pa.array(high[often].view(np.int64)), pa.array(low[often].view(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(often), bool)), empty, pa.array(times[times >= HOT_IN_SLICE]), pa.array(high[often].view(np.int64)), pa.array(low[often].view(np.int64)), empty, empty], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "counted boolean, doc_id long, n_shingles long, k1 long, k2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_text_hash()).mapInArrow(run, "counted boolean, doc_id long, n_shingles long, k1 long, k2 long, t1 long, t2 long")
+
+
+def _text_hash() -> tuple[Column, Column]:
+    return F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2")
 
 
 def set_names(sets: DataFrame) -> np.ndarray:
@@ -116,10 +129,22 @@ def _pack(keys: np.ndarray, parts: list[np.ndarray], most: int = 8 << 20) -> Ite
         yield ids, out
 
 
-def _column_blocks(docs: DataFrame, k: int, blocks: int, clash: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+def _planes(x: np.ndarray) -> bytes:
+    """Small numbers byte by byte, first bytes first, so that the zeros compress."""
+    return x.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(buf: pa.Buffer, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(buf, np.uint8, 4 * n, at).reshape(4, n).T).view(np.int32).ravel()
+
+
+def _column_blocks(docs: DataFrame, k: int, blocks: int, clash: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int = 0) -> DataFrame:
     """(block, payload): entries of the incidence matrix by block of columns, packed: the documents of the
     block (name, set size, number of entries) and their n-grams. Blocks below 0 are blocks of rows, with
-    the entries of hot columns (hot: both halves, sorted by the first, and the place in the order)."""
+    the entries of hot columns (hot: both halves, sorted by the first, and the place in the order).
+
+    With percent only a sample of columns, hot ones not included, and in the blocks of rows how many of
+    its sampled columns a document has to share with others if it is to reach the bound."""
     hot_high, hot_low, hot_place = hot
 
     def is_hot(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +161,15 @@ def _column_blocks(docs: DataFrame, k: int, blocks: int, clash: np.ndarray, hot:
         d = np.concatenate([p[0] + b for p, b in zip(parts, base, strict=False)])
         high, low, node, n = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
         yes, at = is_hot(high, low)
-        if yes.any():
+        if percent:
+            d, high, low = d[~yes], high[~yes], low[~yes]
+            own = np.zeros(len(node), NEED)
+            own["node"], own["need"] = node, np.bincount(d, minlength=len(node)) - (n - -(-percent * n // 100))
+            to = _row_block(node, blocks)
+            order = np.argsort(to, kind="stable")
+            for ids, out in _pack(-1 - to[order], [own[order]]):
+                yield batch_of(ids, [x[8:] for x in out])
+        elif yes.any():
             own = np.zeros(int(yes.sum()), ENTRY)
             own["node"], own["n"], own["g"], own["rank"] = node[d[yes]], n[d[yes]], HOT_IDS + hot_place[at[yes]], 255
             to = _row_block(own["node"], blocks)
@@ -155,7 +188,7 @@ def _column_blocks(docs: DataFrame, k: int, blocks: int, clash: np.ndarray, hot:
             starts = np.append(a, a + 1 + np.flatnonzero(d[a + 1 : b] != d[a : b - 1]))
             used = d[starts]
             ids.append(int(block[a]))
-            out.append(np.array([len(used), b - a], np.int64).tobytes() + node[used].tobytes() + n[used].astype(np.int32).tobytes() + np.diff(np.append(starts, b)).astype(np.int32).tobytes() + high[a:b].tobytes() + low[a:b].astype(np.uint32).tobytes())
+            out.append(np.array([len(used), b - a], np.int64).tobytes() + node[used].tobytes() + _planes(n[used]) + _planes(np.diff(np.append(starts, b))) + high[a:b].tobytes() + low[a:b].astype(np.uint32).tobytes())
             if sum(map(len, out)) > 8 << 20:
                 yield batch_of(ids, out)
                 ids, out = [], []
@@ -172,18 +205,23 @@ def _column_blocks(docs: DataFrame, k: int, blocks: int, clash: np.ndarray, hot:
                 fresh = np.zeros(len(n), bool)
                 fresh[[i for i in firsts if n[i] and node[i] not in known]] = True
                 known.update(node[fresh].tolist())
-                take = fresh[d]
+                take = fresh[d] & (low % U64(256) < U64(_sampled(percent))) if percent else fresh[d]
                 parts.append(((np.cumsum(fresh) - 1)[d[take]], high[take], low[take], node[fresh], n[fresh]))
                 held += int(take.sum())
                 if held >= FLUSH_ENTRIES:
                     yield from flush(parts)
                     parts, held, known = [], 0, set()
-        if held:
+        if parts:
             yield from flush(parts)
 
     return docs.select("text").mapInArrow(run, "block int, payload binary")
 
 
+def _sampled(percent: int) -> int:
+    """256ths of the columns that are sampled: twice the share in which linked documents may differ."""
+    return 512 * (100 - percent) // 100 + 1
+
+
 def _row_block(node: np.ndarray, blocks: int) -> np.ndarray:
     return (mix(node.view(U64)) % U64(blocks)).astype(np.int64)
 
@@ -194,36 +232,44 @@ def _unpack(payload: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
     for x in payload:
         buf = x.as_buffer()
         docs, m = (int(i) for i in np.frombuffer(buf, np.int64, 2))
-        node, n = np.frombuffer(buf, np.int64, docs, 16), np.frombuffer(buf, np.int32, docs, 16 + 8 * docs)
-        each = np.frombuffer(buf, np.int32, docs, 16 + 12 * docs)
+        node, n = np.frombuffer(buf, np.int64, docs, 16), _unplaned(buf, docs, 16 + 8 * docs)
+        each = _unplaned(buf, docs, 16 + 12 * docs)
         at = 16 + 16 * docs
         parts.append((np.frombuffer(buf, U64, m, at), np.frombuffer(buf, np.uint32, m, at + 8 * m), np.repeat(node, each), np.repeat(n, each)))
     return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
 
 
+def _shared_columns(payload: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
+    """(column number, name, set size, documents of the column) of each entry of a block's shared columns."""
+    high, low, node, n = _unpack(payload)
+    order = np.argsort(high)
+    same = high[order][1:] == high[order][:-1]
+    many = np.zeros(len(high), bool)
+    many[order[1:][same]] = True
+    many[order[:-1][same]] = True
+    high, low, node, n = high[many], low[many], node[many], n[many]
+    order = np.lexsort((node, low, high))
+    high, low, node, n = high[order], low[order], node[order], n[order]
+    column = np.append(np.ones(min(1, len(high)), bool), (high[1:] != high[:-1]) | (low[1:] != low[:-1]))
+    fresh = column.copy()  # copies in other tasks gave the same entry
+    fresh[1:] |= node[1:] != node[:-1]
+    column, node, n = np.cumsum(column)[fresh], node[fresh], n[fresh]
+    df = np.bincount(column)[column] if len(column) else column
+    keep = df > 1
+    return column[keep], node[keep], n[keep], df[keep]
+
+
 def _shared_entries(cut: DataFrame, rows: int) -> DataFrame:
     """(rows_block, payload): entries of columns that two or more documents share, by block of rows."""
     schema = pa.schema([("rows_block", pa.int32()), ("payload", pa.binary())])
 
     def run(key: tuple, tab: pa.Table) -> pa.Table:
-        high, low, node, n = _unpack(tab.column("payload"))
-        order = np.argsort(high)
-        same = high[order][1:] == high[order][:-1]
-        many = np.zeros(len(high), bool)
-        many[order[1:][same]] = True
-        many[order[:-1][same]] = True
-        high, low, node, n = high[many], low[many], node[many], n[many]
-        order = np.lexsort((node, low, high))
-        high, low, node, n = high[order], low[order], node[order], n[order]
-        column = np.append(np.ones(min(1, len(high)), bool), (high[1:] != high[:-1]) | (low[1:] != low[:-1]))
-        fresh = column.copy()  # copies in other tasks gave the same entry
-        fresh[1:] |= node[1:] != node[:-1]
-        column, node, n = np.cumsum(column)[fresh], node[fresh], n[fresh]
-        df = np.bincount(column)[column] if len(column) else column
-        keep = df > 1
-        out = np.zeros(int(keep.sum()), ENTRY)
-        out["g"], out["node"], out["n"] = (key[0].as_py() << 32) + column[keep], node[keep], n[keep]
-        out["rank"] = np.minimum(254, 8 * np.log2(df[keep])).astype(np.uint8)
+        if key[0].as_py() < 0:  # hot columns
+            return pa.table([pa.array(np.full(len(tab), -1 - key[0].as_py(), np.int32)), tab.column("payload")], schema=schema)
+        column, node, n, df = _shared_columns(tab.column("payload"))
+        out = np.zeros(len(node), ENTRY)
+        out["g"], out["node"], out["n"] = (key[0].as_py() << 32) + column, node, n
+        out["rank"] = np.minimum(254, 8 * np.log2(df)).astype(np.uint8)
         to = _row_block(out["node"], rows)
         order = np.argsort(to, kind="stable")
         ids, lots = [], []
@@ -232,7 +278,30 @@ def _shared_entries(cut: DataFrame, rows: int) -> DataFrame:
             lots += [y[8:] for y in x]
         return pa.table([pa.array(ids, pa.int32()), pa.array(lots, pa.binary())], schema=schema)
 
-    return cut.where("block >= 0").groupBy("block").applyInArrow(run, "rows_block int, payload binary").unionByName(cut.where("block < 0").select((-1 - F.col("block")).alias("rows_block"), "payload"))
+    return cut.groupBy("block").applyInArrow(run, "rows_block int, payload binary")
+
+
+def _live(cut: DataFrame) -> DataFrame:
+    """(node): the sets that share as many of their sampled columns as they have to."""
+
+    def run(key: tuple, tab: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            x = np.concatenate([np.frombuffer(p.as_buffer(), NEED) for p in tab.column("payload")])
+            return pa.table({"node": pa.array(x["node"]), "found": pa.array(np.zeros(len(x), np.int64)), "need": pa.array(x["need"].astype(np.int64))})
+        node, found = np.unique(_shared_columns(tab.column("payload"))[1], return_counts=True)
+        return pa.table({"node": pa.array(node, pa.int64()), "found": pa.array(found.astype(np.int64)), "need": pa.nulls(len(node), pa.int64())})
+
+    met = cut.groupBy("block").applyInArrow(run, "node long, found long, need long")
+    return met.groupBy("node").agg(F.sum("found").alias("found"), F.max("need").alias("need")).where("found >= need").select("node")
+
+
+def _live_texts(docs: DataFrame, members: DataFrame, live: DataFrame) -> tuple[DataFrame, int]:
+    """(texts of docs, one for each live set but for its copies; the number of entries of the live sets)."""
+    chosen = members.join(live, "node").groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("t"), F.max("n_shingles").alias("n"))
+    chosen = materialize(chosen.select("t.*", "n"), "live")
+    texts, entries = chosen.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    chosen = chosen.select("t1", "t2")
+    return docs.select("text", *_text_hash()).join(F.broadcast(chosen) if texts <= MOST_BROADCAST else chosen, ["t1", "t2"], "left_semi").select("text"), entries
 
 
 def _candidate_rows(shared: DataFrame, percent: int) -> DataFrame:
@@ -303,7 +372,7 @@ def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80, block_entries:
     """
     spark = docs.sparkSession
     sets = materialize(document_sets(docs, k), "sets")
-    members = sets.where("not counted").select("doc_id", "n_shingles", "k1", "k2")
+    members = sets.where("not counted").select("doc_id", "n_shingles", "k1", "k2", "t1", "t2")
     entries = members.agg(F.sum("n_shingles")).first()[0] or 0
     clash = set_names(members)
     blocks = max(1, -(-entries // block_entries))
@@ -313,6 +382,15 @@ def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80, block_entries:
     place = np.argsort(np.argsort([c for _, _, c in common], kind="stable"), kind="stable")
     hot = tuple(np.array([r[i] for r in common], U64) for i in (0, 1)) + (np.asarray(place, np.int64),)
 
+    name = F.col("k1")
+    if len(clash):
+        name = F.when(F.col("k1").isin(clash.tolist()), F.col("k2")).otherwise(name)
+    members = members.withColumn("node", name)
+    if blocks > 1 and 100 - percent <= MOST_APART:
+        sample = _column_blocks(docs, k, max(1, blocks * _sampled(percent) // 256), clash, hot, percent)
+        docs, entries = _live_texts(docs, members, _live(sample))
+        blocks = max(1, -(-entries // block_entries))
+
     blocked, path = stored(_candidate_rows(_shared_entries(_column_blocks(docs, k, blocks, clash, hot), blocks), percent), "rows")
     rows = blocked
     posts = rows.select("node", "n", "r", "parity", F.posexplode("prefix").alias("pos", "g"))
@@ -322,24 +400,33 @@ def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80, block_entries:
     pivot = pivot.select("g", "p.*").select("g", *_side("b"))
     stars = posts.select("g", *_side("a")).join(pivot, "g").where((F.col("a") != F.col("b")) & _bounded(percent))
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = materialize(_product(stars, rows, percent), "stars")
+    links = materialize(_product(stars, rows, percent), "stars")
+
+    # then the documents of small tiles of a column among themselves, which is linear in them: most of a large group's links lie between
+    # documents of one component after it
+    def tiled(of: DataFrame, size: int) -> DataFrame:
+        mixed = of.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("docs")).where("lo != hi")
+        mixed = mixed.select("g", F.ceil(F.col("docs") / size).cast("int").alias("tiles"))
+        return of.join(mixed, "g").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where((F.col("comp_a") != F.col("comp_b")) & _bounded(percent))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    classed = lambda: posts.join(connected_components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    few = tiled(classed(), min(tile, SMALL_TILE))
+    met = few.select("g", "tile", *_side("a", "comp")).join(few.select("g", "tile", *_side("b", "comp")), ["g", "tile"]).where("a < b")
+    links = links.unionByName(materialize(_product(apart(met), rows, percent), "near"))
 
     # what is left: pairs of a column in different components, tile by tile
-    comps = connected_components(first)
-    posts = posts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = posts.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("docs")).where("lo != hi")
-    mixed = mixed.select("g", F.ceil(F.col("docs") / tile).cast("int").alias("tiles"))
-    open_ = posts.join(mixed, "g").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    open_ = tiled(classed(), tile)
     left = open_.select("g", F.col("tile").alias("i"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("j"), *_side("a", "comp"))
     right = open_.select("g", F.explode(F.sequence(F.lit(0), "tile")).alias("i"), F.col("tile").alias("j"), *_side("b", "comp"))
     once = (F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))
-    rest = left.join(right, ["g", "i", "j"]).where(once & (F.col("comp_a") != F.col("comp_b")) & _bounded(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = apart(left.join(right, ["g", "i", "j"]).where(once))
     second = materialize(_product(rest, rows, percent), "rest")
     discard(spark, path)
-    name = F.col("k1")
-    if len(clash):
-        name = F.when(F.col("k1").isin(clash.tolist()), F.col("k2")).otherwise(name)
-    return members.select("doc_id", "n_shingles", name.alias("node")), connected_components(first.unionByName(second))
+    return members.select("doc_id", "n_shingles", "node"), connected_components(links.unionByName(second))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **size) -> DataFrame:

@@ -57,6 +57,19 @@ def test_join_is_the_same_in_small_blocks(spark, size):
     assert len(set(plain.values())) < len([t for t in texts if shingles(t, 3)])
 
 
+@pytest.mark.parametrize("k,percent,size", [(4, 85, {"block_entries": 50}), (5, 80, {"hot_from": 2, "block_entries": 200}), (2, 85, {"block_entries": 100})])
+def test_join_sends_the_columns_of_live_documents(spark, monkeypatch, k, percent, size):
+    """A sample of columns rules out documents that can't link; the others bring all columns, with the same result."""
+    r = random.Random(9)
+    texts = corpus(6, 90) + [" ".join(r.choices([f"z{i}" for i in range(5_000)], k=80)) for _ in range(100)]
+    sent, blocks = [], ngram_join._column_blocks
+    monkeypatch.setattr(ngram_join, "_column_blocks", lambda docs, *a: sent.append(docs.count()) or blocks(docs, *a))
+    plain = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(frame(spark, texts), k, percent).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(frame(spark, texts), k, percent, **size).collect()}
+    assert got == plain and len(set(plain.values())) < len({t for t in texts if shingles(t, k)})
+    assert sent[-1] < len(texts) - 90
+
+
 def passages(texts, least):
     """(doc, start) of every window by its words."""
     seen = {}
