@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.scalars import all_of
 
 from .quantiles import medians, quantiles
+from .storage import cut
 
 
 def domain_test(bounds: dict[str, tuple[float | None, float | None]], non_positive_missing: tuple[str, ...] = (), positive: tuple[str, ...] = ()) -> Column:
@@ -114,6 +115,7 @@ def audit_filters(df: DataFrame, steps: list[tuple[str, Step]]) -> DataFrame:
     if len(steps) > MOST_STEPS:
         raise ValueError(f"at most {MOST_STEPS} steps")
     zero = F.lit(0).cast("long")
+    df = cut(df)  # each step's statistics read it again
     work = df.withColumn("failed_steps", zero)
     for i, (_, step) in enumerate(steps):
         work, test = step(work, F.col("failed_steps") == 0)

@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import catalog
 from ledgerloom.operators import gram, metrics, model
 
 FEATURES = ["a", "b", "c"]
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -145,3 +147,12 @@ def test_median_blend_applies_what_it_fitted(spark):
         assert x["o"] == pytest.approx(x["p"] if x["m"] is None else 0.8 * x["p"] + 0.2 * x["m"])
     flat = spark.createDataFrame([(5.0, 7.0, None, 1.0)], "y double, p double, m double, w double")
     assert metrics.apply_median_blend(flat, metrics.fit_median_blend(flat, "y", "p", "m", "w"), "p", "m", "o").first()["o"] == 7.0
+
+
+def test_statistics_read_their_rows_once(spark):
+    """Each statistic of these queries reads rows written once, not the joins of the tables again; ridge has no joins for each fold."""
+    q = catalog.queries()
+    plan = lambda name: q[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("f4_audit_filters", "o4_outlier_mask", "o5_outlier_report", "o7_support_vote_outliers"):
+        assert "parquet" not in plan(name)
+    assert plan("l3_cross_validate").count("Join") < 12
