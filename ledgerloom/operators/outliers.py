@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .marts import rare_pairs
 from .quantiles import largest_group, medians, quantiles
+from .storage import cut
 
 
 def chi2_quantile(p: float, k: int) -> float:
@@ -100,6 +101,7 @@ def outlier_mask(df: DataFrame, bed: str, price: str, capital: str, cols: list[s
     luxury fence of its bed count.
     """
     r = rules or OutlierRules()
+    df = cut(df)  # each of the statistics reads it again
     work = df.withColumns({"price_": F.log1p(F.col(price)), "capital_": F.log1p(F.col(capital))})
     own, c = ["price_", "capital_", *cols], F.col
     rows = largest_group(df, [])  # bounds the groups of either kind
@@ -138,6 +140,7 @@ def zscore_filter(df: DataFrame, by: list[str], col: str, k: float = 4) -> DataF
 def support_vote_outliers(df: DataFrame, bed: str, main: str, capital: str, cols: list[str], year: str, z: float = 1.8, min_votes: int = 2, rare_below: float = 0.01, exempt_z: float = 3.5) -> DataFrame:
     """df with votes and outlier: main is off by z and enough columns are beyond the larger of 1 and their
     group's 80th percentile; a rare (year, bed) pair votes too; a far-off capital value exempts."""
+    df = cut(df)  # each of the statistics reads it again
     work = modified_z(df, [bed], [main, capital, *cols], "z_")
     edge = quantiles(work, [bed], {f"_e_{c}": (F.abs(f"z_{c}"), 0.8) for c in cols})
     work = _join(work, edge, [bed])

@@ -173,12 +173,12 @@ o AS (SELECT *, (main_out OR low_out OR maha_flag) AND votes >= 1 AND NOT luxury
 
 @query("o4_outlier_mask", f"{_O4} SELECT key, votes::INTEGER AS votes, luxury, outlier FROM o")
 def o4(spark, sf):
-    return outliers.outlier_mask(tx(spark, sf, True), "bed", "price", "capital_value", _COLS, _RULES).select("key", "votes", "luxury", "outlier")
+    return outliers.outlier_mask(tx(spark, sf, True).select("key", "bed", "price", "capital_value", *_COLS), "bed", "price", "capital_value", _COLS, _RULES).select("key", "votes", "luxury", "outlier")
 
 
 @query("o5_outlier_report", f"{_O4} SELECT key, CASE WHEN main_out THEN 'main' WHEN low_out THEN 'low_for_beds' ELSE 'mahalanobis' END AS reason, round(z_price, 6) AS z_price FROM o WHERE outlier")
 def o5(spark, sf):
-    _, removed = outliers.outlier_report(tx(spark, sf, True), "bed", "price", "capital_value", _COLS, _RULES)
+    _, removed = outliers.outlier_report(tx(spark, sf, True).select("key", "bed", "price", "capital_value", *_COLS), "bed", "price", "capital_value", _COLS, _RULES)
     return rounded(removed.select("key", "reason", "z_price"), ["z_price"], 6)
 
 
@@ -198,7 +198,7 @@ SELECT key, votes::INTEGER AS votes, coalesce(abs(z_price) > 1, false) AND votes
 
 @query("o7_support_vote_outliers", _O7)
 def o7(spark, sf):
-    got = outliers.support_vote_outliers(tx(spark, sf, True), "bed", "price", "capital_value", _COLS, "year_built", z=1.0, rare_below=0.15)
+    got = outliers.support_vote_outliers(tx(spark, sf, True).select("key", "bed", "price", "capital_value", "year_built", *_COLS), "bed", "price", "capital_value", _COLS, "year_built", z=1.0, rare_below=0.15)
     return got.select("key", "votes", "outlier")
 
 
