@@ -36,7 +36,7 @@ from .textblocks import U64, Words, chain, slices
 
 LEAST_WORDS, K = 50, 16
 #: Extents of a bucket; extents of one k-gram from which it is split further; texts and extents that a task remembers.
-BUCKET_EXTENTS, MOST_SUFFIXES, REMEMBERED = 30_000, 5_000, 500_000
+BUCKET_EXTENTS, MOST_SUFFIXES, REMEMBERED = 10_000, 5_000, 500_000
 #: Hot k-grams that may be broadcast.
 MOST_BROADCAST = 300_000
 
@@ -173,12 +173,12 @@ def _by_suffixes(extents: DataFrame, k: int, least: int, firsts: bool) -> DataFr
     def run(tab: pa.Table) -> pa.Table:
         a, n = (tab.column(c).to_numpy().astype(np.int64) for c in ("ahead", "n"))
         words = Words(tab.column("content").combine_chunks().cast(pa.string()))
-        codes, suffix, low = words.codes.astype(np.int64) + 1, words.first[:-1] + a, a - n + 1
+        codes, suffix, low = words.codes + np.int32(1), words.first[:-1] + a, a - n + 1
         # the words from the suffix on and, backwards, those before it; 0 where the extent ends
         j = np.arange(least)
-        right = np.where(j < (least - low)[:, None], codes[np.minimum(suffix[:, None] + j, len(codes) - 1)], 0)
+        right = np.where(j < (least - low)[:, None], codes[np.minimum(suffix[:, None] + j, len(codes) - 1)], np.int32(0))
         j = np.arange(max(1, least - k))
-        left = np.where(j < a[:, None], codes[np.maximum(suffix[:, None] - 1 - j, 0)], 0)
+        left = np.where(j < a[:, None], codes[np.maximum(suffix[:, None] - 1 - j, 0)], np.int32(0))
         by_right, by_left = _order(right), _order(left)
         doc, pos = tab.column("doc").combine_chunks(), tab.column("pos").to_numpy()
         rank = np.asarray(doc.fill_null(-(1 << 63)))
