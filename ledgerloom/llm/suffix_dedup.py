@@ -86,7 +86,8 @@ def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """data[start:end] of every span, as binary values."""
     lens = ends - starts
     bounds = np.append(0, np.cumsum(lens))
-    at = np.repeat(starts - bounds[:-1], lens) + np.arange(bounds[-1])
+    at = np.repeat(starts - bounds[:-1], lens)
+    at += np.arange(bounds[-1])
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(bounds), pa.py_buffer(data[at])])
 
 
@@ -111,6 +112,7 @@ def _extents(marked: DataFrame, k: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set = set()
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for part in slices(batch):
                 words = Words(part.column("text"))
                 start, anchor, grams = _anchors(words, k, least)
@@ -139,7 +141,9 @@ def _extents(marked: DataFrame, k: int, least: int) -> DataFrame:
                 doc, s0 = _local(words, s)
                 columns = [part.column(c).take(pa.array(doc)) for c in ("k1", "k2", "doc")]
                 small = lambda x: pa.array(x.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*columns, small(s0), pa.array(e1), pa.array(e2), small(a - s), small(ends - runs), pa.array(grams[a].view(np.int64)), content], ["k1", "k2", "doc", "s0", "e1", "e2", "ahead", "n", "gram", "content"])
+                gram = pa.array(grams[a].view(np.int64))
+                del words, data, coded, digests, halves, grams
+                yield pa.RecordBatch.from_arrays([*columns, small(s0), pa.array(e1), pa.array(e2), small(a - s), small(ends - runs), gram, content], ["k1", "k2", "doc", "s0", "e1", "e2", "ahead", "n", "gram", "content"])
 
     return marked.select("k1", "k2", "doc", "text", "at").mapInArrow(run, "k1 long, k2 long, doc long, s0 int, e1 long, e2 long, ahead int, n int, gram long, content binary")
 
@@ -171,6 +175,7 @@ def _by_suffixes(extents: DataFrame, k: int, least: int, firsts: bool) -> DataFr
     wins = pa.list_(pa.struct([("off", pa.int32()), ("again", pa.bool_()), ("doc", pa.int64()), ("pos", pa.int32())]))
 
     def run(tab: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # what the groups before left
         a, n = (tab.column(c).to_numpy().astype(np.int64) for c in ("ahead", "n"))
         words = Words(tab.column("content").combine_chunks().cast(pa.string()))
         codes, suffix, low = words.codes + np.int32(1), words.first[:-1] + a, a - n + 1
