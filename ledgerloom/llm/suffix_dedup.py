@@ -4,7 +4,7 @@ Method. Of all suffixes (one for each word) only those at minimiser positions st
 w k-grams the leftmost with the smallest hash, so the choice depends on content alone, and two equal
 passages of w + k - 1 words hold the same retained suffix at the same place. A retained suffix whose k-gram
 occurs once can't be part of a repeat and goes. The others are sorted: buckets are ranges of their order,
-which begins with the hash of the first k words and goes on word by word. In a bucket neighbours are
+which begins with a hash of the first k words and goes on word by word. In a bucket neighbours are
 compared for the length of the match to the right; the same suffixes sorted by what stands before them
 give the matches to the left. A window of w + k - 1 words that starts i words before its suffix occurs again
 where another suffix matches i words to the left and the rest to the right: both orders have those in one
@@ -41,6 +41,17 @@ BUCKET_EXTENTS, MOST_SUFFIXES, REMEMBERED = 10_000, 5_000, 500_000
 MOST_BROADCAST = 300_000
 
 
+def _leftmost(values: np.ndarray, width: int) -> np.ndarray:
+    """For each window of `width` values, where the leftmost of its smallest is: by windows of twice the width, again and again."""
+    at, w = np.arange(len(values), dtype=np.int32), 1
+    while w < width:
+        step = min(w, width - w)
+        a, b = at[: len(at) - step], at[step:]
+        at = np.where(values[b] < values[a], b, a)
+        w += step
+    return at
+
+
 def _anchors(words: Words, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts of the windows of `least` words inside one text, word at which each is anchored, hash of every k-gram)."""
     n = len(words.codes)
@@ -48,10 +59,10 @@ def _anchors(words: Words, k: int, least: int) -> tuple[np.ndarray, np.ndarray,
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
     at = np.arange(n - k + 1)
     grams = chain(words.half(0), at, np.full(len(at), k), k)
-    low = np.lib.stride_tricks.sliding_window_view(grams, least - k + 1).argmin(axis=1)
+    low = _leftmost(grams, least - k + 1)
     start = np.arange(len(low))
     inside = start + least <= words.first[1:][words.doc_of()[start]]
-    return start[inside], (start + low)[inside], grams
+    return start[inside], low[inside].astype(np.int64), grams
 
 
 def _local(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +174,12 @@ def _runs(order: np.ndarray, match: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def _bucket(gram: str, buckets: int) -> Column:
+    """Ranges of the order by a hash of the first k words: not that by which minimisers are chosen, as they are the
+    smallest of `least` - k + 1 hashes each, and the first range would hold as many times its share."""
+    return F.call_function("div", F.shiftrightunsigned(F.xxhash64(gram), 33), F.lit(-(-(1 << 31) // buckets)))
+
+
 _FOUND = "e1 long, e2 long, wins array<struct<off:int,again:boolean,doc:long,pos:int>>"
 
 
@@ -279,10 +296,8 @@ def _text_spans(keyed: DataFrame, least: int, k: int, later_only: bool, bucket_e
     n_hot = hot.count()
     chosen = F.broadcast(hot) if n_hot <= MOST_BROADCAST else hot
     buckets = max(1, -(-extents.count() // bucket_extents))
-    # ranges of the order by the hash of the first k words
-    bucket = F.call_function("div", F.shiftrightunsigned("gram", 33), F.lit(-(-(1 << 31) // buckets)))
     plain = extents.join(chosen, "gram", "left_anti") if n_hot else extents
-    found = _by_suffixes(plain.withColumn("bucket", bucket), k, least, later_only)
+    found = _by_suffixes(plain.withColumn("bucket", _bucket("gram", buckets)), k, least, later_only)
     if n_hot:
         found = found.unionByName(_by_windows(extents.join(chosen, "gram", "left_semi"), least, later_only))
     found = extents.select("e1", "e2", "whole").join(found, ["e1", "e2"], "left").where("whole or wins is not null")

@@ -93,6 +93,33 @@ def test_repeated_passages(spark):
     assert suffix_dedup.repeated_passages(frame(spark, ["a"]).where("false")).count() == 0
 
 
+def test_suffix_buckets_are_even(spark, monkeypatch):
+    """Minimisers have small hashes; ranges of those gave half of the extents to one bucket."""
+    r = random.Random(3)
+    texts = []
+    for _ in range(25):
+        w = [f"q{r.randrange(10**9)}" for _ in range(400)]
+        texts += [" ".join(w), " ".join(["x", *w])]
+    counts, by_suffixes = [], suffix_dedup._by_suffixes
+
+    def counted(extents, *more):
+        counts.extend(x["count"] for x in extents.groupBy("bucket").count().collect())
+        return by_suffixes(extents, *more)
+
+    monkeypatch.setattr(suffix_dedup, "_by_suffixes", counted)
+    got = suffix_dedup.repeated_passages(frame(spark, texts), bucket_extents=40)
+    assert got.groupBy().sum("n_words").first()[0] == 50 * 400
+    assert sum(counts) > 400 and max(counts) < 80
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 35])
+def test_leftmost(width):
+    import numpy as np
+
+    values = np.random.default_rng(width).integers(0, 9, 500).astype(np.uint64)
+    assert (suffix_dedup._leftmost(values, width) == np.arange(501 - width) + np.lib.stride_tricks.sliding_window_view(values, width).argmin(axis=1)).all()
+
+
 def test_bpe_equals_tokenizers(spark):
     from tokenizers import Tokenizer
 
