@@ -57,6 +57,20 @@ def test_weighted_quantile_of_many_values(spark):
         assert metrics.weighted_quantile(df, ["g"], "v", "w", q, "v").first()["value"] == want
 
 
+def test_comparable_interval_equals_its_quantile(spark):
+    r = np.random.default_rng(6)
+    rows = [(int(k), float(e), float(d), bool(b)) for k, e, d, b in zip(r.integers(0, 9, 60), r.integers(-9, 9, 60), r.uniform(0, 4, 60), r.integers(0, 2, 60), strict=True)] + [(50, None, 1.0, True)]
+    comps = spark.createDataFrame(rows, "key long, err_pct double, distance_km double, same boolean")
+    preds = spark.createDataFrame([(k, 100.0) for k in [*range(9), 50, 51]], "key long, pred double")
+    got = {x["key"]: x for x in metrics.comparable_interval(preds, comps, "key", "pred").collect()}
+    assert sorted(got) == sorted({x[0] for x in rows} - {50})
+    for k, x in got.items():
+        e, w = np.array([(abs(e), (1.25 if b else 1) / (1 + d)) for key, e, d, b in rows if key == k]).T
+        order = np.argsort(e, kind="stable")
+        assert x["half_q80_pct"] == e[order][np.flatnonzero(np.cumsum(w[order]) > 0.8 * w.sum())[0]]
+        assert abs(x["half_mean_pct"] - (w * e).sum() / w.sum()) < 1e-9 and abs(x["lo"] - (100 - x["half_mean_pct"])) < 1e-9
+
+
 def test_gates_of_holdout_and_blend(spark):
     df = spark.createDataFrame([("test",)] * 5 + [("train",)] * 9, "split string")
     assert splits.check_holdout(df).first()["ok"] is False and splits.check_holdout(df, min_test=5).first()["ok"] is True

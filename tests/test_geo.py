@@ -32,6 +32,25 @@ def test_comparables_top_up_and_dense_places(spark):
     assert geo._start(frame(hist).withColumnsRenamed({"lat": "latitude", "lon": "longitude"}), [], 1.0, 150) < 1.0
 
 
+def test_comparables_of_one_place_are_searched_once(spark, monkeypatch):
+    """Requests at one place share a search over places: full places meet no other, the rest few; as brute force."""
+    r = random.Random(4)
+    spots = [(-43.5 + r.uniform(-0.1, 0.1), 172.6 + r.uniform(-0.1, 0.1)) for _ in range(60)]
+    rows = [(100 * i + j, 1, *at) for i, at in enumerate(spots) for j in range(40 if i < 50 else 2)]
+    met, km_of = spark.sparkContext.accumulator(0), geo.haversine_km
+    counted = F.udf(lambda: met.add(1) or 0, "long").asNondeterministic()
+    monkeypatch.setattr(geo, "haversine_km", lambda *a: km_of(*a) + counted())
+    t = spark.createDataFrame(rows, "key long, bed int, lat double, lon double")
+    got = {}
+    for x in geo.knn_comparables(t.where("key % 2 = 0"), t, 5, "key", but_itself=True).orderBy("rank").collect():
+        got.setdefault(x["query_key"], []).append((x["rank"], x["comp_key"]))
+    for key, _, *q in rows:
+        if key % 2 == 0:
+            near = sorted((h for h in rows if h[0] != key), key=lambda h: (round(km(q, h[2:]), 15), h[0]))[:5]
+            assert got.pop(key) == [(i + 1, h[0]) for i, h in enumerate(near)]
+    assert not got and met.value < 1000
+
+
 def test_far_homes_meet_few_points(spark, monkeypatch):
     """Nearest points and counts equal brute force over clusters, far homes, the antimeridian and homes without
     a place; homes far from a cluster meet no more than a few of its points."""
